@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules, simhash, source_mix
+from . import language_id, line_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, toxicity
 from .common import table
 
 QUERIES = {
     "op2_simhash_near_dedup": lambda spark, d: simhash.op2(table(spark, d, "documents")),
+    "op3_toxicity": lambda spark, d: toxicity.op3(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_quality_rules": lambda spark, d: quality_rules.op4(table(spark, d, "documents")),
+    "op5_sentencepiece": lambda spark, d: sentencepiece_codec.op5(table(spark, d, "documents")),
     "op6_source_mix": lambda spark, d: source_mix.op6(table(spark, d, "documents")),
+    "op7_language_id": lambda spark, d: language_id.op7(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(table(spark, d, "documents")),
 }
 
