@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: White space of the contracts, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -29,7 +31,8 @@ def words(text: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Hand Python at most so many rows at once: texts may be long, and workers' memory is bounded."""
+    """Hand Python this package, and at most so many rows at once: texts may be long, and workers' memory is bounded."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, toxicity
+from . import audio_features, importance_resampling, language_id, line_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, toxicity, url_filter
 from .common import table
 
 QUERIES = {
+    "op1_importance_resampling": lambda spark, d: importance_resampling.op1(table(spark, d, "documents"), table(spark, d, "labels")),
     "op2_simhash_near_dedup": lambda spark, d: simhash.op2(table(spark, d, "documents")),
     "op3_toxicity": lambda spark, d: toxicity.op3(table(spark, d, "documents"), table(spark, d, "labels")),
     "op4_quality_rules": lambda spark, d: quality_rules.op4(table(spark, d, "documents")),
@@ -13,6 +14,8 @@ QUERIES = {
     "op6_source_mix": lambda spark, d: source_mix.op6(table(spark, d, "documents")),
     "op7_language_id": lambda spark, d: language_id.op7(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.op8(table(spark, d, "documents")),
+    "op9_audio_features": lambda spark, d: audio_features.op9(table(spark, d, "documents")),
+    "op10_url_filter": lambda spark, d: url_filter.op10(table(spark, d, "pages")),
 }
 
 ORACLES = {
