@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,20 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python, once per application: they may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_memlattice_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="memlattice-"), "memlattice.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for top, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(top, name)
+                    z.write(path, os.path.join("memlattice", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._memlattice_shipped = True
