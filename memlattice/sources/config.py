@@ -55,7 +55,8 @@ class TraceConfig:
                 raise TraceConfigError(f"cache {c.name}: the size {c.size} is not a multiple of the line size {c.line_size}")
             if c.parent is not None and c.parent not in self.caches:
                 raise TraceConfigError(f"cache {c.name}: unknown parent {c.parent}")
-            self.ancestors(c.name)
+        for name in self.caches:
+            self.ancestors(name)
         for n, t in enumerate(self.threads):
             if t.cache not in self.caches:
                 raise TraceConfigError(f"thread {n}: unknown cache {t.cache}")

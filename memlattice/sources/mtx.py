@@ -82,7 +82,7 @@ def _untar(member: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r|*") as tar:
+                with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:*") as tar:
                     found = False
                     for m in tar:
                         if m.name == member or m.name.startswith(member) or not member:

@@ -1,0 +1,39 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from memlattice.functions import stats
+
+
+def of(spark, values):
+    return stats.summary(spark.createDataFrame([("g", float(v)) for v in values], "g string, v double"), ["g"], "v").first()
+
+
+@pytest.mark.parametrize("values", [[0, 1, 2, 3, 4], [3, 1, 4, 1, 5, 9, 2, 6], [1, 2], [2.5, -1, 7, 7, 0, 0.5]])
+def test_definitions(spark, values):
+    r, n = of(spark, values), len(values)
+    mu = sum(values) / n
+    m = {k: sum((v - mu) ** k for v in values) / n for k in (2, 3, 4)}
+    s2 = m[2] * n / (n - 1)
+    assert (r["samples"], r["min"], r["max"], r["median"]) == (n, min(values), max(values), sorted(values)[n // 2])
+    for got, want in ((r["mean"], mu), (r["variance"], s2), (r["standard_deviation"], math.sqrt(s2)), (r["skewness"], m[3] / s2**1.5), (r["kurtosis"], m[4] / m[2] ** 2)):
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_single_and_equal_values(spark):
+    r = of(spark, [4])
+    assert r["median"] == 4 and math.isnan(r["variance"]) and math.isnan(r["skewness"])
+    assert math.isnan(of(spark, [1, 1, 1])["kurtosis"])
+
+
+def test_central_moments(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 4, 9)], "v double")
+    got = df.agg(*(stats.central_moment(F.col("v"), k) for k in (2, 3, 4))).first()
+    for k, g in zip((2, 3, 4), got):
+        assert g == pytest.approx(sum((v - 4) ** k for v in (1, 2, 4, 9)) / 4)
+
+
+def test_extrapolation(spark):
+    df = spark.createDataFrame([(10, 100, 50), (7, 3, 2), (5, 9, 0)], "c long, e long, r long")
+    assert [r[0] for r in df.select(stats.extrapolated(F.col("c"), F.col("e"), F.col("r"))).collect()] == [20, 10, 0]
