@@ -91,7 +91,8 @@ class LineRuns:
 
     def drops(self, batch: DataFrame, min_docs: int) -> DataFrame:
         """The batch's (id, a, b) that have to go: held by min_docs documents or more, of which another has a larger id."""
-        common = self.merged().where(F.col("n") >= min_docs).drop("n")
+        # written first: the join then reads two plain sides, and a line that very many documents hold can be split
+        common = materialize(self.merged().where(F.col("n") >= min_docs).drop("n"))
         return batch.join(common, ["a", "b"]).where(F.col("id") < F.col("top")).select("id", "a", "b")
 
 
