@@ -156,8 +156,9 @@ class Codec:
             e = s
         return [i for part in reversed(out) for i in part]
 
-    def _many(self, raws: list[bytes]) -> list[list[int]]:
-        """Viterbi over many stretches at once: first every match of every position, then the recursion by position."""
+    def _many(self, raws: list[bytes]) -> list[bytes]:
+        """Viterbi over many stretches at once: first every match of every position, then the recursion by position.
+        The ids (int32) of each as bytes."""
         lengths = np.fromiter(map(len, raws), np.int64, len(raws))
         text = np.frombuffer(b"".join(raws) + b"\0", np.uint8)
         ends = np.cumsum(lengths)
@@ -208,19 +209,22 @@ class Codec:
             better = x[~inner] > last[w]
             i, w = i[better], w[better]
             last[w], last_from[w], last_id[w] = x[~inner][better], begin[i], ids[i]
-        out: list[list[int]] = []
-        bf, bi = back_from.tolist(), back_id.tolist()
-        for raw, a, b, s, v in zip(raws, starts.tolist(), ends.tolist(), last_from.tolist(), last_id.tolist()):
-            got, e = [], b
-            while True:
-                if v >= 0:
-                    got.append(v)
-                else:
-                    got.extend(reversed(self._fallback(raw[s - a : e - a])))
-                if s == a:
-                    break
-                e, s, v = s, bf[s], bi[s]
-            out.append(got[::-1])
+        # walk back from every end at once, then put each stretch's pieces in order
+        w, e, v, step = np.arange(len(raws)), last_from, last_id, 0
+        walked = []
+        while len(w):
+            walked.append((w, v, step))
+            on = e != starts[w]
+            w, at_ = w[on], e[on]
+            e, v, step = back_from[at_], back_id[at_], step + 1
+        who, ids = np.concatenate([x for x, _, _ in walked]), np.concatenate([x for _, x, _ in walked])
+        back = np.concatenate([np.full(len(x), k) for x, _, k in walked])
+        order = np.argsort(who * step + (step - 1 - back), kind="stable")
+        flat = ids[order].astype(np.int32).tobytes()
+        stops = (4 * np.cumsum(np.bincount(who, minlength=len(raws)))).tolist()
+        out = [flat[i:j] for i, j in zip([0, *stops], stops)]
+        for k in np.unique(who[ids < 0]).tolist():  # characters without a piece
+            out[k] = np.array(self._single(raws[k]), np.int32).tobytes()
         return out
 
     def encode_batch(self, texts: list[str], cache: int = 100_000) -> list[np.ndarray]:
@@ -228,17 +232,14 @@ class Codec:
         if not hasattr(self, "_cut"):
             self._cut = re.compile(self.stretch, re.DOTALL).findall
         cut = [self._cut(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
-        young, old, need = self.young, self.old, []
-        for x in set().union(*cut):
-            if x not in young:
-                if x in old:
-                    young[x] = old[x]
-                else:
-                    need.append(x)
+        young, old = self.young, self.old
+        new = set().union(*cut).difference(young)
+        need = list(new.difference(old))
+        young.update((x, old[x]) for x in new.intersection(old))
         short = [x for x in need if len(x) <= LONG]
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
-            young.update(zip(part, (np.array(i, np.int32).tobytes() for i in self._many([x.encode() for x in part]))))
+            young.update(zip(part, self._many([x.encode() for x in part])))
         for x in need:
             if len(x) > LONG:
                 young[x] = np.array(self._single(x.encode()), np.int32).tobytes()
