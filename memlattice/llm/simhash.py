@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from ..session import materialize
 from .common import small_batches
-from .components import components
 
 SEED = 42
 #: Six sets of four byte positions; every pair of positions is missed by at least one set (the blocks 01 23 45 67, two at a time).
@@ -110,8 +110,8 @@ def op2(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """One document of each component: the one with the least id. Of repeated rows of it one stays, rows with a null id go unless alone."""
-    keep = near_duplicates(df)
-    keep = keep.where(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    out = df.join(keep, df["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One document of each component: the one with the least id. Of repeated rows of it one stays; rows with a null id all stay."""
+    named = df.where(F.col("doc_id").isNotNull())
+    keep = near_duplicates(named).where(F.col("doc_id") == F.col("component")).select("doc_id").distinct()
+    # both by the id: the text is dealt out once for the join and the repeated rows
+    return named.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(df.where(F.col("doc_id").isNull()))
