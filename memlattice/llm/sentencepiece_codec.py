@@ -227,7 +227,7 @@ class Codec:
             out[k] = np.array(self._single(raws[k]), np.int32).tobytes()
         return out
 
-    def encode_batch(self, texts: list[str], cache: int = 100_000) -> list[np.ndarray]:
+    def encode_batch(self, texts: list[str], cache: int = 300_000) -> list[np.ndarray]:
         """Ids (int32) of each text."""
         if not hasattr(self, "_cut"):
             self._cut = re.compile(self.stretch, re.DOTALL).findall
