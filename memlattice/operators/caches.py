@@ -33,7 +33,6 @@ def interleave(refs: DataFrame, active: DataFrame, line_sizes: DataFrame | None
     """
     x = refs.join(F.broadcast(active), "thread").select("group", "thread", "t", div(F.col("addr"), F.col("line_size")).alias("line"), "domain")
     x = positioned(x, ["group", "t", "thread"], "p")
-    x = materialize(x)
     first = x.groupBy("group").agg(F.min("p").alias("p0"), F.count("*").alias("length"))
     return x.join(F.broadcast(first), "group").select("group", (F.col("p") - F.col("p0")).alias("pos"), "thread", "line", "domain", "length")
 
@@ -52,35 +51,45 @@ def replayed(stream: DataFrame, warmup: bool, initial: DataFrame | None = None)
 
 
 def greater_before(pos: np.ndarray, val: np.ndarray) -> np.ndarray:
-    """For each element the number of elements with a smaller pos and a greater val. Merges by the bits of pos."""
+    """For each element the number of elements with a smaller pos and a greater val.
+
+    The elements stand by val, and are split stably by the bits of pos, the highest first: where a block of equal higher
+    bits falls apart, each of its ones has the zeros that come after it by val before it by pos. Linear for each bit.
+    """
     out = np.zeros(len(pos), np.int64)
     if not len(pos):
         return out
     pos = pos - pos.min()
-    by_val = np.argsort(val, kind="stable")
-    p, rank = pos[by_val], np.unique(val, return_inverse=True)[1][by_val]
-    for bit in range(int(pos.max()).bit_length()):
-        block = p >> (bit + 1)
-        order = np.argsort(block, kind="stable")  # within a block still by val
-        b, right, r = block[order], (p[order] >> bit) & 1, rank[order]
-        left = np.cumsum(1 - right)
-        ends = np.append(np.nonzero(np.diff(b))[0], len(b) - 1)
-        total = left[ends][np.searchsorted(ends, np.arange(len(b)))]
-        # left elements of the block up to and with those of equal val
-        tie = np.append(np.nonzero((np.diff(b) != 0) | (np.diff(r) != 0))[0], len(b) - 1)
-        upto = left[tie][np.searchsorted(tie, np.arange(len(b)))]
-        out[by_val[order]] += np.where(right == 1, total - upto, 0)
+    at = np.lexsort((pos, val))  # of equal vals the smaller pos first, so that it doesn't count as greater
+    p = pos[at]
+    index = np.arange(len(p))
+    for bit in reversed(range(int(pos.max()).bit_length())):
+        one = (p >> bit) & 1
+        starts = np.append(0, np.nonzero(np.diff(p >> (bit + 1)))[0] + 1)
+        sizes = np.diff(np.append(starts, len(p)))
+        zeros = np.cumsum(1 - one)
+        before = np.repeat(zeros[starts] - (1 - one[starts]), sizes)
+        total = np.repeat(np.add.reduceat(1 - one, starts), sizes)
+        seen = zeros - before
+        out[at] += np.where(one == 1, total - seen, 0)
+        first = np.repeat(starts, sizes)
+        to = np.where(one == 1, first + total + (index - first - seen), first + seen - 1)
+        p2, at2 = np.empty_like(p), np.empty_like(at)
+        p2[to], at2[to] = p, at
+        p, at = p2, at2
     return out
 
 
-def _within_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    n = greater_before(pdf["pos"].to_numpy(), pdf["prev"].to_numpy())
-    return pd.DataFrame({"group": pdf["group"], "pos": pdf["pos"], "n": n})
+def _counted(by: str, least: int):
+    """For a group of references: how many before (by chunk or by place) were last seen later, for gaps of `least` and more."""
 
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = (pdf["pos"] - pdf["prev"] - 1 >= least).to_numpy()
+        n = greater_before(pdf[by].to_numpy(), pdf["prev"].to_numpy()) if wide.any() else np.zeros(len(pdf), np.int64)
+        keep = wide & (n > 0)
+        return pd.DataFrame({"group": pdf["group"][keep], "pos": pdf["pos"][keep], "n": n[keep]})
 
-def _within_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    n = greater_before(pdf["chunk"].to_numpy(), pdf["prev"].to_numpy())
-    return pd.DataFrame({"group": pdf["group"], "pos": pdf["pos"], "n": n})
+    return count
 
 
 def stack_distances(stream: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -99,11 +108,9 @@ def stack_distances(stream: DataFrame, least: int = 0, chunk: int = CHUNK) -> Da
     x = materialize(stream.withColumn("prev", F.lag("pos").over(w)))
     gap = F.col("pos") - F.col("prev") - 1
     again = x.where("prev is not null").select("group", "pos", "prev", F.floor(F.col("pos") / chunk).alias("chunk"), F.floor(F.col("prev") / chunk).alias("bucket"))
-    if least and not again.where(F.col("pos") - F.col("prev") - 1 >= least).limit(1).count():
-        return x.withColumn("distance", gap)
     schema = "group string, pos long, n long"
-    same = again.groupBy("group", "chunk").applyInPandas(_within_chunk, schema)
-    near = again.groupBy("group", "bucket").applyInPandas(_within_bucket, schema)
+    same = again.groupBy("group", "chunk").applyInPandas(_counted("pos", least), schema)
+    near = again.groupBy("group", "bucket").applyInPandas(_counted("chunk", least), schema)
     counts = again.groupBy("group", "chunk", "bucket").agg(F.count("*").alias("c"))
     # sums over earlier chunks and later buckets, on the grid of chunk pairs
     grid = counts.select("group", "chunk").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))))
@@ -111,9 +118,11 @@ def stack_distances(stream: DataFrame, least: int = 0, chunk: int = CHUNK) -> Da
     later = Window.partitionBy("group", "chunk").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("group", "bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     table = grid.withColumn("s", F.sum("c").over(later)).withColumn("n", F.sum("s").over(earlier)).where("n > 0").select("group", "chunk", "bucket", "n")
-    far = again.join(table, ["group", "chunk", "bucket"]).select("group", "pos", "n")
-    n = same.unionByName(near).unionByName(far).where("n > 0").groupBy("group", "pos").agg(F.sum("n").alias("n"))
-    return x.join(n, ["group", "pos"], "left").withColumn("distance", gap - F.coalesce("n", F.lit(0))).drop("n")
+    far = again.where(F.col("pos") - F.col("prev") - 1 >= least).join(table, ["group", "chunk", "bucket"]).select("group", "pos", "n")
+    n = same.unionByName(near).unionByName(far).groupBy("group", "pos").agg(F.sum("n").alias("n"))
+    wide = F.coalesce(gap >= least, F.lit(False))
+    exact = x.where(wide).join(n, ["group", "pos"], "left").withColumn("distance", gap - F.coalesce("n", F.lit(0))).drop("n")
+    return exact.unionByName(x.where(~wide).withColumn("distance", gap))
 
 
 def lru_misses(distances: DataFrame, caches: DataFrame) -> DataFrame:
