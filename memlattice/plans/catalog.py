@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import json_tree, stats
 from ..operators import caches, formats, matrix, references, reorder
 from ..operators.layout import VALUE_SIZE, div, owner
 from ..session import shared_dir
@@ -518,3 +518,14 @@ def _trace_report(spark, d):
     return spark.createDataFrame([(report.pretty(found),)], "json string")
 
 
+
+
+
+@query("json_fields", """
+select event_id, case when json_type(props) = 'OBJECT' then 'object' else 'other' end as kind, len(json_keys(props))::bigint as members, list_sort(json_keys(props)) as keys,
+       json_extract(props, '$.k')::bigint as k
+from events""")
+def _json_fields(spark, d):
+    v = F.col("v")
+    x = tables.table(spark, d, "events").select("event_id", json_tree.parsed(F.col("props")).alias("v"))
+    return x.select("event_id", json_tree.kind(v).alias("kind"), json_tree.object_size(v).alias("members"), json_tree.keys(v).alias("keys"), json_tree.whole(json_tree.member(v, "k")).alias("k"))
