@@ -179,7 +179,8 @@ class Csr(SpmvKernel):
         return self._layout
 
     def entries(self) -> DataFrame:
-        return self.layout.entries
+        """The layout's, if there is one already: a product needs the rows' entries, not their positions."""
+        return self.m.entries if self._layout is None else self._layout.entries
 
     def references(self, threads: Threads) -> DataFrame:
         c, rows = self.layout, self.m.rows

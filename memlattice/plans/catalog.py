@@ -63,8 +63,13 @@ def _coo(spark, d):
 @query("spmv_csr", _PRODUCT)
 @query("spmv_csr_unrolled", _PRODUCT)
 def _csr(spark, d):
-    m = tables.lineitem_matrix(spark, d, True)
-    return references.Csr(m).run(tables.part_sizes(spark, d))
+    return references.Csr(tables.lineitem_matrix(spark, d, False)).run(tables.part_sizes(spark, d))
+
+
+@query("spmv_csr_row_aligned", _PRODUCT)
+def _csr_aligned(spark, d):
+    m = tables.lineitem_matrix(spark, d)
+    return references.Csr(m, layout=formats.csr(m, 4)).run(tables.part_sizes(spark, d))
 
 
 @query("spmv_ell", _PRODUCT)
