@@ -71,3 +71,14 @@ def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def extrapolated(count: Column, enabled: Column, running: Column) -> Column:
     """A multiplexed counter's count over the whole time it was enabled; 0 if it never ran."""
     return F.when(running == 0, F.lit(0).cast("long")).otherwise(F.floor(count * (enabled / running)).cast("long"))
+
+
+def event_counts(df: DataFrame, by: list[str], event: str = "event", count: str = "count") -> DataFrame:
+    """(by..., counts): a map from event to the sum of its counts. A map has as many keys as there are kinds of events."""
+    each = df.groupBy(*by, event).agg(F.sum(count).alias("_n"))
+    return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(event, "_n"))).alias("counts"))
+
+
+def event_count(counts: Column, event: str) -> Column:
+    """An event's count, 0 if it isn't there."""
+    return F.coalesce(F.try_element_at(counts, F.lit(event)), F.lit(0))

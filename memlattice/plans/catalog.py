@@ -534,3 +534,10 @@ def _json_fields(spark, d):
     v = F.col("v")
     x = tables.table(spark, d, "events").select("event_id", json_tree.parsed(F.col("props")).alias("v"))
     return x.select("event_id", json_tree.kind(v).alias("kind"), json_tree.object_size(v).alias("members"), json_tree.keys(v).alias("keys"), json_tree.whole(json_tree.member(v, "k")).alias("k"))
+
+
+@query("event_counts", "select user_id::integer as thread, count(*) filter (where event_type = 'click')::bigint as click, 0::bigint as unknown from events group by 1")
+def _event_counts(spark, d):
+    x = tables.table(spark, d, "events").select(F.col("user_id").cast("int").alias("thread"), F.col("event_type").alias("event"), F.lit(1).cast("long").alias("count"))
+    m = stats.event_counts(x, ["thread"])
+    return m.select("thread", *(stats.event_count(F.col("counts"), e).cast("long").alias(e) for e in ("click", "unknown")))

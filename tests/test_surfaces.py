@@ -63,3 +63,18 @@ def test_live_caches(spark, tmp_path):
                 want += cache.allocate(line)
                 if n % 20 == 19:
                     assert got[name, n + 1] == want
+
+
+def test_rendering(spark):
+    from memlattice.functions import render
+    from memlattice.operators import formats, references
+
+    from .matrices import M7, M8, M9, make
+
+    assert render.coo(make(spark, M7).entries) == "[0 0 1 2 3 3 3] [0 1 1 2 0 3 4] [1 2 1 3 -1 2 1]"
+    c = formats.csr(make(spark, M7))
+    assert render.csr(c.ptr, c.entries) == "[0 2 3 4 7] [0 1 1 2 0 3 4] [1 2 1 3 -1 2 1]"
+    assert render.ell(formats.ell(make(spark, M8))[0]).startswith("[0 1 3 0 1 1 2 2 2 3 4 4]")
+    assert render.hybrid(*formats.hybrid(make(spark, M9))[:2]).endswith("[0 0] [3 4] [3 5]")
+    assert render.references(references.Triad(spark, 1).references(references.Threads((0,)))) == "((4096, 0), (8192, 0), (0, 0))"
+    assert render.indented("a\n\nb") == "  a\n\n  b"
