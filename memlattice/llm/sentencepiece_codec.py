@@ -7,6 +7,9 @@ earlier-starting last piece wins. A character without a piece costs the least sc
 (or the unknown piece where the vocabulary has none). All distinct stretches of a batch run through the trie and the
 Viterbi recursion together in numpy; results are kept in a bounded two-generation cache.
 
+A unigram vocabulary brings its log scores. Those of any other kind, such as byte-pair merges, have ranks in that place:
+`fitted` then takes each piece's share in the vocabulary's own encoding of all texts, none left out, as its likelihood.
+
 A null text gives null ids, an empty one none. Decoding turns the marker back into spaces, so encode-decode returns every
 text that doesn't hold the marker itself (U+2581). The vocabulary is read on the driver from a path that is a parameter,
 and broadcast: its size is the vocabulary's, whatever the input. Repeated rows are encoded alike; clashing column names
@@ -16,7 +19,9 @@ don't matter, the output columns take free names.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,10 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longer stretches go through the recursion one by one.
 LONG = 64
+#: Model type of a unigram vocabulary in a model file.
+UNIGRAM = 1
+#: Distinct stretches a task holds at most while it counts pieces.
+COUNTED = 200_000
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -261,6 +270,86 @@ class Codec:
         return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
 
+def _varint(raw: bytes, at: int) -> tuple[int, int]:
+    n = shift = 0
+    while True:
+        n |= (raw[at] & 127) << shift
+        shift, at = shift + 7, at + 1
+        if raw[at - 1] < 128:
+            return n, at
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of a protocol buffer's fields."""
+    at = 0
+    while at < len(raw):
+        key, at = _varint(raw, at)
+        if key & 7 == 0:
+            value, at = _varint(raw, at)
+        else:
+            size, at = _varint(raw, at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = raw[at : at + size], at + size
+        yield key >> 3, value
+
+
+def model_type(proto: bytes) -> int:
+    """1 unigram, 2 byte-pair merges, 3 words, 4 characters: field 3 of the trainer's settings, field 2; unigram if not set."""
+    return next((v for k, part in _fields(proto) if k == 2 for n, v in _fields(part) if n == 3), UNIGRAM)
+
+
+def own_ids(model, stretches: list[str]) -> list[list[int]]:
+    """The vocabulary's own encoding of stretches. The library puts a marker in front of a text: a line end keeps it apart
+    from the stretch's own, and both are dropped."""
+    skip = len(model.encode("\n"))
+    return [i[skip:] for i in model.encode(["\n" + x.replace(MARKER, " ") for x in stretches], num_threads=1)]
+
+
+def fitted(df: DataFrame, text: str = "text", path: str = MODEL) -> Codec:
+    """The codec of a vocabulary with unigram log scores: the file's, or for another kind of vocabulary the logs of the pieces'
+    shares in its own encoding of all texts of df (half a count is added to each). df is read once; one row per piece is collected."""
+    codec = Codec.load(path)
+    with open(path, "rb") as f:
+        proto = f.read()
+    if model_type(proto) == UNIGRAM:
+        return codec
+    small_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast((codec.stretch, len(codec.pieces), proto))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        stretch, size, raw = shared.value
+        model, cut = sentencepiece.SentencePieceProcessor(model_proto=raw), re.compile(stretch, re.DOTALL).findall
+        total, held = np.zeros(size, np.int64), Counter()
+
+        def add() -> None:
+            words = list(held)
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                ids = own_ids(model, some)
+                times = np.repeat(np.fromiter(map(held.__getitem__, some), np.int64, len(some)), np.fromiter(map(len, ids), np.int64, len(ids)))
+                np.add.at(total, np.fromiter((i for x in ids for i in x), np.int64, len(times)), times)
+            held.clear()
+
+        for batch in batches:
+            for t in batch.column(0):
+                if t := t.as_py():
+                    held.update(cut(MARKER + t.replace(" ", MARKER)))
+                    if len(held) > COUNTED:
+                        add()
+        add()
+        ids = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["piece", "n"])
+
+    rows = df.select(F.col(text).alias("text")).mapInArrow(counted, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    n = np.full(len(codec.pieces), 0.5)
+    for r in rows:
+        n[r["piece"]] += r["n"]
+    scores = np.log(n / n.sum())
+    plain = codec.value[codec.value >= 0]
+    return replace(codec, scores=scores, unknown_score=float(scores[plain].min(initial=0.0)) - UNKNOWN_PENALTY, young={}, old={})
+
+
 def encoder(spark: SparkSession, path: str = MODEL, codec: Codec | None = None):
     """A column function: text -> struct(ids array<int>, exact boolean); exact: the ids decode to the text."""
     small_batches(spark)
@@ -295,7 +384,8 @@ def decoder(spark: SparkSession, path: str = MODEL, codec: Codec | None = None):
 
 
 def encode(df: DataFrame, text: str = "text", path: str = MODEL, codec: Codec | None = None) -> DataFrame:
-    """df with ids, n_tokens and round_trip."""
+    """df with ids, n_tokens and round_trip. Without a codec, the vocabulary's log scores are fitted to the texts if it has none."""
+    codec = codec or fitted(df, text, path)
     got, ids, n, exact = free(df, "sp_got", "ids", "n_tokens", "round_trip")
     x = df.withColumn(got, encoder(df.sparkSession, path, codec)(F.col(text)))
     return x.withColumn(ids, F.col(got)["ids"]).withColumn(n, F.coalesce(F.size(ids), F.lit(0))).withColumn(exact, F.col(got)["exact"]).drop(got)

@@ -149,3 +149,28 @@ def test_query(spark):
     back = C.encode(frame(spark)).select("text", C.decoder(spark)("ids").alias("back"), "round_trip")
     assert all(x["back"] == x["text"] for x in back.where("round_trip").collect())
     assert C.op5(frame(spark, [])).count() == 0
+
+
+def test_ranks_of_merges_are_not_taken_for_log_scores(spark, codec):
+    """The vocabulary file holds byte-pair merges: words that are one piece stay whole, and the scores are the logs of shares."""
+    assert C.model_type(open(MODEL, "rb").read()) == 2 and C.model_type(unigram_model()) == C.UNIGRAM
+    text = "the government said idiot\nthe government"
+    df = frame(spark, [(k, text, "en", "a", 1) for k in range(50)])
+    for r in C.op5(df).collect():
+        pieces = [codec.pieces[i] for i in r["ids"]]
+        assert pieces == ["▁the", "▁government", "▁said", "▁idiot", "<0x0A>", "the", "▁government"] and r["round_trip"]
+    c = C.fitted(df)
+    assert np.exp(c.scores).sum() == pytest.approx(1) and (c.scores <= 0).all()
+    share = lambda p: np.exp(c.scores[c.pieces.index(p)])
+    assert share("▁government") / share("▁said") == pytest.approx(100.5 / 50.5)
+
+
+def test_all_texts_are_counted(spark):
+    """In whatever portions, the counts are those of the library over every text."""
+    m = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = [w + " " + v for w, v in zip(words(), words()[7:]) if MARKER not in w + v]
+    n = np.full(m.vocab_size(), 0.5)
+    for t in texts:
+        np.add.at(n, m.encode(t), 1)
+    c = C.fitted(frame(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]))
+    assert np.allclose(c.scores, np.log(n / n.sum()))
