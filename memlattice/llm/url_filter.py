@@ -5,7 +5,9 @@ URLs that no rule fits are judged by boosted trees on length, depth, digit ratio
 statistics (how often URLs with this host ending, and with these host tokens, were labelled bad). The trees learn from
 labelled URLs: those the rules decide and those whose host holds a token of a seed list; a sample of the others stands
 for the good ones (positive-unlabelled learning), or else an ending that only a blocking rule mentions would look bad.
-They are trained on the driver from at most `fit_urls` rows, taken by a hash of the URL, and broadcast.
+The statistics count all labelled URLs, each once, and are joined to the URLs by key; a URL's own label is left out of what
+it is told. Only the rows that train the trees are a sample: at most `fit_urls`, taken by a hash of the URL and described by
+the counts of the half of all URLs that they aren't in. They are trained on the driver and broadcast.
 
 A null URL, or one without "://", has empty host and path and is judged like any other. Without URLs of both kinds to
 learn from, every URL that no rule fits is allowed. Repeated rows are judged alike; an empty table gives an empty result.
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .common import free, small_batches
 from .line_dedup import CAPITALS, SMALL
 
@@ -30,6 +33,8 @@ from .line_dedup import CAPITALS, SMALL
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Host tokens that label a URL as bad where no rule decides; fixed values.
 SEEDS = ("casino", "pills", "bets", "spam", "viagra", "porn", "lottery", "payday", "warez", "escort")
+#: A key's share is drawn towards the overall share by so many URLs.
+WEIGHT = 5.0
 FEATURES = ("length", "host_length", "depth", "labels", "digits", "hyphens", "entropy", "parameters", "query_length", "longest_token", "vowels", "suffix_bad", "token_bad", "path_bad", "has_extension")
 
 
@@ -67,7 +72,7 @@ class SuffixStatistics:
     paths: dict[str, float]
 
     @classmethod
-    def of(cls, hosts: list[str], paths: list[str], bad: np.ndarray, weight: float = 5.0, most: int = 20_000) -> SuffixStatistics:
+    def of(cls, hosts: list[str], paths: list[str], bad: np.ndarray, weight: float = WEIGHT) -> SuffixStatistics:
         prior = float(bad.mean()) if len(bad) else 0.5
 
         def shares(keys: list[set[str]]) -> dict[str, float]:
@@ -76,7 +81,7 @@ class SuffixStatistics:
                 n.update(ks)
                 if y:
                     b.update(ks)
-            return {k: (b[k] + weight * prior) / (c + weight) for k, c in n.most_common(most) if c > 1}
+            return {k: (b[k] + weight * prior) / (c + weight) for k, c in n.items()}
 
         return cls(prior, shares([cls.endings_of(h) for h in hosts]), shares([set(_tokens(h)) for h in hosts]), shares([{p.split("/")[1] if "/" in p else ""} for p in paths]))
 
@@ -92,8 +97,8 @@ class SuffixStatistics:
         return far(ends), max(toks, default=self.prior), self.paths.get(path.split("/")[1] if "/" in path else "", self.prior)
 
 
-def lexical(url: str | None, host: str, path: str, stats: SuffixStatistics) -> list[float]:
-    """The features of one URL, in the order of FEATURES."""
+def lexical(url: str | None, host: str, path: str, shares: tuple[float, float, float]) -> list[float]:
+    """The features of one URL, in the order of FEATURES; shares of bad by ending, token and path are given."""
     u = url or ""
     query = u.partition("?")[2].partition("#")[0]
     n = max(len(u), 1)
@@ -103,7 +108,7 @@ def lexical(url: str | None, host: str, path: str, stats: SuffixStatistics) -> l
     return [
         len(u), len(host), path.count("/"), host.count(".") + 1, sum(c.isdigit() for c in u) / n, host.count("-"), float(-(p * np.log2(p)).sum()) if len(p) else 0.0,
         len([x for x in query.split("&") if x]), len(query), max(map(len, toks), default=0), sum(c in "aeiou" for c in host) / max(letters, 1),
-        *stats.look(host, path), float(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))),
+        *shares, float(bool(re.search(r"\.[A-Za-z0-9]{1,5}$", path))),
     ]
 
 
@@ -183,39 +188,87 @@ class UrlModel:
             return cls(stats, None)
         pick = lambda z, k: [v for v, h in zip(z, half) if h == k]
         by = [SuffixStatistics.of(pick(hosts, k), pick(paths, k), y[half == k]) for k in (0, 1)]
-        x = np.array([lexical(u, h, p, by[1 - k]) for u, h, p, k in zip(urls, hosts, paths, half)])
+        x = np.array([lexical(u, h, p, by[1 - k].look(h, p)) for u, h, p, k in zip(urls, hosts, paths, half)])
         return cls(stats, BoostedTrees.fit(x, y))
 
     def predict(self, urls: list[str | None], hosts: list[str], paths: list[str]) -> np.ndarray:
         if self.trees is None:
             return np.zeros(len(urls))
-        x = np.array([lexical(u, h, p, self.stats) for u, h, p in zip(urls, hosts, paths)], float).reshape(-1, len(FEATURES))
+        x = np.array([lexical(u, h, p, self.stats.look(h, p)) for u, h, p in zip(urls, hosts, paths)], float).reshape(-1, len(FEATURES))
         return self.trees.predict(x)
 
 
-def fit(labelled: DataFrame, fit_urls: int = 20_000) -> UrlModel:
-    """labelled: (url, host, path, bad 0/1). The rows with the least hashes of their URL, fit_urls at most."""
-    rows = labelled.where("url is not null").dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(fit_urls).collect()
-    return UrlModel.fit([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows], [int(r["bad"]) for r in rows])
+def keys_of(host: Column, path: Column) -> Column:
+    """The (kind, key) pairs that are counted: the last one and two labels of the host, its tokens, the first part of the path."""
+    parts = F.split(host, r"\.")
+    endings = F.array(F.element_at(parts, -1), F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "."))
+    tokens = F.array_remove(F.split(host, r"[.\-_]"), "")
+    firsts = F.array(F.coalesce(F.get(F.split(path, "/"), 1), F.lit("")))
+    kind = lambda name, xs: F.transform(F.array_distinct(xs), lambda x: F.struct(F.lit(name).alias("kind"), x.alias("key")))
+    return F.concat(kind("ending", endings), kind("token", tokens), kind("path", firsts))
+
+
+def described(labelled: DataFrame) -> DataFrame:
+    """labelled: (url, host, path, bad 0/1) -> each URL once (null as the empty one) with counted (whether it is not null), the
+    shares of bad of its ending, token and path over all other URLs, and train_*, the same over the half of them it isn't in."""
+    some = labelled.withColumn("counted", F.col("url").isNotNull().cast("int")).withColumn("url", F.coalesce("url", F.lit("")))
+    urls = materialize(some.groupBy("url", "host", "path", "bad").agg(F.max("counted").alias("counted")).withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2))))
+    half, bad, counted = F.col("half"), F.col("bad"), F.col("counted")
+    counts = [F.sum(F.when(half == k, y).otherwise(0)).alias(f"{name}{k}") for k in (0, 1) for name, y in (("n", counted), ("b", bad * counted))]
+    whole = urls.agg(*counts).first()
+    mean = lambda n, b: (b or 0) / n if n else 0.5
+    prior = [mean(whole[f"n{k}"], whole[f"b{k}"]) for k in (0, 1)]
+    overall = mean((whole["n0"] or 0) + (whole["n1"] or 0), (whole["b0"] or 0) + (whole["b1"] or 0))
+    pairs = urls.select("url", "bad", "counted", "half", F.explode(keys_of(F.col("host"), F.col("path"))).alias("k")).select("url", "bad", "counted", "half", "k.kind", "k.key")
+    x = pairs.join(pairs.groupBy("kind", "key").agg(*counts), ["kind", "key"])
+    other = lambda name: F.when(half == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    kinds = {"": (F.lit(overall), F.col("n0") + F.col("n1") - counted, F.col("b0") + F.col("b1") - bad * counted), "train_": (F.when(half == 0, prior[1]).otherwise(prior[0]), other("n"), other("b"))}
+    told = []
+    for name, (p, n, b) in kinds.items():
+        share = F.when(n > 0, (b + WEIGHT * p) / (n + WEIGHT))
+        of = lambda kind, v, share=share: F.max(F.when((F.col("kind") == kind) & share.isNotNull(), v))
+        # of the endings the share farthest from the overall one, of the tokens the largest
+        told += [F.coalesce(v, F.max(p)).alias(f"{name}{c}_bad") for c, v in (("ending", of("ending", F.struct(F.abs(share - p).alias("far"), share.alias("share")))["share"]), ("token", of("token", share)), ("path", of("path", share)))]
+    return urls.drop("half").join(x.groupBy("url").agg(*told), "url")
+
+
+def fit(urls: DataFrame, fit_urls: int = 20_000) -> BoostedTrees | None:
+    """The trees, from rows of described(): those with the least hashes of their URL, fit_urls at most. None if all are of one kind."""
+    rows = urls.where("counted = 1").orderBy(F.xxhash64("url"), "url").limit(fit_urls).collect()
+    y = np.array([r["bad"] for r in rows], float)
+    if len(set(y)) < 2:
+        return None
+    return BoostedTrees.fit(np.array([lexical(r["url"], r["host"], r["path"], (r["train_ending_bad"], r["train_token_bad"], r["train_path_bad"])) for r in rows]), y)
 
 
 def judged(df: DataFrame, url: str = "url", rules=RULES, seeds=SEEDS, fit_urls: int = 20_000, threshold: float = 0.5, model: UrlModel | None = None) -> DataFrame:
-    """df with host, path, rule, bad_score (the trees', for every URL) and verdict."""
+    """df with host, path, rule, bad_score (the trees', for every URL) and verdict. A model brings its own statistics."""
     small_batches(df.sparkSession, 2000)
-    host, path, rule, score, verdict = free(df, "host", "path", "rule", "bad_score", "verdict")
+    host, path, rule, score, verdict, key, told = free(df, "host", "path", "rule", "bad_score", "verdict", "u_key", "u_told")
     x = df.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url))).withColumn(rule, rule_of(F.col(host), F.col(path), rules))
     says = F.create_map(*(F.lit(v) for r in rules for v in r))
     if model is None:
         seeded = F.col(host).rlike("|".join(map(re.escape, seeds)))
         bad = F.when(F.col(rule).isNotNull(), (says[F.col(rule)] == "block").cast("int")).otherwise(seeded.cast("int"))
-        model = fit(x.select(F.col(url).alias("url"), F.col(host).alias("host"), F.col(path).alias("path"), bad.alias("bad")), fit_urls)
+        urls = materialize(described(x.select(F.col(url).alias("url"), F.col(host).alias("host"), F.col(path).alias("path"), bad.alias("bad"))))
+        model = fit(urls, fit_urls)
+        # every URL of x is among them
+        x = x.withColumn(key, F.coalesce(F.col(url), F.lit(""))).join(urls.select(F.col("url").alias(key), F.array("ending_bad", "token_bad", "path_bad").alias(told)), key).select(*x.columns, told)
+    else:
+        x = x.withColumn(told, F.array().cast("array<double>"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
-    def judge(urls: pa.Array, hosts: pa.Array, paths: pa.Array) -> pa.Array:
-        return pa.array(shared.value.predict(urls.to_pylist(), hosts.to_pylist(), paths.to_pylist()), pa.float64())
-
-    x = x.withColumn(score, judge(F.col(url), F.col(host), F.col(path)))
+    def judge(urls: pa.Array, hosts: pa.Array, paths: pa.Array, told: pa.Array) -> pa.Array:
+        m, us, hs, ps = shared.value, urls.to_pylist(), hosts.to_pylist(), paths.to_pylist()
+        if isinstance(m, UrlModel):
+            return pa.array(m.predict(us, hs, ps), pa.float64())
+        if m is None:
+            return pa.array(np.zeros(len(us)), pa.float64())
+        rows = np.array([lexical(*row) for row in zip(us, hs, ps, told.to_pylist())], float).reshape(-1, len(FEATURES))
+        return pa.array(m.predict(rows), pa.float64())
+
+    x = x.withColumn(score, judge(F.col(url), F.col(host), F.col(path), F.col(told))).drop(told)
     return x.withColumn(verdict, F.when(F.col(rule).isNotNull(), says[F.col(rule)]).when(F.col(score) >= threshold, "block").otherwise("allow"))
 
 

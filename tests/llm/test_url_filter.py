@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -84,3 +85,29 @@ def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "https://a.net/x", "mine", "mine")], "page_id long, url string, host string, verdict string")
     r = U.judged(df).first()
     assert (r["host"], r["verdict"], r["_host"], r["_verdict"]) == ("mine", "mine", "a.net", "block")
+
+
+def test_statistics_count_all_urls(spark):
+    """Whatever the sample for the trees, each URL is told the shares over all others."""
+    rows = [(f"https://{'casino' if k % 5 == 0 else 'a' + str(k % 7)}-x{k % 900}.{'org' if k % 3 else 'com'}/{'en' if k % 2 else 'fr'}/{k}", int(k % 5 == 0)) for k in range(3000)]
+    labelled = [(u, *by_hand(u)[:2], y) for u, y in rows + rows[:50]] + [(None, "", "", 0)]
+    got = {r["url"]: r for r in U.described(spark.createDataFrame(labelled, "url string, host string, path string, bad int")).collect()}
+    assert len(got) == 3001 and not got[""]["counted"]
+    n, b = Counter(), Counter()
+    keys = lambda u: {"ending": U.SuffixStatistics.endings_of(by_hand(u)[0]), "token": set(U._tokens(by_hand(u)[0])), "path": {by_hand(u)[1].split("/")[1]}}
+    for u, y in rows:
+        for kind, ks in keys(u).items():
+            n.update((kind, k) for k in ks)
+            b.update((kind, k) for k in ks if y)
+    prior = sum(y for _, y in rows) / len(rows)
+    for u, y in rows:
+        for kind, ks in keys(u).items():
+            shares = [(b[kind, k] - y + 5 * prior) / (n[kind, k] - 1 + 5) for k in ks if n[kind, k] > 1]
+            want = max(shares, key=lambda v: abs(v - prior) if kind == "ending" else v, default=prior)
+            assert abs(got[u][f"{kind}_bad"] - want) < 1e-9, (u, kind)
+
+
+def test_no_key_is_dropped():
+    hosts = [f"h{k}.example.org" for k in range(21_000)]
+    stats = U.SuffixStatistics.of(hosts, ["/en/1"] * len(hosts), np.arange(len(hosts)) % 2)
+    assert len(stats.tokens) == 21_002
