@@ -12,7 +12,8 @@ reported (quotation marks or a reporting word around it), aimed (a second-person
 find of each kind is abuse is measured on the labelled texts, for each term, drawn towards its level's mean. A text's score is 1 - (1 - base) * product of (1 - likelihood) over its different finds.
 
 Null and empty texts get the base rate. Without labels nothing is learned and all scores are 0. Repeated rows score
-alike. The sample to learn from is bounded by `fit_docs`, the lexicon by `max_terms`.
+alike. The sample to learn from is bounded by `fit_docs`, and the lexicon by what stands often enough in the sample: each
+term is judged by its own contexts, so that one language's terms don't crowd out another's.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ WINDOW = 5
 #: Words a long text is looked at by at a time.
 PIECE = 1 << 17
 KINDS = ("plain", "quoted", "aimed")
+#: Deviations of the confidence bound: tens of thousands of words and stems are judged.
+SURE = 4.0
 #: Levels of a find, the surest first.
 LEVELS = ("word", "stem", "one edit", "two edits")
 TAIL = "+"
@@ -115,26 +118,26 @@ class LexiconAutomaton:
         for state in queue:
             found = min(((e, self.terms[ends[n]].endswith(TAIL), ends[n]) for n, e, w in state if w < 0 and ends[n] >= 0 and e <= allowance(self.terms[ends[n]])), default=None)
             accept.append((found[2], found[0]) if found else (-1, 0))
+            told = {c for node, _, wait in state for kid in kids[node].values() for c in kids[kid]} | {c for node, _, _ in state for c in kids[node]} | {wait for _, _, wait in state if wait > 0}
             row = []
-            for c in range(len(letters) + 1):
+            for c in [0, *sorted(told)]:  # all other letters lead where the unknown one does
                 nxt = step(state, c)
                 if nxt not in number:
                     number[nxt] = len(number)
                     queue.append(nxt)
-                row.append(number[nxt])
+                row = row or [number[nxt]] * (len(letters) + 1)
+                row[c] = number[nxt]
             rows.append(row)
         self.table = np.array(rows, np.int32).reshape(-1, len(letters) + 1)
         self.term = np.array([a for a, _ in accept], np.int32)
         self.level = np.array([0 if k < 0 else 1 if self.terms[k].endswith(TAIL) else e and e + 1 for k, e in accept], np.int8)
         self.stretch = any(t.endswith(TAIL) for t in self.terms)
-        self.by_code = np.zeros(0x250, np.uint8)
-        for c, k in code.items():
-            if ord(c) < len(self.by_code):
-                self.by_code[ord(c)] = k
+        self.codes = np.array([ord(c) for c in letters], np.uint32)  # sorted; letter k has number k + 1
 
     def finds(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the words [start, end) of an array of code points: (word number, term, level) for those accepted."""
-        mapped = self.by_code[np.minimum(codes, len(self.by_code) - 1)]
+        at = np.searchsorted(self.codes, codes)
+        mapped = np.where(np.append(self.codes, 0)[at] == codes, at + 1, 0) if len(self.codes) else np.zeros(len(codes), np.int64)
         longest = max(map(len, self.terms), default=0) + 2
         who = np.nonzero((ends > starts) & ((ends - starts <= longest) | self.stretch))[0]
         state, pos, stop = np.ones(len(who), np.int32), starts[who], ends[who]
@@ -221,11 +224,12 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], ["word", "toxic", "context"])
 
 
-def fit(labelled: DataFrame, fit_docs: int = 20_000, max_terms: int = 200, least: int = 5, odds: float = 20.0) -> Lexicon:
+def fit(labelled: DataFrame, fit_docs: int = 20_000, least: int = 5, odds: float = 20.0) -> Lexicon:
     """labelled: (id, text, toxic 0/1). Learns from fit_docs of the rows at most, taken by a hash of the id.
 
     A term or stem stands in `least` contexts of toxic texts or more, and `odds` times as often there as in clean texts,
-    each measured against all contexts of that kind. A stem takes the place of the words that begin with it.
+    each measured against all contexts of that kind; the lower bound of its toxic share (Wilson's, SURE deviations) is above
+    the share of all. A stem takes the place of the words that begin with it.
     """
     small_batches(labelled.sparkSession)
     base = labelled.where("toxic is not null and text is not null")
@@ -240,12 +244,15 @@ def fit(labelled: DataFrame, fit_docs: int = 20_000, max_terms: int = 200, least
     toxic, clean = F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
     whole = ctx.agg(toxic, clean).first()
     ratio = (F.col("t") / whole["t"]) / ((F.col("c") + 0.5) / max(whole["c"], 1))
-    likes = (F.col("t") >= least) & (ratio >= odds)
+    m = F.col("t") + F.col("c")
+    share, z = F.col("t") / m, SURE * SURE
+    bound = (share + z / (2 * m) - SURE * F.sqrt(share * (1 - share) / m + z / (4 * m * m))) / (1 + z / m)
+    likes = (F.col("t") >= least) & (ratio >= odds) & (bound > whole["t"] / max(whole["t"] + whole["c"], 1))
     stems = F.explode(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length("word") - 1)), lambda k: F.concat(F.substring(F.col("word"), F.lit(1), k), F.lit(TAIL))))
     per = ctx.groupBy("word").agg(toxic, clean)
     per = per.unionByName(ctx.where(F.length("word") > 4).select("toxic", stems.alias("word")).groupBy("word").agg(toxic, clean))
-    rows = per.where(likes).orderBy(F.desc("t"), "word").limit(max_terms * 50).collect()
-    terms = _chosen([(r["word"], r["t"], r["c"]) for r in rows])[:max_terms]
+    rows = per.where(likes).orderBy(F.desc("t"), "word").collect()
+    terms = _chosen([(r["word"], r["t"], r["c"]) for r in rows])
     draft = Lexicon(LexiconAutomaton(terms), {}, 0.0)
     shared = labelled.sparkSession.sparkContext.broadcast(draft)
 
@@ -264,6 +271,7 @@ def fit(labelled: DataFrame, fit_docs: int = 20_000, max_terms: int = 200, least
     def counts(**on) -> tuple[int, int]:
         return tuple(sum(r["n"] for r in seen if r["toxic"] == y and all(r[k] == v for k, v in on.items()) and (r["term"] is None) == ("term" in on and on["term"] is None)) for y in (1, 0))
 
+    each = {(r["toxic"], r["level"], r["kind"], r["term"]): r["n"] for r in seen}
     likely = {}
     for e in range(len(LEVELS)):
         for kind in KINDS:
@@ -272,7 +280,7 @@ def fit(labelled: DataFrame, fit_docs: int = 20_000, max_terms: int = 200, least
             t, c = counts(level=e, kind=kind)
             mean = (t + 8 * prior) / (t + c + 8)
             for term in terms:
-                t, c = counts(level=e, kind=kind, term=term)
+                t, c = (each.get((y, e, kind, term), 0) for y in (1, 0))
                 likely[term, e, kind] = (t + 4 * mean) / (t + c + 4)
     t, c = counts(term=None)
     return Lexicon(draft.automaton, likely, (t + 1) / (t + c + 2))
@@ -280,18 +288,27 @@ def fit(labelled: DataFrame, fit_docs: int = 20_000, max_terms: int = 200, least
 
 def _chosen(rows: list[tuple[str, int, int]]) -> list[str]:
     """Of (term, toxic, clean) the terms to keep, the most frequent first: a stem of which nearly every use is one word gives way
-    to the word, one that a longer stem betters gives way to that, what a kept shorter stem covers goes, and so does what is rare beside the most frequent."""
+    to the word, one that a longer stem betters gives way to that, and what a kept shorter stem covers goes. No term is measured against another's frequency."""
     count, clean = {w: t for w, t, _ in rows}, {w: c for w, _, c in rows}
-    top = max(count.values(), default=0)
+    longer: dict[str, list[str]] = {}  # the stems that begin with these letters and go on
+    single: dict[str, int] = {}  # of the words that do, the most frequent one's count
+    for w, n in count.items():
+        stem = w.removesuffix(TAIL)
+        for k in range(len(stem)):
+            if w.endswith(TAIL):
+                longer.setdefault(stem[:k], []).append(w)
+            else:
+                single[stem[:k]] = max(n, single.get(stem[:k], 0))
     kept: list[str] = []
+    stems: set[str] = set()
     for w in sorted(count, key=len):
         stem = w.removesuffix(TAIL)
-        if 8 * count[w] < top or any(stem.startswith(k.removesuffix(TAIL)) and stem + TAIL != k for k in kept if k.endswith(TAIL)):
-            continue
-        if w.endswith(TAIL) and any(v.endswith(TAIL) and v != w and v.startswith(stem) and 5 * n >= 3 * count[w] and (clean[v] + 1) * count[w] < 0.8 * (clean[w] + 1) * n for v, n in count.items()):
-            continue
-        if w.endswith(TAIL) and max((n for v, n in count.items() if not v.endswith(TAIL) and v.startswith(stem) and v != stem), default=0) > 0.6 * count[w]:
+        if any(stem[:k] in stems for k in range(len(stem))):
             continue
+        if w.endswith(TAIL):
+            if any(5 * count[v] >= 3 * count[w] and (clean[v] + 1) * count[w] < 0.8 * (clean[w] + 1) * count[v] for v in longer.get(stem, ())) or single.get(stem, 0) > 0.6 * count[w]:
+                continue
+            stems.add(stem)
         kept.append(w)
     return sorted(kept, key=lambda w: (-count[w], w))
 

@@ -136,3 +136,21 @@ def test_real_labels(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = X.op3(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert sum(r["predicted"] == r["toxic"] for r in rows) / len(rows) > 0.95
+
+
+def test_rare_language_beside_a_frequent_one(spark):
+    """A term is judged by its own evidence, in any script, however often another one stands."""
+    r = random.Random(6)
+    mine, theirs = [["".join(r.choice(x) for _ in range(6)) for _ in range(300)] for x in ("aeiouklmnrst", "абвгдежиклмн")]
+    rows = []
+    for k in range(900):
+        few = k % 30 == 0
+        ws = [r.choice(theirs if few else mine) for _ in range(40)]
+        toxic = int(k % 3 == 0)
+        if toxic:
+            ws[r.randrange(1, 39)] = "ублюдок" if few else "vilething"
+        rows.append((k, " ".join(ws), toxic))
+    lex = X.fit(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    assert {"vilething", "ублюдок"} <= set(lex.automaton.terms)
+    assert lex.score(" ".join(theirs[:9] + ["ублюдок"])) > 0.7 > lex.score(" ".join(theirs[:9]))
+    assert found(lex.automaton, "ублюдак") == [("ублюдок", 2)] and found(lex.automaton, "лишние") == []
