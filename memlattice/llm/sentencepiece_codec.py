@@ -4,8 +4,8 @@ Pieces live in a double-array trie. A text gets the whitespace marker in front a
 piece can reach across: before a marker that follows another character, and around characters that only occur as pieces
 of their own. Between cuts the best segmentation is found by Viterbi over the log scores; of equal paths the one with the
 earlier-starting last piece wins. A character without a piece costs the least score less ten and becomes its bytes' pieces
-(or the unknown piece where the vocabulary has none). All distinct stretches of a batch run through the trie and the
-Viterbi recursion together in numpy; results are kept in a bounded two-generation cache.
+(or the unknown piece where the vocabulary has none). Arrow cuts the words and finds the distinct ones; those not
+remembered in a bounded two-generation cache run through the trie and the Viterbi recursion together in numpy.
 
 A unigram vocabulary brings its log scores. Those of any other kind, such as byte-pair merges, have ranks in that place:
 `fitted` then takes each piece's share in the vocabulary's own encoding of all texts, none left out, as its likelihood.
@@ -19,17 +19,19 @@ don't matter, the output columns take free names.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, small_batches
+from .common import free, sliced, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
@@ -40,6 +42,8 @@ LONG = 64
 UNIGRAM = 1
 #: Distinct stretches a task holds at most while it counts pieces.
 COUNTED = 200_000
+#: Bytes of text that are worked on together; a longer text goes alone.
+PORTION = 2 << 20
 
 
 def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,6 +94,42 @@ def double_array(keys: list[bytes], values: list[int]) -> tuple[np.ndarray, np.n
     return np.array(base, np.int32), np.array(check, np.int32), np.array(value, np.int32)
 
 
+def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches [starts, starts + lengths) of flat that `at` names, one after the other, and each one's length."""
+    n = lengths[at]
+    return flat[np.arange(int(n.sum())) + np.repeat(starts[at] - (np.cumsum(n) - n), n)], n
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts, one after the other, and each one's length (0 for null)."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, np.diff(ends).astype(np.int64)
+
+
+def units(texts: pa.Array, stretch: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """The order in which the texts were taken, the distinct units, the unit at each place, and how many places each text has.
+
+    A unit is a word with its marker, cut out by Arrow, for texts that have single spaces between words and nowhere else;
+    of other texts it is a stretch of the pattern. No piece reaches from one unit into the next.
+    """
+    texts = pc.fill_null(texts, "")
+    tests = [pc.equal(texts, ""), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.match_substring(texts, "  "), pc.match_substring(texts, MARKER)]
+    odd = reduce(pc.or_, tests)
+    words = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    coded = words.flatten().dictionary_encode()
+    some = [MARKER + w for w in coded.dictionary.to_pylist()]
+    code: dict[str, int] = {}
+    find = re.compile(stretch, re.DOTALL).findall
+    cut = [find(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts.filter(odd).to_pylist()]
+    places = [code.setdefault(x, len(code)) for xs in cut for x in xs]
+    at = np.concatenate((coded.indices.to_numpy().astype(np.int64), np.array(places, np.int64) + len(some)))
+    sizes = np.concatenate((pc.list_value_length(words).to_numpy(), np.fromiter(map(len, cut), np.int64, len(cut)))).astype(np.int64)
+    mask = np.asarray(odd)
+    return np.concatenate((np.nonzero(~mask)[0], np.nonzero(mask)[0])), some + list(code), at, sizes
+
+
 @dataclass
 class Codec:
     """Everything encode() and decode() need; plain arrays and lists, so it can be broadcast."""
@@ -166,109 +206,144 @@ class Codec:
         return [i for part in reversed(out) for i in part]
 
     def _many(self, raws: list[bytes]) -> list[bytes]:
-        """Viterbi over many stretches at once: first every match of every position, then the recursion by position.
-        The ids (int32) of each as bytes."""
-        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        """Viterbi over many stretches of at most 255 bytes at once: first every match of every position, then the recursion by
+        place in the stretch. Each stretch has a slot for each of its bytes and one for its end. The ids (int32) of each as bytes."""
+        lengths = np.fromiter(map(len, raws), np.int32, len(raws))
         text = np.frombuffer(b"".join(raws) + b"\0", np.uint8)
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
-        n = int(ends[-1])
-        stop = np.repeat(ends, lengths)
-        lead = (text[:n] & 0xC0) != 0x80
-        at = np.nonzero(lead)[0]
-        width = np.diff(np.append(at, n))  # a stretch's last character ends where the next stretch begins
-        rel = at - np.repeat(starts, lengths)[at]
-        found: list[tuple[np.ndarray, np.ndarray, int]] = []
-        state, pos, live, depth = np.zeros(len(at), np.int32), at, stop[at], 0
-        who, single = np.arange(len(at)), np.zeros(len(at), bool)
-        while len(pos):
-            nxt = self.base[state] + text[pos + depth]
-            ok = self.check[nxt] == state
-            state, pos, live, who = nxt[ok], pos[ok], live[ok], who[ok]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        n, owner = int(ends[-1]), np.repeat(np.arange(len(raws), dtype=np.int32), lengths)
+        at = np.nonzero((text[:n] & 0xC0) != 0x80)[0].astype(np.int32)
+        width = np.diff(at, append=np.int32(n))  # a stretch's last character ends where the next stretch begins
+        stop, slot = ends[owner[at]], at + owner[at]
+        rel = (at - (ends - lengths)[owner[at]]).astype(np.uint8)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        state, who, single = np.zeros(len(at), np.int32), np.arange(len(at), dtype=np.int32), np.zeros(len(at), bool)
+        pos, depth = at, 0
+        while len(who):
+            nxt = self.base[state] + text[pos]
+            ok = np.nonzero(self.check[nxt] == state)[0]
+            state, who, pos = nxt[ok], who[ok], pos[ok] + np.int32(1)
             depth += 1
             v = self.value[state]
-            hit = v >= 0
-            if hit.any():
-                found.append((who[hit], v[hit], depth))
-                single[who[hit][width[who[hit]] == depth]] = True
-            ok = pos + depth < live
-            state, pos, live, who = state[ok], pos[ok], live[ok], who[ok]
-        best = np.full(n + 1, -np.inf)
-        best[starts] = 0.0  # a stretch's end is the next one's start: ends are kept apart below
-        last = np.full(len(raws), -np.inf)
-        back_from, back_id = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
-        last_from, last_id = np.zeros(len(raws), np.int64), np.full(len(raws), -1, np.int64)
-        owner = np.repeat(np.arange(len(raws)), lengths)
-        missing = np.nonzero(~single)[0]
-        f = [(w, v.astype(np.int64), np.full(len(w), d, np.int64)) for w, v, d in found] + [(missing, np.full(len(missing), -1, np.int64), width[missing])]
-        who, ids, size = (np.concatenate(x) for x in zip(*f))
-        begin = at[who]
-        score = np.where(ids >= 0, self.scores[ids], self.unknown_score)
-        group = rel[who] * (1 << 20) + size
-        order = np.argsort(group, kind="stable")
-        cuts = np.nonzero(np.diff(group[order]))[0] + 1
-        for part in np.split(order, cuts):
-            s, e = begin[part], begin[part] + size[part]
-            x, inner = best[s] + score[part], e < stop[s]
-            i, ee = part[inner], e[inner]
-            better = x[inner] > best[ee]
-            i, ee = i[better], ee[better]
-            best[ee], back_from[ee], back_id[ee] = x[inner][better], begin[i], ids[i]
-            i, w = part[~inner], owner[s[~inner]]
-            better = x[~inner] > last[w]
-            i, w = i[better], w[better]
-            last[w], last_from[w], last_id[w] = x[~inner][better], begin[i], ids[i]
+            hit = np.nonzero(v >= 0)[0]
+            if len(hit):
+                w = who[hit]
+                found.append((w, v[hit], np.full(len(w), depth, np.int32)))
+                single[w[width[w] == depth]] = True
+            ok = np.nonzero(pos < stop[who])[0]
+            state, who, pos = state[ok], who[ok], pos[ok]
+        missing = np.nonzero(~single)[0].astype(np.int32)
+        found.append((missing, np.full(len(missing), -1, np.int32), width[missing]))
+        who, ids, size = (np.concatenate(x) for x in zip(*found))
+        place = rel[who]
+        order = np.argsort(place, kind="stable")
+        who, ids, size = who[order], ids[order], size[order]
+        begin = slot[who]
+        score, end = np.where(ids >= 0, self.scores[ids], self.unknown_score), begin + size
+        best = np.full(n + len(raws), -np.inf)
+        first = ends - lengths + np.arange(len(raws), dtype=np.int32)
+        best[first] = 0.0
+        back = np.zeros(n + len(raws), np.int32)  # the match that leads to a slot
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(place))))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            # matches of one place end at different slots of a stretch
+            e = end[lo:hi]
+            x = best[begin[lo:hi]] + score[lo:hi]
+            better = np.nonzero(x > best[e])[0]
+            best[e[better]], back[e[better]] = x[better], better + lo
         # walk back from every end at once, then put each stretch's pieces in order
-        w, e, v, step = np.arange(len(raws)), last_from, last_id, 0
-        walked = []
+        w, e, walked, count = np.arange(len(raws), dtype=np.int32), first + lengths, [], np.zeros(len(raws), np.int32)
         while len(w):
-            walked.append((w, v, step))
-            on = e != starts[w]
-            w, at_ = w[on], e[on]
-            e, v, step = back_from[at_], back_id[at_], step + 1
-        who, ids = np.concatenate([x for x, _, _ in walked]), np.concatenate([x for _, x, _ in walked])
-        back = np.concatenate([np.full(len(x), k) for x, _, k in walked])
-        order = np.argsort(who * step + (step - 1 - back), kind="stable")
-        flat = ids[order].astype(np.int32).tobytes()
-        stops = (4 * np.cumsum(np.bincount(who, minlength=len(raws)))).tolist()
-        out = [flat[i:j] for i, j in zip([0, *stops], stops)]
-        for k in np.unique(who[ids < 0]).tolist():  # characters without a piece
+            m = back[e]
+            walked.append((w, ids[m]))
+            count[w] += 1
+            e = begin[m]
+            on = np.nonzero(e != first[w])[0]
+            w, e = w[on], e[on]
+        stops = np.cumsum(count)
+        flat = np.empty(int(stops[-1]), np.int32)
+        for step, (w, v) in enumerate(walked):
+            flat[stops[w] - 1 - step] = v
+        raw, at4 = flat.tobytes(), (4 * stops).tolist()
+        out = [raw[i:j] for i, j in zip([0, *at4], at4)]
+        for k in np.unique(np.searchsorted(stops, np.nonzero(flat < 0)[0], "right")).tolist():  # characters without a piece
             out[k] = np.array(self._single(raws[k]), np.int32).tobytes()
         return out
 
-    def encode_batch(self, texts: list[str], cache: int = 300_000) -> list[np.ndarray]:
-        """Ids (int32) of each text."""
-        if not hasattr(self, "_cut"):
-            self._cut = re.compile(self.stretch, re.DOTALL).findall
-        cut = [self._cut(MARKER + t.replace(" ", MARKER)) if t else [] for t in texts]
+    def _resolved(self, some: list[str], cache: int) -> list[bytes]:
+        """The ids (int32) of each unit as bytes; those not remembered are cut and go through the recursion together."""
         young, old = self.young, self.old
-        new = set().union(*cut).difference(young)
-        need = list(new.difference(old))
-        young.update((x, old[x]) for x in new.intersection(old))
-        short = [x for x in need if len(x) <= LONG]
+        out = list(map(young.get, some))
+        gaps = [k for k, x in enumerate(out) if x is None]
+        for k in gaps:
+            if (x := old.get(some[k])) is not None:
+                young[some[k]] = out[k] = x
+        gaps = [k for k in gaps if out[k] is None]
+        new = [some[k] for k in gaps]
+        cut = list(map(re.compile(self.stretch, re.DOTALL).findall, new))
+        need = list(set().union(*cut))
+        short = [x for x in need if len(x) < LONG]
+        ids = {x: np.array(self._single(x.encode()), np.int32).tobytes() for x in need if len(x) >= LONG}
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
-            young.update(zip(part, self._many([x.encode() for x in part])))
-        for x in need:
-            if len(x) > LONG:
-                young[x] = np.array(self._single(x.encode()), np.int32).tobytes()
-        get = young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, x)), np.int32) for x in cut]
+            ids.update(zip(part, self._many([x.encode() for x in part])))
+        for k, u, x in zip(gaps, new, cut):
+            young[u] = out[k] = ids[x[0]] if len(x) == 1 else b"".join(map(ids.__getitem__, x))
         if len(young) > cache:
             self.old, self.young = young, {}
         return out
 
-    def decode(self, ids) -> str:
-        """The text of the ids; special pieces give nothing, the unknown one " ⁇ "."""
+    def encode_array(self, texts: pa.Array, cache: int = 300_000) -> pa.ListArray:
+        """Ids (int32) of each text, none of a null one."""
+        order, some, at, sizes = units(texts, self.stretch)
+        raws = self._resolved(some, cache)
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws)) // 4
+        flat = np.frombuffer(b"".join(raws), np.int32)
+        ids, n = spread(flat, np.cumsum(lengths) - lengths, lengths, at)
+        ends = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+        return lists.take(pa.array(np.argsort(order)))
+
+    def encode_batch(self, texts: list[str], cache: int = 300_000) -> list[np.ndarray]:
+        """Ids (int32) of each text."""
+        lists = self.encode_array(pa.array(texts, pa.string()), cache)
+        return [np.array(x, np.int32) for x in lists.to_pylist()]
+
+    def _piece_bytes(self) -> list[bytes]:
         if not hasattr(self, "_bytes"):
             b = [b"" if i in self.special else p.replace(MARKER, " ").encode() for i, p in enumerate(self.pieces)]
             for value, i in enumerate(self.byte_ids):
                 b[i] = bytes([value])
             b[self.unknown] = " ⁇ ".encode()
             self._bytes = b
-        raw = b"".join(map(self._bytes.__getitem__, ids))
+            self._lengths = np.fromiter(map(len, b), np.int64, len(b))
+            self._joined = np.frombuffer(b"".join(b), np.uint8)
+        return self._bytes
+
+    def decode(self, ids) -> str:
+        """The text of the ids; special pieces give nothing, the unknown one " ⁇ "."""
+        raw = b"".join(map(self._piece_bytes().__getitem__, ids))
         return (raw[1:] if raw[:1] == b" " else raw).decode(errors="replace")
 
+    def decodes_to(self, lists: pa.ListArray, texts: pa.Array) -> np.ndarray:
+        """Whether each list of ids decodes to its text, byte for byte and for all of them at once; a null text counts as one that does."""
+        self._piece_bytes()
+        starts = np.cumsum(self._lengths) - self._lengths
+        ids = lists.flatten().to_numpy(zero_copy_only=False)
+        raw, n = spread(self._joined, starts, self._lengths, ids)
+        cuts = np.concatenate(([0], np.cumsum(n)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        first, size = cuts[:-1], np.diff(cuts)
+        bare = np.zeros(len(size), bool)
+        bare[size > 0] = raw[first[size > 0]] == 32  # the marker in front of the text
+        data, wanted = _bytes_of(texts)
+        ok = size - bare == wanted
+        keep = np.repeat(ok, size)
+        keep[first[ok & bare]] = False
+        wrong = np.concatenate(([0], np.cumsum(raw[keep] != data[np.repeat(ok, wanted)])))
+        ends = np.cumsum(wanted[ok])
+        ok[ok] = wrong[ends] == wrong[ends - wanted[ok]]
+        return ok | np.asarray(texts.is_null())
+
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
     n = shift = 0
@@ -319,8 +394,8 @@ def fitted(df: DataFrame, text: str = "text", path: str = MODEL) -> Codec:
         import sentencepiece
 
         stretch, size, raw = shared.value
-        model, cut = sentencepiece.SentencePieceProcessor(model_proto=raw), re.compile(stretch, re.DOTALL).findall
-        total, held = np.zeros(size, np.int64), Counter()
+        model = sentencepiece.SentencePieceProcessor(model_proto=raw)
+        total, held = np.zeros(size), {}
 
         def add() -> None:
             words = list(held)
@@ -328,18 +403,18 @@ def fitted(df: DataFrame, text: str = "text", path: str = MODEL) -> Codec:
                 some = words[at : at + 20_000]
                 ids = own_ids(model, some)
                 times = np.repeat(np.fromiter(map(held.__getitem__, some), np.int64, len(some)), np.fromiter(map(len, ids), np.int64, len(ids)))
-                np.add.at(total, np.fromiter((i for x in ids for i in x), np.int64, len(times)), times)
+                total[:] += np.bincount(np.fromiter(chain.from_iterable(ids), np.int64, len(times)), times, size)
             held.clear()
 
-        for batch in batches:
-            for t in batch.column(0):
-                if t := t.as_py():
-                    held.update(cut(MARKER + t.replace(" ", MARKER)))
-                    if len(held) > COUNTED:
-                        add()
+        for batch in sliced(batches, "text", PORTION):
+            _, some, at, _ = units(batch.column(0), stretch)
+            for u, n in zip(some, np.bincount(at, minlength=len(some)).tolist()):
+                held[u] = held.get(u, 0) + n
+            if len(held) > COUNTED:
+                add()
         add()
         ids = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids])], ["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(total[ids].astype(np.int64))], ["piece", "n"])
 
     rows = df.select(F.col(text).alias("text")).mapInArrow(counted, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     n = np.full(len(codec.pieces), 0.5)
@@ -357,16 +432,16 @@ def encoder(spark: SparkSession, path: str = MODEL, codec: Codec | None = None):
 
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())]))
     def encode(texts: pa.Array) -> pa.Array:
-        c, ids, exact = shared.value, [], []
-        for at in range(0, len(texts), 64):
-            some = texts.slice(at, 64).to_pylist()
-            got = c.encode_batch([x or "" for x in some])
-            ids += got
-            exact += [x is None or c.decode(i.tolist()) == x for x, i in zip(some, got)]
-        offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
-        values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(np.array(texts.is_null()), False)), values)
-        return pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["ids", "exact"])
+        c, lists, exact = shared.value, [], []
+        step = max(1, len(texts) * PORTION // max(texts.nbytes, 1))
+        for at in range(0, len(texts), step):
+            some = texts.slice(at, step)
+            got = c.encode_array(some)
+            lists.append(got)
+            exact.append(c.decodes_to(got, some))
+        ids = pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))
+        ids = pc.if_else(texts.is_null(), pa.scalar(None, ids.type), ids)
+        return pa.StructArray.from_arrays([ids, pa.array(np.concatenate([*exact, np.zeros(0, bool)]))], ["ids", "exact"])
 
     return encode
 
