@@ -37,4 +37,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components have not settled after {most_rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out._memlattice_path = e._memlattice_path  # discard(out) deletes the table behind it
+    return out

@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +48,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _table_name(spark: SparkSession) -> str:
+    return "memlattice_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has written in the shared folder, once no frame over them is read any more."""
+    for r in spark.sql(f"SHOW TABLES LIKE '{_table_name(spark)}_*'").collect():
+        spark.sql(f"DROP TABLE IF EXISTS {r['tableName']}")
     _delete(spark, _own_dir(spark))
 
 
@@ -64,10 +72,35 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return out
 
 
+def materialize_sorted(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """Write df as a table dealt into buckets by a hash of the keys, each sorted by them, and read it back. Joins and sums by
+    these keys of tables with as many buckets need no exchange, and in_order() spares the joins' sorts."""
+    spark = df.sparkSession
+    name = f"{_table_name(spark)}_{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._memlattice_path, out._memlattice_table = path, name
+    return out
+
+
+@contextmanager
+def in_order(spark: SparkSession) -> Iterator[None]:
+    """Plans made in here take the buckets of materialize_sorted() for sorted: it writes one file for each."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame that materialize() returned, once nothing reads it any more."""
-    path = getattr(df, "_memlattice_path", None)
-    if path:
+    """Delete the table behind a frame that materialize() or materialize_sorted() returned, once nothing reads it any more."""
+    if name := getattr(df, "_memlattice_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    if path := getattr(df, "_memlattice_path", None):
         _delete(df.sparkSession, path)
 
 
