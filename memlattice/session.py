@@ -84,16 +84,21 @@ def materialize_sorted(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     return out
 
 
+#: Buckets are one sorted file each; and a bucketed scan stays one, even where a plan above a union is only right for buckets.
+_IN_ORDER = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+
+
 @contextmanager
 def in_order(spark: SparkSession) -> Iterator[None]:
-    """Plans made in here take the buckets of materialize_sorted() for sorted: it writes one file for each."""
-    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+    """Plans made and run in here read the tables of materialize_sorted() as they lie: dealt out and sorted."""
+    before = {key: spark.conf.get(key) for key in _IN_ORDER}
     try:
+        for key, value in _IN_ORDER.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def discard(df: DataFrame) -> None:
