@@ -1,20 +1,26 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of (128-bit line hash, documents that hold it, largest document id), sorted by hash. Each batch of
-documents adds a run at level 0; whenever a level holds `fanout` runs, they are compacted into one run of the next level
-by adding the counts and taking the larger ids. To clean a batch, its line hashes are merge-joined with the runs to find
-what has to go, and what isn't there stays: an anti-join on (hash, holder). Only DataFrame functions run.
-
-Null or empty texts are one empty line. Repeated rows of a document count once and are cleaned alike. Rows with a null id
-are never counted and lose no line. Of an empty table the result is empty.
+The documents come in batches, those with the largest ids first. A run is a table of (128-bit line hash, documents that
+hold it, largest document id), dealt into buckets and sorted by hash. Each batch's hashes are counted and merge-joined with
+the runs: those that no run holds (the anti-join's) have their first, and thus largest, holder here; of the others only the
+count is news. Both go into a run of level 0. Whenever a level holds `fanout` runs, they are compacted into one of the next
+level. Runs are never dealt out or sorted again: every join and compaction reads them as they lie. After the last batch the
+runs say which lines go: those held often enough, from all documents but the holder they name. Only DataFrame functions run.
+
+Null or empty texts are one empty line. Repeated rows of a document count once and are cleaned alike; rows of one id with
+different texts are one document, each cleaned by its own lines. Rows with a null id are never counted and lose no line. Of
+equal lines in one document all go or all stay. A text's lines are worked through once, however many go and however long
+they are. Columns with clashing names keep them, the added ones take free names. Of an empty table the result is empty.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import discard, materialize
+from ..session import discard, in_order, materialize, materialize_sorted
 from .common import free
 
 #: The white space that is stripped at both ends of a line; fixed values.
@@ -32,88 +38,124 @@ def line_key(line: Column) -> Column:
     return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, CAPITALS, SMALL))
 
 
-def _hash(line: Column, min_chars: int) -> Column:
-    """128 bits for a line whose key is long enough, else null."""
-    key = line_key(line)
+def keyed_lines(df: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """(id, t, p, a, b): each keyed line's document, a hash of the text it stands in, its place there and its own two hashes."""
+    x = df.where(F.col(id_col).isNotNull() & (F.length(text) >= min_chars))
+    x = x.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.posexplode(lines_of(F.col(text))).alias("p", "line"))
     # stripping only shortens a line, so a shorter line needs no key
-    return F.when((F.length(line) >= min_chars) & (F.length(key) >= min_chars), F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b")))
+    x = x.where(F.length("line") >= min_chars).select("id", "t", "p", line_key(F.col("line")).alias("key"))
+    return x.where(F.length("key") >= min_chars).select("id", "t", "p", F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
 
 
-def keyed_lines(df: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
-    """(id, a, b): the hashes of each document's keyed lines, once for each row."""
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col(text)), lambda x: _hash(x, min_chars)), lambda h: h.isNotNull()))
-    out = df.where(F.col(id_col).isNotNull() & (F.length(text) >= min_chars)).select(F.col(id_col).alias("id"), F.explode(hashes).alias("h"))
-    return out.select("id", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
+def id_bounds(df: DataFrame, id_col: str, batches: int) -> list:
+    """Ids that part the rows into about equal batches, the largest first; of any type that has an order."""
+    ids = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).repartitionByRange(8 * batches, "id")
+    parts = sorted(((r["top"], r["n"]) for r in ids.groupBy(F.spark_partition_id()).agg(F.max("id").alias("top"), F.count("*").alias("n")).collect()), reverse=True)
+    whole, held, out = sum(n for _, n in parts), 0, []
+    for (_, n), (below, _) in zip(parts, parts[1:]):
+        held += n
+        if held * batches >= whole * (len(out) + 1):
+            out.append(below)
+    return out[: batches - 1]
 
 
 class LineRuns:
     """The runs by level. Old runs are deleted once a compacted one stands for them."""
 
-    def __init__(self, fanout: int = 4):
-        self.fanout = fanout
+    def __init__(self, buckets: int, fanout: int = 4):
+        self.buckets, self.fanout = buckets, fanout
         self.levels: list[list[DataFrame]] = []
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return materialize(run.sortWithinPartitions("a", "b"))
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def probed(self, hashes: DataFrame) -> DataFrame:
+        """hashes: (a, b, ...), one row each. Adds `known`: whether a run holds the line. Those that none does are the anti-join."""
+        marks = [f"in_{k}" for k in range(len(self.runs))]
+        x = hashes
+        for mark, run in zip(marks, self.runs):
+            x = x.join(run.select("a", "b", F.lit(True).alias(mark)).hint("merge"), ["a", "b"], "left")
+        known = reduce(Column.__or__, (F.col(m).isNotNull() for m in marks), F.lit(False))
+        return x.withColumn("known", known).drop(*marks)
+
+    def added(self, batch: DataFrame) -> DataFrame:
+        """The plan of add()."""
+        new = self.probed(batch.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("top")))
+        return new.select("a", "b", "n", F.when(~F.col("known"), F.col("top")).alias("top"))
 
     def add(self, batch: DataFrame) -> None:
-        """batch: distinct (id, a, b) of documents that no earlier batch holds."""
-        self._put(self._sorted(batch.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("top"))), 0)
+        """batch: distinct (id, a, b) of documents, whose ids are all smaller than those of earlier batches."""
+        with in_order(batch.sparkSession):
+            self._put(materialize_sorted(self.added(batch), self.buckets, "a", "b"), 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._put(self._sorted(self._merged(old)), level + 1)
-            for x in old:
-                discard(x)
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for x in runs[1:]:
-            out = out.unionByName(x)
-        return out.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-
-    def merged(self) -> DataFrame:
-        """(a, b, n, top) over all runs."""
-        return self._merged([x for level in self.levels for x in level])
-
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """The batch's lines that no run holds yet: for a stream where the first holder keeps a line."""
-        for level in self.levels:
-            for run in level:
-                batch = batch.join(run, ["a", "b"], "left_anti")
-        return batch
-
-    def drops(self, batch: DataFrame, min_docs: int) -> DataFrame:
-        """The batch's (id, a, b) that have to go: held by min_docs documents or more, of which another has a larger id."""
+            self._compact(self.levels[level], level + 1)
+
+    def merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs in one, for use under in_order(): counts are added up, the one id that a line has is kept."""
+        # all rows pass the filter, but it makes rows of the column batches: of those Spark 4.1 lays the union's buckets side by
+        # side, yet plans the sum as if it had joined them
+        return reduce(DataFrame.unionByName, [x.where(F.col("n") > 0) for x in runs]).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+
+    def _compact(self, old: list[DataFrame], level: int) -> None:
+        run = materialize_sorted(self.merged(old), self.buckets, "a", "b")
+        self.levels = [[x for x in xs if not any(x is y for y in old)] for xs in self.levels]
+        self._put(run, level)
+        for x in old:
+            discard(x)
+
+    def common(self, min_docs: int) -> DataFrame:
+        """(a, b, top) of the lines that min_docs documents or more hold, from one run into which all are compacted."""
+        with in_order(self.runs[0].sparkSession):
+            if len(self.runs) > 1:
+                self._compact(self.runs, len(self.levels))
         # written first: the join then reads two plain sides, and a line that very many documents hold can be split
-        common = materialize(self.merged().where(F.col("n") >= min_docs).drop("n"))
-        return batch.join(common, ["a", "b"]).where(F.col("id") < F.col("top")).select("id", "a", "b")
+        return materialize(self.runs[0].where(F.col("n") >= min_docs).select("a", "b", "top"))
 
+    def clear(self) -> None:
+        for run in self.runs:
+            discard(run)
+        self.levels = []
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, kept: str = "kept_text") -> DataFrame:
-    """df with three columns more: kept (the text without the lines that go), n_lines and n_dropped."""
-    kept, n_lines, n_dropped, gone, key = free(df, kept, "n_lines", "n_dropped", "l_gone", "l_id")
-    lined = materialize(keyed_lines(df, id_col, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")), "batch")
-    runs = LineRuns(fanout)
+
+def dropped_places(df: DataFrame, id_col: str, text: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """(id, t, gone): the places of the lines that go, in order, for each text that loses any."""
+    spark = df.sparkSession
+    batch = sum(((F.col("id") <= F.lit(b)).cast("int") for b in id_bounds(df, id_col, batches)), F.lit(0))
+    lined = materialize(keyed_lines(df, id_col, text, min_chars).withColumn("batch", batch), "batch")
+    runs = LineRuns(int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     for k in range(batches):
         runs.add(lined.where(F.col("batch") == k).select("id", "a", "b").distinct())
-    drops = runs.drops(lined.select("id", "a", "b"), min_docs)
-    drops = drops.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias(gone)).withColumnRenamed("id", key)
-    out = df.join(drops, df[id_col] == F.col(key), "left").drop(key)
-    lines = lines_of(F.col(text))
-    stays = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(gone), _hash(x, min_chars)), F.lit(False)))
-    out = out.withColumn(key, F.when(F.col(gone).isNotNull(), stays))
-    return (
-        out.withColumn(n_lines, F.size(lines).cast("long"))
-        .withColumn(n_dropped, F.when(F.col(gone).isNotNull(), F.size(lines) - F.size(key)).otherwise(0).cast("long"))
-        .withColumn(kept, F.when(F.col(gone).isNotNull(), F.array_join(key, "\n")).otherwise(F.coalesce(F.col(text), F.lit(""))))
-        .drop(gone, key)
+    common = runs.common(min_docs)
+    runs.clear()
+    drops = lined.join(common, ["a", "b"]).where(F.col("id") < F.col("top"))
+    out = materialize(drops.groupBy("id", "t").agg(F.sort_array(F.collect_set("p")).alias("gone")))
+    discard(common)
+    discard(lined)
+    return out
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 4, kept: str = "kept_text") -> DataFrame:
+    """df with three columns more: kept (the text without the lines that go), n_lines and n_dropped."""
+    kept, n_lines, n_dropped, gone, key, mark, lines = free(df, kept, "n_lines", "n_dropped", "l_gone", "l_id", "l_text", "l_lines")
+    drops = dropped_places(df, id_col, text, min_chars, min_docs, batches, fanout).toDF(key, mark, gone)
+    x = df.join(drops, (df[id_col] == F.col(key)) & (F.xxhash64(df[text]) == F.col(mark)), "left").drop(key, mark)
+    x = x.withColumn(lines, lines_of(F.col(text)))
+    # what lies between one line that goes and the next: each line is copied once
+    between = F.transform(
+        F.sequence(F.lit(0), F.size(gone)),
+        lambda k: F.slice(F.col(lines), F.coalesce(F.get(gone, k - 1), F.lit(-1)) + 2, F.coalesce(F.get(gone, k), F.size(lines)) - F.coalesce(F.get(gone, k - 1), F.lit(-1)) - 1),
+    )
+    return x.select(
+        *(x[c] for c in df.columns),
+        F.size(lines).cast("long").alias(n_lines),
+        F.coalesce(F.when(F.col(gone).isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias(n_dropped),
+        F.when(F.col(gone).isNotNull(), F.array_join(F.flatten(between), "\n")).otherwise(F.coalesce(F.col(text), F.lit(""))).alias(kept),
     )
 
 
