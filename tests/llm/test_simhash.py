@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -6,7 +7,7 @@ import xxhash
 
 from memlattice.llm import simhash as S
 
-from .docs import awkward, frame, sentence
+from .docs import awkward, clashing, frame, sentence
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -45,9 +46,32 @@ def test_fingerprints():
 
 
 def test_postings_miss_no_pair():
-    for a in range(8):
-        for b in range(8):
-            assert any(a not in p and b not in p for p in S.POSTINGS)
+    """Whichever two bits differ, one of the first postings fixes neither, and so does one of those that it is split into."""
+    seen, todo = set(), list(S.FIRST)
+    for a, b in itertools.product(range(64), repeat=2):
+        assert any(not {a // 4, b // 4} & s for s in S.FIRST)
+    while todo:
+        s = todo.pop()
+        if s in seen:
+            continue
+        seen.add(s)
+        kids = S.finer(s)
+        if not kids:
+            assert len(s) == 14  # 56 bits: at most 256 fingerprints share them
+        free = [k for k in range(64) if k // 4 not in s]
+        for a, b in itertools.product(free, repeat=2) if kids else ():
+            assert any(not {a // 4, b // 4} & t for t in kids)
+        todo += kids
+    assert S.bits(frozenset(range(16))) == -1 and S.bits(frozenset({15, 14})) == 255
+
+
+def test_a_dense_cluster_is_split_to_the_end(spark):
+    """All values of two bytes: every posting is dense until 56 bits are fixed."""
+    base = 0x0123456789AB0000
+    values = sorted({base ^ x for x in range(700)} | {base ^ (x << 3) for x in range(300)})
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {(r["a"], r["b"]) for r in S.links(fps, dense=4).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(values, 2) if (a ^ b).bit_count() <= 2}
 
 
 @pytest.mark.parametrize("dense", [1, 3, 32])
@@ -62,7 +86,7 @@ def test_links(spark, dense):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
     edges = [(x["a"] % (1 << 64), x["b"] % (1 << 64)) for x in S.links(fps, dense=dense).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in edges)
+    assert {frozenset(e) for e in edges} == {frozenset(e) for e in itertools.combinations(values, 2) if (e[0] ^ e[1]).bit_count() <= 2}
     root = {v: v for v in values}
     for _ in range(len(values)):
         for a, b in edges:
@@ -107,3 +131,11 @@ def test_stage(spark):
     ids = [r["doc_id"] for r in out.collect()]
     assert None in ids and 6 in ids and 7 not in ids and ids.count(6) == 1 and 1 in ids and 2 not in ids and 3 not in ids
     assert S.op2(frame(spark, [])).count() == 0
+
+
+def test_clashing_columns(spark):
+    df = clashing(frame(spark))
+    got = S.near_duplicates(df)
+    assert got.columns == ["doc_id", "fp", "component"] and got.count() == df.count()
+    named = S.near_duplicates(frame(spark).withColumnRenamed("doc_id", "fp"), "fp")
+    assert named.columns == ["fp", "_fp", "component"] and sorted(map(str, map(tuple, named.collect()))) == sorted(map(str, map(tuple, got.collect())))
