@@ -5,12 +5,14 @@ all raw texts. A document's weight is the log of the ratio of its likelihoods; a
 seed and id, and taking the k largest is sampling k documents without replacement in proportion to the weights.
 
 The k-th largest key is found without sorting: histograms of ever narrower ranges, of a bounded number of bins each, lead
-to it, and ties are settled by the id. Raw counts cover every document; target texts are those labelled good, at most
-`fit_labels` of them. k is the share of good ones among the labelled, of all documents, unless given.
-
-Null and empty texts have no n-grams and weight 0. Rows with the same id share their noise, and if the border falls among
-equal keys the row with the smaller id is taken; equal rows of one id are taken together. Without target texts all weights
-are 0. Of an empty table the result is empty.
+to it. Raw counts cover every document; target texts are those labelled good, at most `fit_labels` of them. k is the share
+of good ones among the labelled, of all documents, unless given.
+
+Null and empty texts have no n-grams and weight 0; a text of any length is counted whole. Rows with the same id, or with none,
+share their noise. If the border falls among equal keys (ties), those with the larger hash of their id are taken, and of
+equal rows of one id as many as are still needed: exactly k rows are selected, whatever the type of the id. Without target
+texts all weights are 0. Input columns other than id, text and target are not read, so none clashes; an id column that is
+called like an output column makes that one take a free name. Of an empty table the result is empty.
 """
 
 from __future__ import annotations
@@ -19,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import free, sliced, small_batches
+from .common import free, small_batches
 
 BUCKETS = 1 << 16
 #: Words whose hash codes a worker remembers.
@@ -100,52 +102,53 @@ def weigher(df: DataFrame, log_ratio: np.ndarray):
     return weigh
 
 
-def border(keyed: DataFrame, k: int, bins: int = 1024, most_rounds: int = 80) -> tuple[float, int | None]:
-    """keyed: (id, key). The k-th largest (key, then smallest id): rows above the key belong to the k, and of those at the
-    key the ids up to the one returned (None: no limit). Each round counts the rows of a range in equal bins."""
-    lo, hi, n = keyed.agg(F.min("key"), F.max("key"), F.count("key")).first()
-    if not n or k >= n:
-        return float("-inf"), None
-    if k <= 0:
-        return float("inf"), None
+def kth(df: DataFrame, column: str, k: int, bins: int = 1024, most_rounds: int = 80) -> tuple[float, int, int]:
+    """The k-th largest value of a numeric column, 1 <= k <= rows; how many of the rows that have it are among the k; how many
+    have it. Each round counts the rows of a range in equal bins."""
+    c = F.col(column)
+    lo, hi, n = df.agg(F.min(c), F.max(c), F.count(c)).first()
     need = k
     for _ in range(most_rounds):
         if lo == hi:
-            break
-        bin_ = F.least(F.floor((F.col("key") - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
-        rows = keyed.where(F.col("key").between(lo, hi)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy(F.desc("bin")).collect()
+            return lo, need, n
+        bin_ = F.least(F.floor((c - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
+        rows = df.where(c.between(lo, hi)).groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).orderBy(F.desc("bin")).collect()
         for r in rows:
             if r["n"] >= need:
-                lo, hi = r["lo"], r["hi"]
+                lo, hi, n = r["lo"], r["hi"], r["n"]
                 break
             need -= r["n"]
-    # all rows left have one key: the same search over their ids, from the smallest
-    ties = keyed.where(F.col("key") == lo)
-    a, b = ties.agg(F.min("id"), F.max("id")).first()
-    if a is None:
-        return lo, None
-    while a < b:
-        mid = (a + b) // 2
-        n = ties.where(F.col("id").between(a, mid)).count()
-        if n >= need:
-            b = mid
-        else:
-            a, need = mid + 1, need - n
-    return lo, a
+    raise RuntimeError(f"{column}: no border after {most_rounds} rounds")
+
+
+def chosen(keyed: DataFrame, k: int, bins: int = 1024) -> Column:
+    """keyed: (key, tie, place), place different for each row. Whether a row is one of the k with the largest (key, tie, place)."""
+    n = keyed.count()
+    if k <= 0 or k >= n:
+        return F.lit(k > 0)
+    out, need, rest = F.lit(False), k, keyed
+    equal = F.lit(True)
+    for column in ("key", "tie", "place"):
+        at, need, n = kth(rest, column, need, bins)
+        out = out | (equal & (F.col(column) > at))
+        equal = equal & (F.col(column) == at)
+        if need == n:
+            break
+        rest = rest.where(F.col(column) == at)
+    return out | equal
 
 
 def resample(df: DataFrame, target: str, k: int | None = None, share: float | None = None, id_col: str = "doc_id", text: str = "text", seed: int = 29, n_buckets: int = BUCKETS) -> DataFrame:
     """(id, log_weight, key, selected) for each row; k documents, or that share of all, are selected."""
     log_ratio = fit(df, text, target, n_buckets)
-    bits = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1 << 52)).cast("double")
-    gumbel = -F.log(-F.log((bits + 0.5) / float(1 << 52)))
-    x = df.select(id_col, weigher(df, log_ratio)(F.col(text)).alias("log_weight"))
-    x = materialize(x.select(F.col(id_col).alias("id"), "log_weight", (F.col("log_weight") + gumbel).alias("key")))
+    x = df.select(F.col(id_col).alias("id"), weigher(df, log_ratio)(F.col(text)).alias("log_weight"))
+    noise = lambda what: F.pmod(F.xxhash64(F.lit(what), "id"), F.lit(1 << 52)).cast("double")
+    gumbel = -F.log(-F.log((noise(seed) + 0.5) / float(1 << 52)))
+    x = materialize(x.select("id", "log_weight", (F.col("log_weight") + gumbel).alias("key"), noise(seed + 1).alias("tie"), F.monotonically_increasing_id().alias("place")))
     if k is None:
         k = round(x.count() * (1.0 if share is None else share))
-    key, last = border(x, k)
-    chosen = (F.col("key") > key) | ((F.col("key") == key) & (F.lit(last is None) | (F.col("id") <= F.lit(last))))
-    return x.select(F.col("id").alias(id_col), "log_weight", "key", F.coalesce(chosen, F.lit(False)).alias("selected"))
+    x = x.select("id", "log_weight", "key", chosen(x, k).alias("selected"))
+    return x.toDF(id_col, *free(df.select(id_col), "log_weight", "key", "selected"))
 
 
 def op1(documents: DataFrame, labels: DataFrame, fit_labels: int = 50_000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memlattice.llm import importance_resampling as I
 
-from .docs import awkward, frame
+from .docs import awkward, clashing, frame
 
 
 def corpus(n=300):
@@ -41,17 +41,31 @@ def test_ngrams():
 
 
 @pytest.mark.parametrize("bins", [2, 7, 1024])
-def test_border_is_the_kth(spark, bins):
+def test_exactly_k_are_chosen(spark, bins):
     r = random.Random(bins)
-    rows = [(k, float(r.choice((1, 2, 3, r.random(), 5)))) for k in range(200)]
-    df = spark.createDataFrame(rows, "id long, key double")
-    order = sorted(rows, key=lambda x: (-x[1], x[0]))
-    for k in (1, 50, 117, 199):
-        key, last = I.border(df, k, bins)
-        got = {i for i, x in rows if x > key or (x == key and (last is None or i <= last))}
-        assert got == {i for i, _ in order[:k]}
-    assert I.border(df, 0)[0] == math.inf and I.border(df, 200)[0] == -math.inf
-    assert I.border(spark.createDataFrame([], "id long, key double"), 3) == (-math.inf, None)
+    rows = [(float(r.choice((1, 2, 3, r.random(), 5))), float(r.randrange(4)), (k % 3 << 33) + k) for k in range(200)]
+    df = spark.createDataFrame(rows, "key double, tie double, place long")
+    order = sorted(rows, reverse=True)
+    for k in (0, 1, 50, 117, 199, 200, 300):
+        got = {tuple(x) for x in df.where(I.chosen(df, k, bins)).collect()}
+        assert got == set(order[:k])
+    empty = spark.createDataFrame([], "key double, tie double, place long")
+    assert empty.where(I.chosen(empty, 3)).count() == 0
+
+
+def test_ties_of_null_and_text_ids(spark):
+    """Rows of one id or of none share their key: as many as are needed are taken."""
+    for kind, ids in (("long", [None] * 4 + [7]), ("string", ["a"] * 6 + [None] * 3 + ["b"] * 2), ("date", [None, None])):
+        df = spark.createDataFrame([(k, "same text", False) for k in ids], f"doc_id {kind}, text string, t boolean")
+        for k in range(len(ids) + 1):
+            assert I.resample(df, "t", k=k).where("selected").count() == k
+
+
+def test_clashing_columns(spark):
+    df = clashing(frame(spark)).withColumn("key", F.lit("mine")).withColumn("t", F.lit(True))
+    got = I.resample(df, "t", k=3)
+    assert got.columns == ["doc_id", "log_weight", "key", "selected"] and got.where("selected").count() == 3
+    assert I.resample(df.drop("key").withColumnRenamed("doc_id", "key"), "t", k=3, id_col="key").columns == ["key", "log_weight", "_key", "selected"]
 
 
 def test_good_documents_are_chosen(spark):
