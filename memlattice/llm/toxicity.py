@@ -11,16 +11,21 @@ Each find is told apart by its level (the term itself, a stem, one edit, two edi
 reported (quotation marks or a reporting word around it), aimed (a second-person word near it), or plain. How likely a
 find of each kind is abuse is measured on the labelled texts, for each term, drawn towards its level's mean. A text's score is 1 - (1 - base) * product of (1 - likelihood) over its different finds.
 
-Null and empty texts get the base rate. Without labels nothing is learned and all scores are 0. Repeated rows score
-alike. The sample to learn from is bounded by `fit_docs`, and the lexicon by what stands often enough in the sample: each
-term is judged by its own contexts, so that one language's terms don't crowd out another's.
+Null and empty texts get the base rate. Without labels, or labelled texts of both kinds, nothing is learned and all scores
+are 0; of an empty table the result is empty. Repeated rows score alike; of terms that are equally near (ties) the first by
+name is found. Long texts are looked at in pieces that overlap by the context window, so that no find or kind depends on
+where they are cut. Columns with clashing names keep them, the added ones take free names. The sample to learn from is
+bounded by `fit_docs`, and the lexicon by what stands often enough in the sample: each term is judged by its own contexts, so
+that one language's terms don't crowd out another's.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +38,26 @@ from .common import free, sliced, small_batches
 from .language_id import held_out
 
 QUOTES = "\"'“”„«»‘’‚‹›"
-#: Words that report what others said, and words that address someone.
-REPORTING = ("said", "says", "wrote", "called", "quote", "quoted", "quoting", "reported", "word", "term", "slur")
-AIMED = ("you", "your", "youre", "yours", "u", "ur")
+#: Words that report what others said, and words that address someone, by language; fixed values.
+REPORTING_BY_LANGUAGE = {
+    "en": ("said", "says", "wrote", "called", "quote", "quoted", "quoting", "reported", "word", "term", "slur"),
+    "de": ("sagte", "sagt", "schrieb", "nannte", "genannt", "zitat", "zitierte", "zitiert", "wort", "begriff", "ausdruck", "schimpfwort"),
+    "fr": ("dit", "disait", "écrit", "écrivait", "appelé", "appelait", "citation", "cité", "citait", "mot", "terme", "insulte"),
+    "es": ("dijo", "dice", "escribió", "llamó", "llamado", "cita", "citó", "citado", "palabra", "término", "insulto"),
+}
+AIMED_BY_LANGUAGE = {
+    "en": ("you", "your", "youre", "yours", "u", "ur"),
+    "de": ("du", "dich", "dir", "dein", "deine", "deinen", "deiner", "euch", "euer", "eure"),
+    "fr": ("tu", "toi", "tes", "vous", "votre", "vos"),
+    "es": ("tú", "tu", "tus", "ti", "usted", "ustedes", "vosotros", "vuestro"),
+}
+REPORTING = frozenset().union(*REPORTING_BY_LANGUAGE.values())
+AIMED = frozenset().union(*AIMED_BY_LANGUAGE.values())
 WINDOW = 5
-#: Words a long text is looked at by at a time.
+#: Characters of a long text that are looked at at a time; a piece ends between words.
 PIECE = 1 << 17
+#: Runs of white space, and of words with white space around them.
+_SPACE, _FIRST_WORDS = re.compile(r"[\t-\r ]"), re.compile(r"[\t-\r ]*(?:[^\t-\r ]+[\t-\r ]*){0,%d}" % (WINDOW + 1))
 KINDS = ("plain", "quoted", "aimed")
 #: Deviations of the confidence bound: tens of thousands of words and stems are judged.
 SURE = 4.0
@@ -160,7 +179,10 @@ class LexiconAutomaton:
 
 def spans(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased code points, and where each white-space separated word starts and ends without the marks around it."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
+    return _spans(np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32))
+
+
+def _spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = (codes == 32) | ((codes >= 9) & (codes <= 13))
     edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
     first, last = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
@@ -183,17 +205,25 @@ class Lexicon:
     def finds(self, text: str | None) -> list[tuple[int, str, str, int, str]]:
         """(word number, word as written, term, level, kind) for each find of the text."""
         out: list[tuple[int, str, str, int, str]] = []
-        text = text or ""
-        at = done = 0
-        while at < len(text) and self.automaton.terms:
-            end = at + PIECE
-            while end < len(text) and not text[end].isspace():  # a piece ends between words
-                end += 1
-            piece = text[at:end]
-            codes, starts, ends = spans(piece)
+        low = (text or "").lower()
+        at = begin = before = done = 0  # the piece, where its context begins, how many words that has, words of earlier pieces
+        while at < len(low) and self.automaton.terms:
+            cut = _SPACE.search(low, at + PIECE)
+            end = cut.start() if cut else len(low)
+            codes, starts, ends = _spans(np.frombuffer(low[begin : _FIRST_WORDS.match(low, end).end()].encode("utf-32-le", "replace"), np.uint32))
+            inside = int(np.searchsorted(starts, end - begin))
             for w, t, e in zip(*self.automaton.finds(codes, starts, ends)):
-                out.append((done + int(w), "".join(map(chr, codes[starts[w] : ends[w]])), self.automaton.terms[t], int(e), self._kind(codes, starts, ends, int(w))))
-            done, at = done + len(starts), end
+                if before <= w < inside:
+                    out.append((done + int(w) - before, "".join(map(chr, codes[starts[w] : ends[w]])), self.automaton.terms[t], int(e), self._kind(codes, starts, ends, int(w))))
+            done += inside - before
+            before = min(inside, WINDOW + 1)
+            if before:  # back to the white space in front of the first of them
+                first = int(starts[inside - before])
+                space = np.nonzero((codes[:first] == 32) | ((codes[:first] >= 9) & (codes[:first] <= 13)))[0]
+                begin += int(space[-1]) + 1 if len(space) else 0
+            else:
+                begin = end
+            at = end
         return out
 
     @staticmethod
@@ -202,9 +232,9 @@ class Lexicon:
         before = "".join(map(chr, codes[ends[a - 1] if a else 0 : starts[w]]))
         after = "".join(map(chr, codes[ends[w] : starts[b] if b < len(starts) else len(codes)]))
         near = {"".join(map(chr, codes[starts[k] : ends[k]])).replace("'", "").replace("’", "") for k in range(a, b) if k != w}
-        if near & set(REPORTING) or (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)):
+        if near & REPORTING or (any(q in before for q in QUOTES) and any(q in after for q in QUOTES)):
             return "quoted"
-        return "aimed" if near & set(AIMED) else "plain"
+        return "aimed" if near & AIMED else "plain"
 
     def score(self, text: str | None) -> float:
         clean = 1 - self.base
@@ -214,12 +244,12 @@ class Lexicon:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, text) -> (word, toxic, context) for each word of 4 to 24 letters, contexts of a batch once each."""
+    """(toxic, text) -> (word, toxic, context) for each word of two letters or more, contexts of a batch once each."""
     for batch in sliced(batches, "text", 2 << 20):
         seen = set()
         for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ws = [w.strip(".,;:!?\"'()[]#*$%&|<>-_") for w in (text or "").lower().split()]
-            seen.update((w, toxic, hash((a, b)) & 0x7FFFFFFF) for a, w, b in zip(["", *ws], ws, [*ws[1:], ""]) if 4 <= len(w) <= 24 and w.isalpha())
+            seen.update((w, toxic, crc32(f"{a} {b}".encode())) for a, w, b in zip(["", *ws], ws, [*ws[1:], ""]) if len(w) > 1 and w.isalpha())
         rows = list(zip(*seen)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64())], ["word", "toxic", "context"])
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from memlattice.llm import toxicity as X
 from memlattice.llm.toxicity import LexiconAutomaton, allowance
 
-from .docs import awkward, frame
+from .docs import awkward, clashing, frame
 
 
 def distance(a: str, b: str) -> int:
@@ -80,9 +81,53 @@ def test_context_tells_quotation_from_abuse():
 
 
 def test_long_texts_are_read_whole(monkeypatch):
-    monkeypatch.setattr(X, "PIECE", 50)
-    text = "calm words here " * 40 + "idiot " + "calm " * 30 + "idoit"
-    assert [(w, e) for w, _, _, e, _ in lexicon().finds(text)] == [(120, 0), (151, 2)]
+    """Wherever a text is cut: the same finds of the same kinds."""
+    r = random.Random(3)
+    texts = ["calm words here " * 40 + "idiot " + "calm " * 30 + "idoit", " they wrote idiot there", "x" * 300 + " idiot", "\n\t idiot\u00a0idiot ", "İ" * 40 + ' said "idiot" İ']
+    for _ in range(30):
+        texts.append("".join(r.choice(["idiot", "you", "said", "«", "»", " ", " ", "\n", "calm", '"', "idoit", "...", "İ"]) + r.choice(["", " "]) for _ in range(120)))
+    whole = [lexicon().finds(t) for t in texts]
+    assert [(w, e) for w, _, _, e, _ in whole[0]] == [(120, 0), (151, 2)] and {k for x in whole for *_, k in x} == set(X.KINDS)
+    for piece in (1, 5, 23, 50):
+        monkeypatch.setattr(X, "PIECE", piece)
+        assert [lexicon().finds(t) for t in texts] == whole
+
+
+def test_quotation_and_address_in_other_languages():
+    kinds = lambda t: [k for *_, k in lexicon().finds(t)]
+    assert kinds("er sagte idiot dort") == kinds("il a écrit idiot hier") == kinds("la palabra idiot es vieja") == ["quoted"]
+    assert kinds("du bist ein idiot") == kinds("vous êtes idiot") == kinds("eres tú un idiot") == ["aimed"]
+
+
+def by_hand(lex, text):
+    """The score, word by word: distances to all terms, windows of words, likelihoods."""
+    words = [(m[0], m.start(), m.end()) for m in re.finditer(r"[^\t-\r ]+", (text or "").lower())]
+    plain = re.compile(r"[a-z0-9\u00c0-\U0010ffff]")
+    bare = []
+    for w, s, _ in words:
+        at = [m.start() for m in plain.finditer(w)]
+        bare.append((w[at[0] : at[-1] + 1], s + at[0], s + at[-1] + 1) if at else ("", s, s))
+    seen = set()
+    for k, (w, s, e) in enumerate(bare):
+        near = []
+        for t in lex.automaton.terms if w else ():
+            if t.endswith("+"):
+                near += [(0, True, t)] if w.startswith(t[:-1]) and len(w) >= len(t) else []
+            elif (d := distance(w, t)) <= allowance(t):
+                near.append((d, False, t))
+        if not near:
+            continue
+        d, stem, term = min(near)
+        a, b = max(0, k - 5), min(len(bare), k + 6)
+        low = (text or "").lower()
+        before, after = low[bare[a - 1][2] if a else 0 : s], low[e : bare[b][1] if b < len(bare) else len(low)]
+        around = {bare[x][0].replace("'", "").replace("’", "") for x in range(a, b) if x != k}
+        quoted = around & X.REPORTING or (any(q in before for q in X.QUOTES) and any(q in after for q in X.QUOTES))
+        seen.add((w, term, 1 if stem else d and d + 1, "quoted" if quoted else "aimed" if around & X.AIMED else "plain"))
+    clean = 1 - lex.base
+    for _, *f in seen:
+        clean *= 1 - lex.likely.get(tuple(f), lex.base)
+    return 1 - clean
 
 
 def corpus(n=600):
@@ -154,3 +199,32 @@ def test_rare_language_beside_a_frequent_one(spark):
     assert {"vilething", "ублюдок"} <= set(lex.automaton.terms)
     assert lex.score(" ".join(theirs[:9] + ["ублюдок"])) > 0.7 > lex.score(" ".join(theirs[:9]))
     assert found(lex.automaton, "ублюдак") == [("ублюдок", 2)] and found(lex.automaton, "лишние") == []
+
+
+def test_query_by_hand(spark):
+    """Every score of the query over whole texts, from the same lexicon."""
+    docs, labels = corpus(300)
+    docs += [(1000 + k, t, "en", "a", 1) for k, t in enumerate(["you vilethign", 'he said "grumpface" once', "nastolest of all, vilething vilething", "(grumpface)", "", None])] + awkward()
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lex = X.learned(frame(spark, docs), lab, ~X.held_out(F.col("doc_id"), 3, 1))
+    want = sorted((str(d), round(by_hand(lex, t), 9)) for d, t, *_ in docs)
+    assert sorted((str(r["doc_id"]), round(r["score"], 9)) for r in X.op3(frame(spark, docs), lab).collect()) == want
+    assert len({x for _, x in want}) > 5
+
+
+def test_short_and_long_terms(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(600):
+        ws = ["".join(r.choice("eioumnrst") for _ in range(6)) for _ in range(30)]
+        if k % 3 == 0:
+            ws[r.randrange(1, 29)] = r.choice(["zyx", "verylongabusivetermofthirtyletters"])
+        rows.append((k, " ".join(ws), int(k % 3 == 0)))
+    lex = X.fit(spark.createDataFrame(rows, "id long, text string, toxic int"))
+    assert lex.score("so zyx then") > 0.7 and lex.score("so verylongabusivetermofthirtyletters then") > 0.7 > lex.score("so zya then")
+
+
+def test_clashing_columns(spark):
+    df = clashing(frame(spark))
+    out = X.score(df, lexicon())
+    assert out.columns == [*df.columns, "_score"] and out.where("score <> 'mine' or _score is null").count() == 0
