@@ -1,11 +1,13 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule; a policy is a
-named, versioned set of rules, applied afterwards as a mask, and an ablation is an aggregation over the bits alone, so
-neither reads a text again. Everything is a native expression: no Python runs on the executors.
-
-Null or empty texts have no words and fail the rule on few words. Repeated rows are judged one by one, an empty table
-gives an empty ledger, and the added columns take free names where the input has columns of theirs.
+Every rule is evaluated once per document. The ledger keeps the measurements and one failure bit per rule, and is stored; a
+policy is a named, versioned set of rules, applied afterwards as a mask, and an ablation is an aggregation over the bits
+alone, so neither reads a text again. Everything is a native expression: no Python runs on the executors.
+
+Null or empty texts have no words and fail the rule on few words. A text of any length is measured whole, in time in
+proportion to it but for sorting the windows of one that repeats itself. Repeated rows are judged one by one (there are no
+ties to break), an empty table gives an empty ledger, and the added columns take free names where the input has columns of
+theirs.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import SPACE, free, words
 
 
@@ -128,26 +131,37 @@ def ablations(ledgered: DataFrame, policy: str | tuple[str, ...], fail_bits: str
     )
 
 
+def stored_ledger(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger as a table: (id_col, measurements, fail_bits). The texts are read for it, and never again."""
+    out = free(df.select(id_col), "ledger")[0]
+    names = free(df.select(id_col), *MEASURES, "fail_bits")
+    x = ledger(df.select(id_col, F.col(text)), text, out)
+    return materialize(x.select(id_col, *(F.col(out)[c].alias(n) for c, n in zip((*MEASURES, "fail_bits"), names))))
+
+
 def op4(df: DataFrame, policy: str = "standard@1") -> DataFrame:
-    """The digest of the contract: measurements, base_failed and kept for every document."""
-    x = ledger(df.select("doc_id", "text"), out="ledger")
-    led = F.col("ledger")
-    return x.select(
+    """The digest of the contract, from the stored ledger: measurements, base_failed and kept for every document."""
+    return stored_ledger(df).select(
         "doc_id",
-        *(led[m].alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
-        (~passes(led["fail_bits"], "base@1")).alias("base_failed"),
-        passes(led["fail_bits"], policy).alias("kept"),
-        led["fail_bits"].alias("fail_bits"),
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
+        (~passes(F.col("fail_bits"), "base@1")).alias("base_failed"),
+        passes(F.col("fail_bits"), policy).alias("kept"),
+        "fail_bits",
     )
 
 
+def ablation(df: DataFrame, policy: str = "standard@1") -> DataFrame:
+    """What each rule of a policy does to all documents, from the stored ledger."""
+    return ablations(stored_ledger(df), policy, "fail_bits")
+
+
 def stage(df: DataFrame, policy: str = "standard@1") -> DataFrame:
     """The documents that pass the policy, with their own columns."""
     out = free(df, "ledger")[0]
     return ledger(df, out=out).where(passes(F.col(out)["fail_bits"], policy)).drop(out)
 
 
-ORACLE = r"""
+_LEDGER_SQL = r"""
 with w as (
   select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
@@ -173,6 +187,21 @@ with w as (
     + case when 10 * n_capitals > 6 * word_chars then 64 else 0 end + case when 2 * n_exclamations > n_words then 128 else 0 end)::bigint as fail_bits
   from m
 )
+"""
+
+ORACLE = (
+    _LEDGER_SQL
+    + """
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits
 from b
 """
+)
+
+ABLATION_ORACLE = (
+    _LEDGER_SQL
+    + f"""
+select rule, (count(*) filter (where fail_bits & bit <> 0))::bigint as n_failed, (count(*) filter (where fail_bits = bit))::bigint as n_failed_alone,
+       (count(*) filter (where fail_bits in (0, bit)))::bigint as n_kept_without
+from b, (values {", ".join(f"('{r.name}', {1 << r.bit}::bigint)" for r in RULES)}) as r(rule, bit) group by rule
+"""
+)

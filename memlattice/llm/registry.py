@@ -1,4 +1,4 @@
-"""The queries of this package, one per operator, and the DuckDB SQL of those that SQL can express."""
+"""The queries of this package, one per operator and one for the ablations of the quality rules, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_line_dedup": lambda spark, d: line_dedup.op8(table(spark, d, "documents")),
     "op9_audio_features": lambda spark, d: audio_features.op9(table(spark, d, "documents")),
     "op10_url_filter": lambda spark, d: url_filter.op10(table(spark, d, "pages")),
+    "quality_ablation": lambda spark, d: quality_rules.ablation(table(spark, d, "documents")),
 }
 
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE,
+    "quality_ablation": quality_rules.ABLATION_ORACLE,
     "op6_source_mix": source_mix.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }

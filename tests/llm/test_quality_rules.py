@@ -60,3 +60,14 @@ def test_stage_keeps_columns(spark):
     assert Q.stage(df).columns == df.columns
     assert {r["doc_id"] for r in Q.stage(df).collect()} >= {6, 7, 8, 9, 10}
     assert Q.op4(frame(spark, [])).count() == 0
+
+
+def test_the_ledger_is_stored(spark):
+    """Policies and ablations read the table, whatever becomes of the texts; it holds no text."""
+    df = frame(spark)
+    led = Q.stored_ledger(df)
+    assert led.columns == ["doc_id", *Q.MEASURES, "fail_bits"] and led.inputFiles()
+    want = {r["rule"]: tuple(r)[1:] for r in Q.ablations(Q.ledger(df), "standard@1").collect()}
+    assert {r["rule"]: tuple(r)[1:] for r in Q.ablations(led, "standard@1", "fail_bits").collect()} == want
+    clash = Q.stored_ledger(df.withColumnRenamed("doc_id", "fail_bits"), "fail_bits")
+    assert clash.columns == ["fail_bits", *Q.MEASURES, "_fail_bits"]
