@@ -6,9 +6,13 @@ AND, give at once all languages whose filter has it. A text's n-grams are looked
 are corrected for that filter's false-positive rate, and the language with the largest corrected count wins (of equal
 ones the first by name).
 
-A null text, or one without a letter, is `und` with score 0. With nothing to learn from, every text is `und`. A text none of whose
-n-grams is known gets the most frequent language with score 0. Repeated rows are judged alike. The filter is fitted on
-a sample bounded by `fit_docs` and on at most `fit_grams` n-grams, so what is broadcast doesn't grow with the input.
+A null text, or one without a letter, is `und` with score 0. With nothing to learn from, an empty table too, every text is
+`und`; of an empty table the result is empty. A text none of whose n-grams is known gets the most frequent language with
+score 0; of languages with equal counts (ties) the first by name wins. Repeated rows are judged alike. Long texts are worked
+through in pieces, and no n-gram is lost or made up where one ends. Columns with clashing names keep them, the added ones
+take free names. The filter is fitted on a sample: about `fit_docs` documents of each language, and of those at most
+`fit_grams` n-grams a language, the ones in the largest share of its texts, so that no language crowds out another; what is
+broadcast grows with the languages, not with the input.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import discard, materialize
 from .common import free, sliced, small_batches
 
 #: n-grams of so many characters; a word's edges count as characters.
@@ -39,24 +44,37 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
+def gram_pieces(text: str) -> Iterator[np.ndarray]:
+    """64-bit codes of all n-grams of the text's letters, lower-cased, words set apart by one mark; piece by piece, each with
+    the end of what came before it."""
+    low = text.lower()
+    before, after_letter = np.zeros(1, np.uint64), False
+    for at in range(0, len(low) + 1, PIECE):
+        codes = np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "replace"), np.uint32)
+        letter = _letter_table()[codes]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        if len(keep):
+            keep[0] |= after_letter
+            after_letter = bool(letter[-1])
+        last = [0] if after_letter and at + PIECE > len(low) else []  # else the text has ended with a mark
+        x = np.concatenate((before, np.where(letter, codes, np.uint32(0))[keep], last)).astype(np.uint64)
+        out = []
+        for n in ORDERS:
+            y = x[max(0, len(before) - n + 1) :]
+            if len(y) >= n:
+                code = np.full(len(y) - n + 1, n, np.uint64)
+                for k in range(n):
+                    code = (code << np.uint64(20)) | y[k : len(y) - n + 1 + k]
+                out.append(code)
+        before = x[-(max(ORDERS) - 1) :]
+        if out:
+            yield np.concatenate(out)
+
+
 def grams(text: str) -> np.ndarray:
-    """64-bit codes of all n-grams of the text's letters, lower-cased, words set apart by one mark."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _letter_table()[codes]
-    if not letter.any():
-        return np.zeros(0, np.uint64)
-    marked = np.where(letter, codes, np.uint32(0))
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    x = np.concatenate(([np.uint32(0)], marked[keep], [np.uint32(0)])).astype(np.uint64)
-    out = []
-    for n in ORDERS:
-        if len(x) >= n:
-            code = np.full(len(x) - n + 1, n, np.uint64)
-            for k in range(n):
-                code = (code << np.uint64(20)) | x[k : len(x) - n + 1 + k]
-            out.append(code)
-    return np.concatenate(out)
+    """All of gram_pieces()."""
+    return np.concatenate([*gram_pieces(text), np.zeros(0, np.uint64)])
 
 
 def _slots(codes: np.ndarray, n_slots: int) -> list[np.ndarray]:
@@ -99,13 +117,11 @@ class SlicedFilter:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts, total = np.zeros(len(self.languages)), 0
-        for at in range(0, len(text or ""), PIECE):
-            codes = grams(text[at : at + PIECE])
+        for codes in gram_pieces(text or ""):
             total += len(codes)
-            if len(codes):
-                m = self.masks(codes)
-                for k in range(len(self.languages)):
-                    counts[k] += np.count_nonzero(m[:, k // 64] & (np.uint64(1) << np.uint64(k % 64)))
+            m = self.masks(codes)
+            for k in range(len(self.languages)):
+                counts[k] += np.count_nonzero(m[:, k // 64] & (np.uint64(1) << np.uint64(k % 64)))
         if not total or not self.languages:
             return "und", 0.0
         counts = np.maximum(0, (counts - total * self.false_rate) / (1 - self.false_rate))
@@ -118,36 +134,35 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text", 8 << 20):
         texts: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for at in range(0, len(text or ""), PIECE):
-                texts.setdefault(lang, []).append(np.unique(grams(text[at : at + PIECE])))
+            found = [np.unique(x) for x in gram_pieces(text)]
+            if found:  # a text counts once, in however many pieces
+                texts.setdefault(lang, []).append(found[0] if len(found) == 1 else np.unique(np.concatenate(found)))
         for lang, parts in texts.items():
             code, n = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_docs: int = 20_000, fit_grams: int = 200_000, least: int = 3, ratio: float = 0.2) -> SlicedFilter:
-    """Learn from rows with a language; about fit_docs of them, those with the least hashes of their ids.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_docs: int = 5_000, fit_grams: int = 100_000, least: int = 3, ratio: float = 0.2) -> SlicedFilter:
+    """Learn from rows with a language; about fit_docs of each, those with the least hashes of their ids.
 
     An n-gram belongs to a language if it is in `least` texts or more, and its share of that language's texts is at least
     `ratio` of its largest share in any language: passages of another language leave no trace.
     """
     small_batches(labelled.sparkSession)
-    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = labelled.where(F.col(lang).isNotNull()).count()
-    share = min(1.0, fit_docs / max(n, 1))
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # written, so that the sizes of the languages are known to be small and the texts stay where they are
+    sizes = materialize(known.groupBy("lang").agg(F.count("*").alias("rows")))
+    order = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 30))
+    sample = materialize(known.join(sizes, "lang").where(order < F.lit(fit_docs) / F.col("rows") * (1 << 30)).select("lang", "text"))
     per = sample.groupBy("lang").agg(F.count("*").alias("docs"))
-    docs = {r["lang"]: r["docs"] for r in per.orderBy(F.desc("docs"), "lang").limit(1024).collect()}
-    counts = sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "lang", "gram").limit(fit_grams).toPandas()
-    rows = rows[rows["lang"].isin(docs.keys())]
-    rows["share"] = rows["n"] / rows["lang"].map(docs)
-    rows = rows[rows["share"] >= ratio * rows.groupby("gram")["share"].transform("max")]
-    held = {name: part["gram"].to_numpy().view(np.uint64) for name, part in rows.groupby("lang")}
-    common = max(sorted(docs), key=docs.get) if docs else "und"
-    return SlicedFilter.of(held, common)
+    counts = materialize(sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    shares = counts.join(per, "lang").select("lang", "gram", (F.col("n") / F.col("docs")).alias("share"))
+    rows = shares.join(shares.groupBy("gram").agg(F.max("share").alias("most")), "gram").where(F.col("share") >= ratio * F.col("most")).select("lang", "gram", "share").toPandas()
+    docs = {r["lang"]: r["rows"] for r in sizes.collect()}
+    for x in (sizes, sample, counts):
+        discard(x)
+    held = {name: part.sort_values(["share", "gram"], ascending=[False, True])["gram"].to_numpy()[:fit_grams].view(np.uint64) for name, part in rows.groupby("lang")}
+    return SlicedFilter.of(held, max(sorted(docs), key=docs.get) if docs else "und")
 
 
 def predictor(df: DataFrame, model: SlicedFilter):

@@ -1,10 +1,14 @@
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from memlattice.llm import language_id as L
 from memlattice.llm.language_id import SlicedFilter, grams
 
-from .docs import awkward, frame
+from .docs import awkward, clashing, frame
 
 
 def test_grams():
@@ -59,9 +63,65 @@ def test_awkward_documents(spark):
 
 
 def test_long_text_in_pieces(monkeypatch, spark, sf):
+    """Cut inside words, between them, in white space or before the end: the same n-grams, so the same score."""
     df = spark.read.parquet(f"{sf}/documents.parquet")
     m = L.fit(df)
-    text = "".join(r["text"] for r in df.where("lang = 'fr'").limit(5).collect())
-    whole = m.predict(text)
-    monkeypatch.setattr(L, "PIECE", 500)
-    assert m.predict(text)[0] == whole[0] == "fr"
+    texts = ["".join(r["text"] for r in df.where("lang = 'fr'").limit(5).collect()), "ab, c1", "", "  ", "a", "...a b", "ΟΔΟΣ ΟΔΟΣ", "abc" * 7 + " "]
+    whole = [(m.predict(t), sorted(grams(t).tolist())) for t in texts]
+    assert whole[0][0][0] == "fr" and whole[0][0][1] > 0
+    for piece in (1, 2, 3, 7, 500):
+        monkeypatch.setattr(L, "PIECE", piece)
+        assert [(m.predict(t), sorted(grams(t).tolist())) for t in texts] == whole
+
+
+def test_a_rare_language_keeps_its_ngrams(spark):
+    """However many texts and n-grams the others have, and however many languages there are."""
+    def word(k, n):
+        return "".join(chr(0x4E00 + (k * 7919 + i * 104729) % 9000) for i in range(n))
+
+    rows = [(k, " ".join(word(k * 50 + i, 3) for i in range(30)), "many") for k in range(600)] * 2
+    rows += [(9000 + k, "wenige worte stehen hier im text", "few") for k in range(5)]
+    rows += [(10_000 + 4 * k + i, chr(0x10A0 + k % 60) * (2 + k // 60) + "abc", f"l{k:04d}") for k in range(1100) for i in range(4)]
+    m = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_docs=300, fit_grams=400)
+    assert len(m.languages) > 1100 and m.predict("worte im text")[0] == "few"
+
+
+def by_hand(train, texts):
+    """Counts in plain sets, without filters: a text's n-grams that a language has, by language."""
+    def ngrams(t):
+        x = re.sub(r"[^a-zäöüßàâçéèêëîïôùûñíóúáœæ]+", "_", "_" + (t or "").lower() + "_")
+        x = re.sub("_+", "_", x)
+        return [x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)] if x.strip("_") else []
+
+    docs, n = Counter(lang for _, lang in train), Counter()
+    for t, lang in train:
+        n.update((lang, g) for g in set(ngrams(t)))
+    share = {k: v / docs[k[0]] for k, v in n.items() if v >= 3}
+    most = {}
+    for (_, g), v in share.items():
+        most[g] = max(v, most.get(g, 0))
+    held = {k for k, v in share.items() if v >= 0.2 * most[k[1]]}
+    out = []
+    for t in texts:
+        gs = ngrams(t)
+        got = {lang: sum((lang, g) in held for g in gs) for lang in docs}
+        best = max(sorted(got), key=got.get)
+        out.append((best, got[best] / len(gs)) if gs else ("und", 0.0))
+    return out
+
+
+def test_query_by_hand(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("not text rlike '[^\\\\x00-\\\\x7fäöüßàâçéèêëîïôùûñíóúáœæÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÍÓÚÁŒÆ¿¡«»–—’“”…]'").collect()
+    df = spark.createDataFrame(rows)
+    train = [(r["text"], r["lang"]) for r in rows if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    want = dict(zip([r["doc_id"] for r in rows], by_hand(train, [r["text"] for r in rows])))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.op7(df).collect()}
+    assert len(got) == len(rows) > 100
+    for d, (lang, score) in want.items():
+        assert got[d][0] == lang and abs(got[d][1] - score) < 0.02, (d, got[d], lang, score)
+
+
+def test_clashing_columns(spark):
+    df = clashing(frame(spark)).withColumn("lang_pred", F.lit("mine"))
+    out = L.identify(df, L.fit(df))
+    assert out.columns == [*df.columns, "_lang_pred", "_score"] and out.where("lang_pred <> 'mine'").count() == 0
