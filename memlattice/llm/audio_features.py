@@ -3,11 +3,14 @@
 Media are WAV files with one channel of unsigned 8-bit samples. They are resampled by a polyphase windowed sinc, framed
 with overlap into log-mel filterbanks, and segmented by frame energy with two thresholds: a segment begins where the
 energy reaches the file's mean plus a margin and ends where it falls under the mean less that margin. The features of a
-file are fixed-shape tensors (frames x bands, float32, the last one padded with the floor), each with its time span.
+file are fixed-shape tensors (frames x bands, float32, the last one padded with the floor), each with its time span and
+level. They are stored as an Arrow record batch of a fixed-shape tensor column, one binary value for each file; what is said
+about a file is read back from all tensors of it.
 
 A null payload is an empty one; an empty payload has no frames, segments or tensors; an unreadable file has none either.
-Equal media give equal features; repeated rows are repeated work and nothing else. Files are worked through a few
-tensors at a time, so a long one needs no more memory than its samples and its features.
+Equal media give equal features (ties); repeated rows are repeated work and nothing else. Files are worked through a few
+tensors at a time, so a long one needs no more memory than its samples and its features. The media table's columns take
+free names where the input has columns of theirs. Of an empty table the result is empty.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import free, small_batches
 
 RATE = 16_000
 TARGET_RATE = 12_000
@@ -153,21 +156,34 @@ def frame_ms(frame: np.ndarray | int):
 
 
 SPAN = T.StructType([T.StructField("start_ms", T.LongType()), T.StructField("end_ms", T.LongType())])
-TENSOR = T.StructType([*SPAN.fields, T.StructField("level", T.DoubleType()), T.StructField("tensor", T.ArrayType(T.FloatType()))])
-FEATURES = T.StructType([T.StructField("frames", T.LongType()), T.StructField("segments", T.ArrayType(SPAN)), T.StructField("tensors", T.ArrayType(TENSOR))])
+FEATURES = T.StructType([T.StructField("frames", T.LongType()), T.StructField("segments", T.ArrayType(SPAN)), T.StructField("tensors", T.BinaryType())])
 
 
 def tensor_type() -> pa.DataType:
-    """The Arrow type of a tensor column outside Spark."""
+    """The Arrow type of the tensor column."""
     return pa.fixed_shape_tensor(pa.float32(), SHAPE, dim_names=["frame", "band"])
 
 
-def tensor_array(lists: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
-    """A column of flat lists, as Spark hands it over, as a fixed-shape tensor array."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    flat = lists.flatten().cast(pa.float32())
-    return pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(flat, SHAPE[0] * SHAPE[1]))
+def tensor_schema() -> pa.Schema:
+    return pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("level", pa.float64()), ("tensor", tensor_type())])
+
+
+def stored_tensors(mel: np.ndarray, energy: np.ndarray) -> bytes:
+    """The bands of a file's frames as fixed-shape tensors with their time spans and mean energies: an Arrow record batch."""
+    n, k = len(mel), -(-len(mel) // TENSOR_FRAMES)
+    padded = np.full((k * TENSOR_FRAMES, BANDS), FLOOR, np.float32)
+    padded[:n] = mel
+    first = np.arange(k) * TENSOR_FRAMES
+    last = np.minimum(first + TENSOR_FRAMES, n)
+    levels = np.add.reduceat(energy.astype(np.float64), first) / (last - first) if k else np.zeros(0)
+    tensors = pa.ExtensionArray.from_storage(tensor_type(), pa.FixedSizeListArray.from_arrays(pa.array(padded.ravel()), SHAPE[0] * SHAPE[1]))
+    spans = pa.array(frame_ms(first)), pa.array(frame_ms(last - 1) + FRAME * 1000 // TARGET_RATE)
+    return pa.record_batch([*spans, pa.array(levels), tensors], tensor_schema()).serialize().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.RecordBatch:
+    """start_ms, end_ms, level and tensor, as stored_tensors() has written them."""
+    return pa.ipc.read_record_batch(pa.py_buffer(stored), tensor_schema())
 
 
 def _offsets(sizes: list[int]) -> pa.Array:
@@ -176,30 +192,16 @@ def _offsets(sizes: list[int]) -> pa.Array:
 
 def features_of(media: list[bytes | None]) -> pa.StructArray:
     """The features of some files, in one Arrow array."""
-    frames, segs, levels, spans, tensors, counts = [], [], [], [], [], []
+    frames, segs, tensors = [], [], []
     for m in media:
         rate, samples = unwav(m)
         mel, energy = log_mel(samples, rate)
-        n, k = len(mel), -(-len(mel) // TENSOR_FRAMES)
-        padded = np.full((k * TENSOR_FRAMES, BANDS), FLOOR, np.float32)
-        padded[:n] = mel
-        first = np.arange(k) * TENSOR_FRAMES
-        last = np.minimum(first + TENSOR_FRAMES, n)
-        frames.append(n)
+        frames.append(len(mel))
         segs.append(segments(energy))
-        counts.append(k)
-        spans.append(np.stack([frame_ms(first), frame_ms(last - 1) + FRAME * 1000 // TARGET_RATE], axis=1))
-        levels += [float(energy[a:b].mean(dtype=np.float64)) for a, b in zip(first, last)]
-        tensors.append(padded.ravel())
+        tensors.append(stored_tensors(mel, energy))
     seg = np.concatenate([*segs, np.zeros((0, 2), np.int64)])
-    span = np.concatenate([*spans, np.zeros((0, 2), np.int64)])
-    flat = np.concatenate([*tensors, np.zeros(0, np.float32)])
-    size = SHAPE[0] * SHAPE[1]
-    names = ["start_ms", "end_ms"]
-    seg_lists = pa.ListArray.from_arrays(_offsets([len(s) for s in segs]), pa.StructArray.from_arrays([pa.array(frame_ms(seg[:, 0])), pa.array(frame_ms(seg[:, 1]))], names))
-    lists = pa.ListArray.from_arrays(_offsets([size] * len(span)), pa.array(flat))
-    rows = pa.StructArray.from_arrays([pa.array(span[:, 0]), pa.array(span[:, 1]), pa.array(levels, pa.float64()), lists], [*names, "level", "tensor"])
-    return pa.StructArray.from_arrays([pa.array(frames, pa.int64()), seg_lists, pa.ListArray.from_arrays(_offsets(counts), rows)], ["frames", "segments", "tensors"])
+    lists = pa.ListArray.from_arrays(_offsets([len(x) for x in segs]), pa.StructArray.from_arrays([pa.array(frame_ms(seg[:, 0])), pa.array(frame_ms(seg[:, 1]))], ["start_ms", "end_ms"]))
+    return pa.StructArray.from_arrays([pa.array(frames, pa.int64()), lists, pa.array(tensors, pa.binary())], ["frames", "segments", "tensors"])
 
 
 def _by_size(values: pa.Array, most: int = 4 << 20) -> Iterator[list]:
@@ -233,6 +235,18 @@ def features(media: pa.Array) -> pa.Array:
     return pa.concat_arrays([features_of(some) for some in _by_size(media)])
 
 
+@F.arrow_udf(T.StringType())
+def described(frames: pa.Array, tensors: pa.Array) -> pa.Array:
+    """What the stored tensors of a file hold: how many, the level of each in dB, and each band's mean over all frames, in tenths."""
+    out = []
+    for n, stored in zip(frames.to_pylist(), tensors):
+        x = read_tensors(stored.as_py())
+        levels = ",".join(str(round(v)) for v in x.column("level").to_pylist())
+        bands = x.column("tensor").to_numpy_ndarray().reshape(-1, BANDS)[:n].mean(axis=0, dtype=np.float64) if n else np.zeros(0)
+        out.append(f"tensors={x.num_rows}x{SHAPE[0]}x{SHAPE[1]}|db={levels}|mel=" + ",".join(str(round(10 * float(v))) for v in bands))
+    return pa.array(out, pa.string())
+
+
 def payload(text: Column, multiple: int = 64) -> Column:
     """The text's UTF-8 bytes, filled up with zeros to a positive multiple."""
     raw = F.coalesce(text, F.lit("")).cast("binary")
@@ -241,14 +255,22 @@ def payload(text: Column, multiple: int = 64) -> Column:
     return F.concat(raw, F.unhex(F.repeat(F.lit("00"), short)))
 
 
-def op9(df: DataFrame) -> DataFrame:
-    """The digest of the contract, from the stored files and their features."""
+def media_table(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with a media file that holds its text, and the file's frames, segments and tensors (read_tensors() reads them)."""
     small_batches(df.sparkSession, 200)
-    x = df.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), store(payload(F.col("text"))).alias("media"))
-    x = x.select("*", load("media").alias("back"), features("media").alias("f"))
-    ms = F.aggregate("f.segments", F.lit(0).cast("long"), lambda a, s: a + s["end_ms"] - s["start_ms"])
-    levels = F.array_join(F.transform(F.slice("f.tensors", 1, 16), lambda t: F.round(t["level"]).cast("int").cast("string")), ",")
-    said = F.concat_ws("|", F.concat(F.lit("frames="), F.col("f.frames")), F.concat(F.lit("segments="), F.size("f.segments")), F.concat(F.lit("active_ms="), ms), F.concat(F.lit("tensors="), F.size("f.tensors"), F.lit(f"x{SHAPE[0]}x{SHAPE[1]}")), F.concat(F.lit("db="), levels))
+    media, f, *names = free(df, "media", "a_features", "frames", "segments", "tensors")
+    x = df.withColumn(media, store(payload(F.col(text))))
+    x = x.withColumn(f, features(media))
+    return x.select(*df.columns, media, *(F.col(f)[c].alias(n) for c, n in zip(("frames", "segments", "tensors"), names)))
+
+
+def op9(df: DataFrame) -> DataFrame:
+    """The digest of the contract, from the stored files and their stored features."""
+    x = media_table(df.select("doc_id", "text"))
+    x = x.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media", "frames", "segments", "tensors")
+    x = x.select("*", load("media").alias("back"), described("frames", "tensors").alias("said"))
+    ms = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + s["end_ms"] - s["start_ms"])
+    said = F.concat_ws("|", F.concat(F.lit("frames="), F.col("frames")), F.concat(F.lit("segments="), F.size("segments")), F.concat(F.lit("active_ms="), ms), F.col("said"))
     return x.select(
         "doc_id",
         "n_bytes",

@@ -2,8 +2,8 @@ import hashlib
 import zlib
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from memlattice.llm import audio_features as A
 
@@ -64,13 +64,64 @@ def test_files():
 
 
 def test_tensors():
-    f = A.features_of([A.wav(b"q" * 40_000), None, A.wav(b""), A.wav(b"hello" * 20)]).to_pylist()
-    assert [len(x["tensors"]) for x in f] == [3, 0, 0, 1] and f[1]["frames"] == 0
-    t = f[0]["tensors"]
-    assert all(len(x["tensor"]) == A.SHAPE[0] * A.SHAPE[1] for x in t)
-    assert t[0]["start_ms"] == 0 and t[1]["start_ms"] == 960 and t[-1]["end_ms"] >= 2500
-    arr = A.tensor_array(pa.array([x["tensor"] for x in t], pa.list_(pa.float32())))
-    assert arr.type == A.tensor_type() and arr.to_numpy_ndarray().shape == (3, *A.SHAPE)
+    media = [A.wav(b"q" * 40_000), None, A.wav(b""), A.wav(b"hello" * 20)]
+    f = A.features_of(media).to_pylist()
+    t = [A.read_tensors(x["tensors"]) for x in f]
+    assert [x.num_rows for x in t] == [3, 0, 0, 1] and f[1]["frames"] == 0
+    assert t[0].schema.field("tensor").type == A.tensor_type()
+    assert t[0].column("start_ms").to_pylist() == [0, 960, 1920] and t[0].column("end_ms")[-1].as_py() >= 2500
+    mel, energy = A.log_mel(b"q" * 40_000, A.RATE)
+    got = t[0].column("tensor").to_numpy_ndarray()
+    assert got.shape == (3, *A.SHAPE) and np.array_equal(got.reshape(-1, A.BANDS)[: len(mel)], mel) and (got.reshape(-1, A.BANDS)[len(mel) :] == A.FLOOR).all()
+    assert np.allclose(t[0].column("level").to_numpy(), [energy[k : k + 96].mean() for k in (0, 96, 192)], atol=1e-3)
+
+
+def by_hand(payload):
+    """The feature string, frame by frame: resampling by full filtering, a direct transform, bands, states."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h = A._phases(3, 4).T.ravel().astype(float)
+    z = np.zeros(len(x) * 3)
+    z[::3] = x
+    y = np.convolve(z, h)[32::4]
+    n = A.frames_of(len(payload), A.RATE)
+    y = np.concatenate((y, np.zeros(n * A.HOP + A.FRAME)))
+    y[-(-len(x) * 3 // 4) + 40 :] = 0
+    y = y - 0.97 * np.concatenate(([0], y[:-1]))
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(A.FRAME), np.arange(A.FFT // 2 + 1)) / A.FFT)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(A.FRAME) / A.FRAME)
+    mel, energy = [], []
+    for k in range(n):
+        power = abs((y[k * A.HOP : k * A.HOP + A.FRAME] * window) @ turn) ** 2 / A.FFT
+        mel.append(np.log10(np.maximum(power @ A._mel(A.TARGET_RATE, A.FFT, A.BANDS), 1e-10)))
+        energy.append(10 * np.log10(max(power.mean(), 1e-10)))
+    on, segments, ms = False, 0, 0
+    for e in energy:
+        now = True if e >= np.mean(energy) + 0.5 else False if e < np.mean(energy) - 0.5 else on
+        segments += now and not on
+        ms, on = ms + 10 * now, now
+    levels = [np.mean(energy[k : k + 96]) for k in range(0, n, 96)]
+    return n, segments, ms, levels, np.mean(mel, axis=0)
+
+
+def test_feature_by_hand(spark):
+    """Of a text of over 16 tensors, whose last part is unlike the first."""
+    text = "calm and even words here " * 12_000 + "!?" * 20_000
+    r = A.op9(frame(spark, [(1, text, "en", "a", 1)])).first()
+    raw = text.encode()
+    n, segments, ms, levels, bands = by_hand(raw + bytes(-len(raw) % 64))
+    said = dict(x.split("=") for x in r["feature"].split("|"))
+    assert (int(said["frames"]), said["tensors"]) == (n, f"{len(levels)}x96x40") and len(levels) > 16
+    assert int(said["segments"]) == segments and int(said["active_ms"]) == ms
+    assert np.abs(np.array(said["db"].split(","), int) - levels).max() < 0.51
+    assert np.abs(np.array(said["mel"].split(","), int) / 10 - bands).max() < 0.06
+    other = A.op9(frame(spark, [(1, text[:-1] + " " * 3000, "en", "a", 1)])).first()
+    assert other["feature"] != r["feature"]
+
+
+def test_clashing_columns(spark):
+    df = frame(spark).withColumn("media", F.lit(1)).withColumn("Frames", F.lit(2))
+    out = A.media_table(df)
+    assert out.columns == [*df.columns, "_media", "_frames", "segments", "tensors"] and out.count() == df.count()
 
 
 def test_query(spark):
