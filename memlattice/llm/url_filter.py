@@ -3,14 +3,17 @@
 A rule is a host and a path prefix with a verdict; it fits its host and all subdomains, and the longest that fits wins.
 URLs that no rule fits are judged by boosted trees on length, depth, digit ratio, entropy, parameter counts and suffix
 statistics (how often URLs with this host ending, and with these host tokens, were labelled bad). The trees learn from
-labelled URLs: those the rules decide and those whose host holds a token of a seed list; a sample of the others stands
-for the good ones (positive-unlabelled learning), or else an ending that only a blocking rule mentions would look bad.
+labelled URLs: those the rules decide, those in a table of labels, if one is given, and where neither says anything, those
+with a token of a seed list as a whole token of their host. With a table of labels the others teach nothing; without one
+they stand for good ones (positive-unlabelled learning), or else an ending that only a blocking rule mentions would look bad.
 The statistics count all labelled URLs, each once, and are joined to the URLs by key; a URL's own label is left out of what
 it is told. Only the rows that train the trees are a sample: at most `fit_urls`, taken by a hash of the URL and described by
 the counts of the half of all URLs that they aren't in. They are trained on the driver and broadcast.
 
 A null URL, or one without "://", has empty host and path and is judged like any other. Without URLs of both kinds to
-learn from, every URL that no rule fits is allowed. Repeated rows are judged alike; an empty table gives an empty result.
+learn from, every URL that no rule fits is allowed. Very long URLs are judged whole. Repeated rows are judged alike, and so
+are URLs with equal features; a score at the threshold blocks; of several labels of a URL the worst counts, a null one says
+nothing. Columns with clashing names keep them, the added ones take free names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -209,10 +212,10 @@ def keys_of(host: Column, path: Column) -> Column:
 
 
 def described(labelled: DataFrame) -> DataFrame:
-    """labelled: (url, host, path, bad 0/1) -> each URL once (null as the empty one) with counted (whether it is not null), the
-    shares of bad of its ending, token and path over all other URLs, and train_*, the same over the half of them it isn't in."""
-    some = labelled.withColumn("counted", F.col("url").isNotNull().cast("int")).withColumn("url", F.coalesce("url", F.lit("")))
-    urls = materialize(some.groupBy("url", "host", "path", "bad").agg(F.max("counted").alias("counted")).withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2))))
+    """labelled: (url, host, path, bad 0/1 or null) -> each URL once (null as the empty one) with counted (whether it is labelled
+    and not null), the shares of bad of its ending, token and path over all other URLs, and train_*, the same over the half of them it isn't in."""
+    some = labelled.withColumn("counted", (F.col("url").isNotNull() & F.col("bad").isNotNull()).cast("int")).withColumn("url", F.coalesce("url", F.lit(""))).withColumn("bad", F.coalesce("bad", F.lit(0)))
+    urls = materialize(some.groupBy("url", "host", "path").agg(F.max("bad").alias("bad"), F.max("counted").alias("counted")).withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2))))
     half, bad, counted = F.col("half"), F.col("bad"), F.col("counted")
     counts = [F.sum(F.when(half == k, y).otherwise(0)).alias(f"{name}{k}") for k in (0, 1) for name, y in (("n", counted), ("b", bad * counted))]
     whole = urls.agg(*counts).first()
@@ -241,16 +244,29 @@ def fit(urls: DataFrame, fit_urls: int = 20_000) -> BoostedTrees | None:
     return BoostedTrees.fit(np.array([lexical(r["url"], r["host"], r["path"], (r["train_ending_bad"], r["train_token_bad"], r["train_path_bad"])) for r in rows]), y)
 
 
-def judged(df: DataFrame, url: str = "url", rules=RULES, seeds=SEEDS, fit_urls: int = 20_000, threshold: float = 0.5, model: UrlModel | None = None) -> DataFrame:
+def labelled_urls(x: DataFrame, rules=RULES, seeds=SEEDS, labels: DataFrame | None = None) -> DataFrame:
+    """x: (url, host, path, rule). Each URL once: (url, host, path, bad 0/1, null for one that teaches nothing). labels: (url, bad 0/1)."""
+    says = F.create_map(*(F.lit(v) for r in rules for v in r))
+    seeded = F.arrays_overlap(F.split("host", r"[.\-_]"), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
+    urls = x.distinct()
+    known = F.when(F.col("rule").isNotNull(), (says[F.col("rule")] == "block").cast("int"))
+    if labels is not None:
+        told = labels.where("url is not null").groupBy("url").agg(F.max(F.col("bad").cast("int")).alias("label"))
+        urls = urls.join(told, "url", "left")
+        known = F.coalesce(known, "label", F.when(seeded, 1))
+    else:
+        known = F.coalesce(known, seeded.cast("int"))
+    return urls.select("url", "host", "path", known.alias("bad"))
+
+
+def judged(df: DataFrame, url: str = "url", rules=RULES, seeds=SEEDS, labels: DataFrame | None = None, fit_urls: int = 20_000, threshold: float = 0.5, model: UrlModel | None = None) -> DataFrame:
     """df with host, path, rule, bad_score (the trees', for every URL) and verdict. A model brings its own statistics."""
     small_batches(df.sparkSession, 2000)
     host, path, rule, score, verdict, key, told = free(df, "host", "path", "rule", "bad_score", "verdict", "u_key", "u_told")
     x = df.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url))).withColumn(rule, rule_of(F.col(host), F.col(path), rules))
     says = F.create_map(*(F.lit(v) for r in rules for v in r))
     if model is None:
-        seeded = F.col(host).rlike("|".join(map(re.escape, seeds)))
-        bad = F.when(F.col(rule).isNotNull(), (says[F.col(rule)] == "block").cast("int")).otherwise(seeded.cast("int"))
-        urls = materialize(described(x.select(F.col(url).alias("url"), F.col(host).alias("host"), F.col(path).alias("path"), bad.alias("bad"))))
+        urls = materialize(described(labelled_urls(x.select(F.col(url).alias("url"), F.col(host).alias("host"), F.col(path).alias("path"), F.col(rule).alias("rule")), rules, seeds, labels)))
         model = fit(urls, fit_urls)
         # every URL of x is among them
         x = x.withColumn(key, F.coalesce(F.col(url), F.lit(""))).join(urls.select(F.col("url").alias(key), F.array("ending_bad", "token_bad", "path_bad").alias(told)), key).select(*x.columns, told)
