@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def longer_suffix(s: Column, suffix: str) -> Column:
+def longer_suffix(s: Column, suffix: Column) -> Column:
     """Whether s ends with the suffix and isn't the suffix itself."""
-    return s.endswith(suffix) & (F.length(s) > len(suffix))
+    return F.endswith(s, suffix) & (F.length(s) > F.length(suffix))
 
 
 def octal(field: Column) -> Column:

@@ -10,6 +10,21 @@ from ..operators.position import positioned
 NAN = float("nan")
 
 
+#: The largest number, and the smallest positive one at full precision.
+_LARGEST, _SMALLEST = 1.7976931348623157e308, 2.2250738585072014e-308
+_WHOLE = {"byte": 7, "short": 15, "int": 31, "long": 63}
+
+
+def sample_min(x: Column, kind: str = "double") -> Column:
+    """The type's largest value for an empty sample."""
+    return F.coalesce(F.min(x), F.lit((1 << _WHOLE[kind]) - 1 if kind in _WHOLE else _LARGEST).cast(kind))
+
+
+def sample_max(x: Column, kind: str = "double") -> Column:
+    """For an empty sample the type's least value, or the smallest positive one if it has fractions."""
+    return F.coalesce(F.max(x), F.lit(-(1 << _WHOLE[kind]) if kind in _WHOLE else _SMALLEST).cast(kind))
+
+
 def mean(x: Column) -> Column:
     """NaN for an empty sample."""
     return F.coalesce(F.avg(x), F.lit(NAN))
@@ -73,12 +88,30 @@ def extrapolated(count: Column, enabled: Column, running: Column) -> Column:
     return F.when(running == 0, F.lit(0).cast("long")).otherwise(F.floor(count * (enabled / running)).cast("long"))
 
 
-def event_counts(df: DataFrame, by: list[str], event: str = "event", count: str = "count") -> DataFrame:
-    """(by..., counts): a map from event to the sum of its counts. A map has as many keys as there are kinds of events."""
-    each = df.groupBy(*by, event).agg(F.sum(count).alias("_n"))
+def event_counts(df: DataFrame, by: list[str], event: str = "event", count: str = "count", extrapolate: bool = True, enabled: str = "time_enabled", running: str = "time_running") -> DataFrame:
+    """(by..., counts): a map from event to the sum of its counts, each over the whole time that its counter was enabled, unless
+    asked otherwise or the times aren't there. A map has as many keys as there are kinds of events."""
+    n = F.col(count)
+    if extrapolate and {enabled, running} <= set(df.columns):
+        n = extrapolated(n, F.col(enabled), F.col(running))
+    each = df.groupBy(*by, event).agg(F.sum(n).alias("_n"))
     return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(event, "_n"))).alias("counts"))
 
 
 def event_count(counts: Column, event: str) -> Column:
     """An event's count, 0 if it isn't there."""
     return F.coalesce(F.try_element_at(counts, F.lit(event)), F.lit(0))
+
+
+def grouped_events(groups: DataFrame, counters: DataFrame) -> DataFrame:
+    """groups: (thread, event_groups) of a configuration. counters: (run, thread, event, count[, time_enabled, time_running]).
+
+    (run, thread, event_group, event, count) for every event of every group of a thread: one that several groups list comes
+    once for each of them, and one without counters doesn't come.
+    """
+    each = groups.select("thread", F.posexplode("event_groups").alias("event_group", "g")).select("thread", "event_group", F.explode("g.events").alias("event"))
+    n = F.col("count")
+    if {"time_enabled", "time_running"} <= set(counters.columns):
+        n = extrapolated(n, F.col("time_enabled"), F.col("time_running"))
+    found = counters.select("run", "thread", "event", n.alias("count"))
+    return found.join(F.broadcast(each), ["thread", "event"]).select("run", "thread", "event_group", "event", "count")  # a configuration's size

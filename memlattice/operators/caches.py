@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship
@@ -25,7 +25,7 @@ from .position import positioned
 CHUNK = 1 << 18
 
 
-def interleave(refs: DataFrame, active: DataFrame, line_sizes: DataFrame | None = None) -> DataFrame:
+def interleave(refs: DataFrame, active: DataFrame) -> DataFrame:
     """The stream each group of threads sends: (group, pos, thread, line, domain).
 
     refs: (thread, t, addr, domain). active: (group, thread, line_size), a row for each thread of each group. pos is dense
@@ -39,14 +39,14 @@ def interleave(refs: DataFrame, active: DataFrame, line_sizes: DataFrame | None
 
 def replayed(stream: DataFrame, warmup: bool, initial: DataFrame | None = None) -> DataFrame:
     """The stream with what comes before it, by pass: -1 for initial lines (group, line, age: oldest 0), 0 for a warm-up run of the
-    same references, 1 for what counts. pos goes on from pass to pass."""
+    same references, 1 for what counts. pos begins at 0 and goes on from pass to pass."""
     out = stream.select("group", (F.col("pos") + F.col("length") * int(warmup)).alias("pos"), "thread", "line", "domain", F.lit(1).alias("pass"))
     if warmup:
         out = out.unionByName(stream.select("group", "pos", "thread", "line", "domain", F.lit(0).alias("pass")))
     if initial is not None:
         n = initial.groupBy("group").agg(F.count("*").alias("n"))
-        before = initial.join(F.broadcast(n), "group").select("group", (F.col("age") - F.col("n")).cast("long").alias("pos"), F.lit(-1).alias("thread"), "line", F.lit(-1).alias("domain"), F.lit(-1).alias("pass"))
-        out = out.unionByName(before)
+        out = out.join(F.broadcast(n), "group", "left").select("group", (F.col("pos") + F.coalesce("n", F.lit(0))).alias("pos"), "thread", "line", "domain", "pass")
+        out = out.unionByName(initial.select("group", F.col("age").cast("long").alias("pos"), F.lit(-1).alias("thread"), "line", F.lit(-1).alias("domain"), F.lit(-1).alias("pass")))
     return out
 
 
@@ -92,35 +92,62 @@ def _counted(by: str, least: int):
     return count
 
 
+def with_previous(stream: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The stream with chunk (of positions) and prev: the line's previous pos, or null.
+
+    Within a chunk of positions it is the row before among the line's; for the line's first row of a chunk it is the last one
+    of the line's chunk before, of which there is one row for each chunk and line. So no task holds more of a hot line than a
+    chunk, or one row for each chunk.
+    """
+    x = stream.withColumn("chunk", F.floor(F.col("pos") / chunk))
+    here = Window.partitionBy("group", "line", "chunk").orderBy("pos")
+    x = x.withColumn("near", F.lag("pos").over(here))
+    ends = x.groupBy("group", "line", "chunk").agg(F.max("pos").alias("last"))
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy("group", "line").orderBy("chunk"))).where("before is not null")
+    x = x.join(ends.select("group", "line", "chunk", "before"), ["group", "line", "chunk"], "left")
+    return x.select(*stream.columns, "chunk", F.coalesce("near", "before").alias("prev"))
+
+
+def _dominated(pairs: DataFrame) -> DataFrame:
+    """pairs: (group, chunk, bucket, c, asked), each (group, chunk, bucket) once. For those asked: n, the sum of c over smaller
+    chunks and larger buckets.
+
+    Two chunks differ first at one bit: at that level, the smaller one has a 0 and the larger one a 1 below equal higher bits.
+    So each pair of chunks is seen at one level, in the block of equal higher bits; rows grow with the levels, not the pairs.
+    """
+    top = pairs.agg(F.max("chunk")).first()[0] or 0
+    if not top:
+        return pairs.where("false").select("group", "chunk", "bucket", F.col("c").alias("n"))
+    level, shifted = F.col("level"), lambda by: F.call_function("shiftright", F.col("chunk").cast("long"), by.cast("int"))
+    x = pairs.withColumn("level", F.explode(F.array(*map(F.lit, range(int(top).bit_length())))))
+    x = x.withColumn("block", shifted(level + 1)).withColumn("bit", shifted(level).bitwiseAND(F.lit(1).cast("long")))
+    sums = x.groupBy("group", "level", "block", "bucket").agg(F.sum(F.when(F.col("bit") == 0, F.col("c")).otherwise(0)).alias("c"))
+    later = Window.partitionBy("group", "level", "block").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("n", F.sum("c").over(later)).where("n > 0").select("group", "level", "block", "bucket", "n")
+    return x.where("bit = 1 and asked").join(sums, ["group", "level", "block", "bucket"]).groupBy("group", "chunk", "bucket").agg(F.sum("n").alias("n"))
+
+
 def stack_distances(stream: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFrame:
     """The stream with prev (the line's previous pos, or null) and distance (other lines since then, or null).
 
     distance = (pos - prev - 1) less the references in between whose line was seen again in between: those k with
     prev(k) > prev. These are counted in three disjoint parts: in the same chunk of positions, in the same chunk of prev
-    but another of positions, and in later chunks of prev and earlier of positions, by a table of chunk pairs. A task thus
+    but another of positions, and in later chunks of prev and earlier of positions, by levels of chunks. A task thus
     holds one chunk, whatever the stream's length. References whose gap is under `least` have the gap for distance: an
     upper bound that tells as much to a cache of at least that many lines.
     """
-    from pyspark.sql import Window
-
     ship(stream.sparkSession)
-    w = Window.partitionBy("group", "line").orderBy("pos")
-    x = materialize(stream.withColumn("prev", F.lag("pos").over(w)))
+    x = materialize(with_previous(stream, chunk))
     gap = F.col("pos") - F.col("prev") - 1
-    again = x.where("prev is not null").select("group", "pos", "prev", F.floor(F.col("pos") / chunk).alias("chunk"), F.floor(F.col("prev") / chunk).alias("bucket"))
+    again = x.where("prev is not null").select("group", "pos", "prev", "chunk", F.floor(F.col("prev") / chunk).alias("bucket"))
     schema = "group string, pos long, n long"
     same = again.groupBy("group", "chunk").applyInPandas(_counted("pos", least), schema)
     near = again.groupBy("group", "bucket").applyInPandas(_counted("chunk", least), schema)
-    counts = again.groupBy("group", "chunk", "bucket").agg(F.count("*").alias("c"))
-    # sums over earlier chunks and later buckets, on the grid of chunk pairs
-    grid = counts.select("group", "chunk").distinct().withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))))
-    grid = grid.join(counts, ["group", "chunk", "bucket"], "left")
-    later = Window.partitionBy("group", "chunk").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("group", "bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    table = grid.withColumn("s", F.sum("c").over(later)).withColumn("n", F.sum("s").over(earlier)).where("n > 0").select("group", "chunk", "bucket", "n")
-    far = again.where(F.col("pos") - F.col("prev") - 1 >= least).join(table, ["group", "chunk", "bucket"]).select("group", "pos", "n")
+    pairs = again.groupBy("group", "chunk", "bucket").agg(F.count("*").alias("c"), F.max(gap >= least).alias("asked"))
+    far = again.where(gap >= least).join(_dominated(materialize(pairs)), ["group", "chunk", "bucket"]).select("group", "pos", "n")
     n = same.unionByName(near).unionByName(far).groupBy("group", "pos").agg(F.sum("n").alias("n"))
     wide = F.coalesce(gap >= least, F.lit(False))
+    x = x.drop("chunk")
     exact = x.where(wide).join(n, ["group", "pos"], "left").withColumn("distance", gap - F.coalesce("n", F.lit(0))).drop("n")
     return exact.unionByName(x.where(~wide).withColumn("distance", gap))
 
@@ -199,7 +226,10 @@ def simulate(stream: DataFrame, caches: DataFrame, policy: str) -> DataFrame:
     """
     ship(stream.sparkSession)
     make = POLICIES[policy]
-    x = stream.join(F.broadcast(caches), "group").repartition("cache").sortWithinPartitions("cache", "pos")
+    # a partition for each cache: by a hash two might share one
+    number = caches.select("cache", "group", "lines").orderBy("cache").collect()  # as many as the configuration has
+    numbered = caches.sparkSession.createDataFrame([(n, *r) for n, r in enumerate(number)], "part int, cache string, group string, lines long")
+    x = stream.join(F.broadcast(numbered), "group").repartitionById(len(number), F.col("part")).sortWithinPartitions("cache", "pos")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, state, counts = None, None, {}
@@ -218,8 +248,6 @@ def simulate(stream: DataFrame, caches: DataFrame, policy: str) -> DataFrame:
 
 def full_grid(misses: DataFrame, caches: DataFrame, n_threads: int, n_domains: int) -> DataFrame:
     """Zero-filled: a row for each cache, thread and domain (a configuration's sizes, not the data's)."""
-    spark = misses.sparkSession
     grid = caches.select("cache").distinct()
     grid = grid.withColumn("thread", F.explode(F.sequence(F.lit(0), F.lit(n_threads - 1)))).withColumn("domain", F.explode(F.sequence(F.lit(0), F.lit(n_domains - 1))))
-    assert spark is grid.sparkSession
     return grid.join(misses, ["cache", "thread", "domain"], "left").select("cache", "thread", F.col("domain").alias("numa_domain"), F.coalesce("misses", F.lit(0)).cast("long").alias("misses"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import MatrixError
@@ -26,6 +26,7 @@ class CompressedRows:
     matrix: SparseMatrix
     entries: DataFrame
     ptr: DataFrame
+    row_alignment: int = 1
 
 
 def csr(matrix: SparseMatrix, row_alignment: int = 1) -> CompressedRows:
@@ -37,9 +38,9 @@ def csr(matrix: SparseMatrix, row_alignment: int = 1) -> CompressedRows:
         pads = pads.select("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("o"))
         e = e.unionByName(pads.select("i", F.lit(0).alias("j"), "o", F.lit(0.0).alias("a"), F.lit(2).alias("kind")))
     marks = matrix.spark.range(matrix.rows + 1).select(F.col("id").alias("i"), F.lit(-1).alias("j"), F.lit(-1).cast("long").alias("o"), F.lit(None).cast("double").alias("a"), F.lit(0).alias("kind"))
-    p = materialize(positioned(e.unionByName(marks), ["i", "kind", "j", "o"], "p"))
+    p = positioned(e.unionByName(marks), ["i", "kind", "j", "o"], "p")  # written already
     entries = p.where("kind > 0").select((F.col("p") - F.col("i") - 1).alias("k"), "i", F.col("j").cast("long").alias("j"), "a", (F.col("kind") == 2).alias("is_pad"))
-    return CompressedRows(matrix, entries, p.where("kind = 0").select(F.col("i").alias("r"), (F.col("p") - F.col("i")).alias("ptr")))
+    return CompressedRows(matrix, entries, p.where("kind = 0").select(F.col("i").alias("r"), (F.col("p") - F.col("i")).alias("ptr")), row_alignment)
 
 
 def _ends(c: CompressedRows) -> DataFrame:
@@ -94,13 +95,21 @@ def hybrid(matrix: SparseMatrix, skip_padding: bool = False) -> tuple[DataFrame,
     return slots, over, width
 
 
-def storage(matrix: SparseMatrix) -> DataFrame:
+def _aligned(length: Column, row_alignment: int) -> Column:
+    return F.ceil(length / row_alignment).cast("long") * row_alignment if row_alignment > 1 else length
+
+
+def storage(matrix: SparseMatrix, row_alignment: int = 1) -> DataFrame:
     """(format, entries, padding, value_size, index_size, size, value_padding_size, index_padding_size) of each layout.
 
     Indices take 4 bytes, values 8. The hybrid layout's index size leaves out the overflow's row indices, as the layout
-    it follows reports it.
+    it follows reports it. Compressed rows are aligned as given; what that adds counts as entries, not as padding.
     """
     n = matrix.entries.agg(F.count("*").alias("nnz"))
+    if row_alignment > 1:
+        n = n.crossJoin(matrix.row_lengths().agg(F.coalesce(F.sum(_aligned(F.col("len"), row_alignment)), F.lit(0)).alias("csr")))
+    else:
+        n = n.withColumn("csr", F.col("nnz"))
     longest = matrix.max_row_length()
     width = hybrid_width(matrix)
     over = matrix.row_lengths().crossJoin(F.broadcast(width)).agg(F.coalesce(F.sum(F.greatest(F.col("len") - F.col("ell_row_length"), F.lit(0))), F.lit(0)).alias("coo"))
@@ -114,7 +123,7 @@ def storage(matrix: SparseMatrix) -> DataFrame:
 
     kinds = F.array(
         of("coo", F.col("nnz"), F.col("nnz") * 8, zero),
-        of("csr", F.col("nnz"), (rows + 1) * 4 + F.col("nnz") * 4, zero),
+        of("csr", F.col("csr"), (rows + 1) * 4 + F.col("csr") * 4, zero),
         of("ell", ell_slots, ell_slots * 4, ell_slots - F.col("nnz")),
         of("hybrid", hyb_slots + F.col("coo"), (hyb_slots + F.col("coo")) * 4, hyb_slots + F.col("coo") - F.col("nnz")),
     )
@@ -130,10 +139,12 @@ def rows_per_thread(matrix: SparseMatrix, threads: int) -> DataFrame:
     return matrix.spark.range(threads).select(t.cast("int").alias("thread"), (hi - lo).cast("long").alias("rows"))
 
 
-def nonzeros_per_thread(matrix: SparseMatrix, threads: int) -> DataFrame:
-    """(thread, csr, ell, hybrid): entries each thread works on, by layout; the hybrid count leaves out the overflow."""
+def nonzeros_per_thread(matrix: SparseMatrix, threads: int, row_alignment: int = 1) -> DataFrame:
+    """(thread, csr, ell, hybrid): entries each thread works on, by layout, those that align rows included; the hybrid count
+    leaves out the overflow."""
     c = max(1, -(-matrix.rows // threads))
-    n = matrix.entries.groupBy(F.floor(F.col("i") / c).cast("int").alias("thread")).agg(F.count("*").alias("csr"))
+    lengths = matrix.entries.groupBy("i").agg(F.count("*").alias("len"))
+    n = lengths.groupBy(F.floor(F.col("i") / c).cast("int").alias("thread")).agg(F.sum(_aligned(F.col("len"), row_alignment)).alias("csr"))
     widths = matrix.max_row_length().crossJoin(hybrid_width(matrix))  # one row each
     x = rows_per_thread(matrix, threads).join(n, "thread", "left").crossJoin(F.broadcast(widths))
     return x.select("thread", F.coalesce("csr", F.lit(0)).cast("long").alias("csr"), (F.col("rows") * F.col("max_row_length")).alias("ell"), (F.col("rows") * F.col("ell_row_length")).alias("hybrid"))

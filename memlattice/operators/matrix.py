@@ -7,7 +7,8 @@ that many entries share. Every product adds to y0, zero unless given, and has a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import warnings
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,14 @@ INT_MAX = 2147483647
 
 @dataclass(frozen=True)
 class SparseMatrix:
-    """entries: (k, i, j, a). The shape is part of the matrix: empty rows and columns have no entries."""
+    """entries: (k, i, j, a). The shape is part of the matrix: empty rows and columns have no entries. field and symmetry are
+    those of the file it comes from."""
 
     entries: DataFrame
     rows: int
     columns: int
+    field: str = "real"
+    symmetry: str = "general"
 
     @property
     def spark(self) -> SparkSession:
@@ -68,10 +72,12 @@ class SparseMatrix:
         return self.row_domain().join(n, "i", "left").select("i", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
     def expanded(self) -> SparseMatrix:
-        """With the mirrored off-diagonal entries, for a file that stores one triangle. Never done implicitly."""
-        both = self.entries.unionByName(self.entries.where("i <> j").select("k", F.col("j").alias("i"), F.col("i").alias("j"), "a"))
+        """With the mirrored off-diagonal entries, for a file that stores one triangle; those of a skew-symmetric one have the other
+        sign (of a hermitian one, the real parts are the same). Never done implicitly."""
+        a = -F.col("a") if self.symmetry == "skew-symmetric" else F.col("a")
+        both = self.entries.unionByName(self.entries.where("i <> j").select("k", F.col("j").alias("i"), F.col("i").alias("j"), a.alias("a")))
         n = max(self.rows, self.columns)
-        return SparseMatrix(positioned(both.drop("k"), ["i", "j", "a"]), n, n)
+        return SparseMatrix(positioned(both.drop("k"), ["i", "j", "a"]), n, n, self.field)
 
     def sorted_row_major(self) -> DataFrame:
         """Entries with their position in (i, j) order; equal ones keep file order."""
@@ -81,17 +87,23 @@ class SparseMatrix:
         return positioned(self.entries.withColumnRenamed("k", "file_k"), ["j", "i", "file_k"], "k")
 
     def permuted(self, new_order: DataFrame) -> SparseMatrix:
-        """Rows and columns renamed by new_order (old, new), two equi-joins. Only square matrices are permuted."""
-        if self.rows != self.columns:
+        """Rows and columns renamed by new_order (old, new), two equi-joins. Only square real matrices are permuted, others stay as
+        they are, with a warning. The order has to name each row once, and give each one a place of its own."""
+        if self.rows != self.columns or self.field != "real":
+            warnings.warn("only a square matrix of real values can be permuted: it stays as it is", stacklevel=2)
             return self
+        inside = F.col("old").between(0, self.rows - 1) & F.col("new").between(0, self.rows - 1)
+        n, old, new = new_order.agg(F.count(F.when(inside, 1)), F.count_distinct("old"), F.count_distinct("new")).first()
+        if (n, old, new) != (self.rows,) * 3 or new_order.count() != n:
+            raise MatrixError(f"the new order is not one of {self.rows} rows")
         rows = new_order.select(F.col("old").alias("i"), F.col("new").alias("new_i"))
         cols = new_order.select(F.col("old").alias("j"), F.col("new").alias("new_j"))
         e = self.entries.join(rows, "i").join(cols, "j").select("k", F.col("new_i").alias("i"), F.col("new_j").alias("j"), "a")
-        return SparseMatrix(e, self.rows, self.columns)
+        return replace(self, entries=e)
 
     def same_as(self, other: SparseMatrix, tolerance: float = 2.220446049250313e-16) -> bool:
-        """Equal shape and, position by position, equal indices and values within the tolerance."""
-        if (self.rows, self.columns) != (other.rows, other.columns):
+        """Equal shape, field and symmetry and, position by position, equal indices and values within the tolerance."""
+        if (self.rows, self.columns, self.field, self.symmetry) != (other.rows, other.columns, other.field, other.symmetry):
             return False
         o = other.entries.select("k", F.col("i").alias("oi"), F.col("j").alias("oj"), F.col("a").alias("oa"))
         differs = ~(F.col("i").eqNullSafe(F.col("oi")) & F.col("j").eqNullSafe(F.col("oj")) & (F.abs(F.col("a") - F.col("oa")) < tolerance))
@@ -100,9 +112,9 @@ class SparseMatrix:
 
 def check_vector(matrix: SparseMatrix, x: DataFrame) -> None:
     """A product needs one value for each column."""
-    n = x.count()
-    if n != matrix.columns:
-        raise MatrixError(f"the matrix has {matrix.columns} columns, the vector {n} values")
+    n, lo, hi = x.agg(F.count("*"), F.min("idx"), F.max("idx")).first()
+    if n != matrix.columns or n and (lo, hi) != (0, n - 1):
+        raise MatrixError(f"the matrix has {matrix.columns} columns, the vector {n} values from {lo} to {hi}")
 
 
 def ones(spark: SparkSession, n: int, value: float = 1.0) -> DataFrame:
@@ -120,7 +132,9 @@ def _accumulated(matrix: SparseMatrix, terms: DataFrame, term: Column, y0: DataF
 
 
 def spmv(matrix: SparseMatrix, x: DataFrame, y0: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
-    """(i, y) with y = y0 + A x. entries: another layout of A's entries, its padding included if it should count."""
+    """(i, y) with y = y0 + A x. entries: another layout of A's entries, its padding included if it should count. x has a value for
+    each column, or the product fails."""
+    check_vector(matrix, x)
     e = (matrix.entries if entries is None else entries).select("i", "j", "a")
     terms = e.join(x.select(F.col("idx").alias("j"), "v"), "j")
     return _accumulated(matrix, terms, F.col("a") * F.col("v"), y0)
@@ -133,6 +147,7 @@ def spmv_regular_traffic(matrix: SparseMatrix, y0: DataFrame | None = None) -> D
 
 def spmv_irregular_traffic(matrix: SparseMatrix, x: DataFrame, y0: DataFrame | None = None) -> DataFrame:
     """y = y0 + the sum of x at each row's columns: the gathers alone."""
+    check_vector(matrix, x)
     terms = matrix.entries.select("i", "j").join(x.select(F.col("idx").alias("j"), "v"), "j")
     return _accumulated(matrix, terms, F.col("v"), y0)
 
@@ -148,3 +163,13 @@ def inner(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def l2norm(x: DataFrame) -> DataFrame:
     return x.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("l2norm"))
+
+
+def combined(x: DataFrame, y: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(idx, v) with x + scale * y, of vectors of one length."""
+    return x.join(y.select("idx", F.col("v").alias("w")), "idx").select("idx", (F.col("v") + F.lit(scale) * F.col("w")).alias("v"))
+
+
+def scaled(x: DataFrame, scale: float) -> DataFrame:
+    """(idx, v) with scale * x."""
+    return x.select("idx", (F.lit(scale) * F.col("v")).alias("v"))

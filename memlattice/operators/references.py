@@ -172,6 +172,9 @@ class Csr(SpmvKernel):
         super().__init__(m, path)
         self._layout = layout
 
+    def _sizes(self, kind: str) -> int:
+        return formats.storage(self.m, self._layout.row_alignment if self._layout else 1).where(F.col("format") == "csr").first()["size"]
+
     @property
     def layout(self) -> formats.CompressedRows:
         if self._layout is None:
@@ -258,9 +261,6 @@ class VendorCsr(Csr):
     def references(self, threads: Threads) -> DataFrame:
         raise KernelError("Not implemented")
 
-    def _sizes(self, kind: str) -> int:
-        return super()._sizes("csr")
-
 
 #: By the names of the command line.
 KERNELS = {"coo": Coo, "coo-atomic": CooAtomic, "csr": Csr, "ell": Ell, "hybrid": Hybrid, "mkl-csr": VendorCsr}

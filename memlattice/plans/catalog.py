@@ -1,25 +1,17 @@
-"""Every query of the sparse-matrix engine, with its DuckDB SQL where SQL can express it."""
+"""The queries over matrices, layouts and samples, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_tree, stats
-from ..operators import caches, formats, matrix, references, reorder
-from ..operators.layout import VALUE_SIZE, div, owner
+from ..operators import formats, matrix, references, reorder
 from ..session import shared_dir
-from ..sources import mtx, report
-from . import tables, trace
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-THREADS = references.Threads((0, 1))
-T = THREADS.n
+from ..sources import mtx
+from . import tables
+from .registry import query
 
 #: CTEs that the SQL shares: entries in file order, shape, row-major positions, row starts.
 BASE = """
@@ -36,16 +28,6 @@ e as (select l_suppkey::bigint as i, l_partkey::bigint as j, sum(l_quantity)::do
 """
 
 
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
 def _spmv_sql(term: str, join: str = "") -> str:
     return BASE + f"select rws.i, coalesce(y, 0.0)::double as y from rws left join (select e.i, sum({term})::double as y from e {join} group by e.i) z on z.i = rws.i"
 
@@ -291,176 +273,6 @@ def _expanded(spark, d):
     return tables.square_matrix(spark, d).expanded().entries
 
 
-def _owner_sql(idx: str, n: str) -> str:
-    n = f"greatest({n}, 1)"
-    return f"least((least(({idx}) * 8 // 4096, ({n} * 8 + 4095) // 4096 - 1) * 4096 // 8) // (({n} + {T - 1}) // {T}), {T - 1})"
-
-
-@query("owner_thread", BASE + f"select j::bigint as j, {_owner_sql('j', 'nc')}::integer as thread from (select unnest(range(0, nc)) as j, nc from dims)")
-def _owners(spark, d):
-    n = tables.table(spark, d, "part").agg(F.max("p_partkey")).first()[0] + 1
-    return spark.range(n).select(F.col("id").alias("j"), owner(F.col("id"), n, VALUE_SIZE, T).alias("thread"))
-
-
-def _page(n: str, size: int) -> str:
-    return f"((greatest({n}, 1) * {size} + 4095) // 4096 * 4096)"
-
-
-def _refs_sql(arrays: list[tuple[str, str, int]], parts: list[str], ctes: str = "") -> str:
-    """parts select (thread, o1..o5, array, idx, domain); t is the rank by o1..o5 in the thread."""
-    base, at = [], "0"
-    for name, n, size in arrays:
-        base.append(f"select '{name}' as array_name, {at} as base, {size} as size from c")
-        at += f" + {_page(n, size)}"
-    return BASE + ctes + f"""
-, c as (select nr, nc, nnz, (nr + {T - 1}) // {T} as rc, (nnz + {T - 1}) // {T} as ec from dims),
-b as ({' union all '.join(base)}),
-p as ({' union all '.join(parts)})
-select thread::integer as thread, row_number() over (partition by thread order by o1, o2, o3, o4) - 1 as t, array_name as "array", idx::bigint as idx, (base + idx * size)::bigint as addr, domain::integer as domain
-from p join b using (array_name)"""
-
-
-_XY = [("x", "nc", 8), ("y", "nr", 8)]
-_GATHER_X = f"select k // ec as thread, 0 as o1, k as o2, 3 as o3, 0 as o4, 'x' as array_name, j as idx, {_owner_sql('j', 'nc')} as domain from e, c"
-
-
-def _coo_walk(src: str, ec: str, prefix: str, o1: int) -> list[str]:
-    own = f"k // {ec}"
-    return [
-        *(f"select {own} as thread, {o1} as o1, k as o2, {n} as o3, 0 as o4, '{prefix}{a}' as array_name, k as idx, {own} as domain from {src}, c" for n, a in enumerate(("row_index", "column_index", "value"))),
-        f"select {own}, {o1}, k, 3, 0, 'x', j, {_owner_sql('j', 'nc')} from {src}, c",
-    ]
-
-
-def _reduce(o1: int) -> list[str]:
-    length = f"{T} * (least(nr, (i // rc + 1) * rc) - i // rc * rc)"
-    return [
-        f"select i // rc, {o1}, i, q, 0, 'workspace', q * nr + i, {_owner_sql('q * nr + i', length)} from rws, c, range(0, {T}) r(q)",
-        f"select i // rc, {o1}, i, q, 1, 'y', i, i // rc from rws, c, range(0, {T}) r(q)",
-    ]
-
-
-@query("ref_triad", f"""
-with n as (select count(*)::bigint as n from lineitem), c as (select n, (n + {T - 1}) // {T} as ec, {_page('n', 8)} as w from n)
-select (k // ec)::integer as thread, 3 * (k - k // ec * ec) + q as t, ['b', 'c', 'a'][q + 1] as "array", k as idx, ([w, 2 * w, 0][q + 1] + 8 * k)::bigint as addr, (k // ec)::integer as domain
-from (select unnest(range(0, n)) as k, ec, w from c), range(0, 3) r(q)""")
-def _ref_triad(spark, d):
-    return references.Triad(spark, tables.table(spark, d, "lineitem").count()).references(THREADS)
-
-
-_ENTRY = [("row_index", "nnz", 4), ("column_index", "nnz", 4), ("value", "nnz", 8)]
-
-
-@query("ref_coo", _refs_sql([*_ENTRY, *_XY, ("workspace", f"nr * {T}", 8)], [*_coo_walk("e", "ec", "", 0), "select k // ec, 0, k, 4, 0, 'workspace', k // ec * nr + i, k // ec from e, c", *_reduce(1)]))
-def _ref_coo(spark, d):
-    return references.Coo(tables.lineitem_matrix(spark, d)).references(THREADS)
-
-
-@query("ref_coo_atomic", _refs_sql([*_ENTRY, *_XY], [*_coo_walk("e", "ec", "", 0), f"select k // ec, 0, k, 4, 0, 'y', i, {_owner_sql('i', 'nr')} from e, c"]))
-def _ref_coo_atomic(spark, d):
-    return references.CooAtomic(tables.lineitem_matrix(spark, d)).references(THREADS)
-
-
-@query("ref_csr", _refs_sql([("row_ptr", "nr + 1", 4), ("column_index", "nnz", 4), ("value", "nnz", 8), *_XY], [
-    f"select q as thread, -1 as o1, 0 as o2, 0 as o3, 0 as o4, 'row_ptr' as array_name, least(nr, q * rc) as idx, q as domain from c, range(0, {T}) r(q)",
-    "select i // rc, i, 0, 0, 0, 'row_ptr', i + 1, i // rc from rws, c",
-    "select i // rc, i, 1, k, 0, 'column_index', k, i // rc from s, c",
-    "select i // rc, i, 1, k, 1, 'value', k, i // rc from s, c",
-    f"select i // rc, i, 1, k, 2, 'x', j, {_owner_sql('j', 'nc')} from s, c",
-    "select i // rc, i, 2, 0, 0, 'y', i, i // rc from rws, c",
-]))
-def _ref_csr(spark, d):
-    return references.Csr(tables.lineitem_matrix(spark, d)).references(THREADS)
-
-
-def _ell_walk(width: str, prefix: str, o1: int) -> list[str]:
-    return [
-        f"select i // rc as thread, {o1} as o1, i as o2, l as o3, 0 as o4, '{prefix}column_index' as array_name, i * w + l as idx, i // rc as domain from g, c",
-        f"select i // rc, {o1}, i, l, 1, '{prefix}value', i * w + l, i // rc from g, c",
-        f"select i // rc, {o1}, i, l, 2, 'x', j, {_owner_sql('j', 'nc')} from g, c",
-        f"select i // rc, {o1}, i, {width}, 0, 'y', i, i // rc from rws, c",
-    ]
-
-
-@query("ref_ell", _refs_sql([("column_index", f"nr * {_LONGEST}", 4), ("value", f"nr * {_LONGEST}", 8), *_XY], _ell_walk(_LONGEST, "", 0), f", g as (select i, l, j, {_LONGEST} as w from ({_slots_sql(_LONGEST, 'coalesce(p.j, 0)')}))"))
-def _ref_ell(spark, d):
-    return references.Ell(tables.lineitem_matrix(spark, d)).references(THREADS)
-
-
-@query("ref_hybrid", _refs_sql(
-    [("ell_column_index", f"nr * {_WIDTH}", 4), ("ell_value", f"nr * {_WIDTH}", 8), *((f"coo_{n}", "(select count(*) from over0)", z) for n, _, z in _ENTRY), *_XY, ("workspace", f"nr * {T}", 8)],
-    [*_ell_walk(_WIDTH, "ell_", 0), *_coo_walk("over1", "oc", "coo_", 1), "select k // oc, 1, k, 4, 0, 'workspace', k // oc * nr + i, k // oc from over1, c", *_reduce(2)],
-    f", g as (select i, l, j, {_WIDTH} as w from ({_slots_sql(_WIDTH, 'coalesce(p.j, 0)')})) {_OVER}, over1 as (select *, greatest(1, (count(*) over () + {T - 1}) // {T}) as oc from over0)",
-))
-def _ref_hybrid(spark, d):
-    return references.Hybrid(tables.lineitem_matrix(spark, d)).references(THREADS)
-
-
-def _csr_kernel(spark, d):
-    return references.Csr(tables.lineitem_matrix(spark, d))
-
-
-@query("interleave", f"with refs as ({ORACLES['ref_csr']}) select row_number() over (order by t, thread) - 1 as pos, thread, addr // 64 as line, domain from refs")
-def _interleaved(spark, d):
-    refs = _csr_kernel(spark, d).references(THREADS).select("thread", "t", "addr", "domain")
-    active = spark.createDataFrame([("all", t, 64) for t in range(T)], "group string, thread int, line_size long")
-    return caches.interleave(refs, active).select("pos", "thread", "line", "domain")
-
-
-@query("lru_misses")
-def _lru(spark, d):
-    return trace.cache_misses(tables.config(), _csr_kernel(spark, d))
-
-
-@query("lru_misses_warmup")
-def _lru_warm(spark, d):
-    return trace.cache_misses(tables.config(), _csr_kernel(spark, d), warmup=True)
-
-
-@query("lru_misses_coo")
-def _lru_coo(spark, d):
-    return trace.cache_misses(tables.config(), references.Coo(tables.lineitem_matrix(spark, d)))
-
-
-@query("lru_stack_distances")
-def _distances(spark, d):
-    refs, _ = trace.stream(tables.config(), _csr_kernel(spark, d))
-    x = caches.stack_distances(refs.where(F.col("group") == "0,1/64"))
-    return x.groupBy("distance").agg(F.count("*").alias("refs"))
-
-
-@query("fifo_misses")
-def _fifo(spark, d):
-    return trace.cache_misses(tables.config(), _csr_kernel(spark, d), policy="fifo")
-
-
-@query("rand_misses")
-def _rand(spark, d):
-    return trace.cache_misses(tables.config(), _csr_kernel(spark, d), policy="rand")
-
-
-_CACHES = "(values ('L1-0', 'L2-0'), ('L1-1', 'L2-1'), ('L2-0', 'L3'), ('L2-1', 'L3'), ('L3', null)) as caches(cache, parent)"
-_CLOSURE = f"with recursive up(cache, ancestor) as (select cache, cache from {_CACHES} union all select up.cache, parent from up join {_CACHES} on caches.cache = up.ancestor where parent is not null) "
-
-
-@query("cache_ancestors", _CLOSURE + "select cache, ancestor from up")
-def _ancestors(spark, d):
-    config = tables.config()
-    return spark.createDataFrame([(c, a) for c in config.caches for a in config.ancestors(c)], "cache string, ancestor string")
-
-
-@query("active_threads", _CLOSURE + "select ancestor as cache, thread from up join (values (0::integer, 'L1-0'), (1::integer, 'L1-1')) as t(thread, first) on up.cache = t.first")
-def _active(spark, d):
-    config = tables.config()
-    return spark.createDataFrame([(c, t) for c in config.caches for t in config.active_threads(c)], "cache string, thread int")
-
-
-@query("cache_lines", "select cache, (size + 63) // 64 as lines, max(size) over () as max_cache_size from (values ('L1-0', 32768::bigint), ('L1-1', 32768), ('L2-0', 262144), ('L2-1', 262144), ('L3', 20971520)) as c(cache, size)")
-def _cache_lines(spark, d):
-    config = tables.config()
-    return config.caches_frame(spark).select("cache", div(F.col("size") + F.col("line_size") - 1, F.col("line_size")).alias("lines"), F.lit(config.max_cache_size()).cast("long").alias("max_cache_size"))
-
-
 _MOMENTS = """
 with m as (select *, avg(value::double) over (partition by event_type) as mu from events),
 c as (
@@ -516,16 +328,6 @@ def _mtx_lines(spark, d):
     return mtx.lines_of(mtx.of(tables.square_matrix(spark, d)))
 
 
-@query("trace_report")
-def _trace_report(spark, d):
-    config, kernel = tables.config(), _csr_kernel(spark, d)
-    found = report.trace(config, kernel.info(), False, trace.cache_misses(config, kernel))
-    return spark.createDataFrame([(report.pretty(found),)], "json string")
-
-
-
-
-
 @query("json_fields", """
 select event_id, case when json_type(props) = 'OBJECT' then 'object' else 'other' end as kind, len(json_keys(props))::bigint as members, list_sort(json_keys(props)) as keys,
        json_extract(props, '$.k')::bigint as k

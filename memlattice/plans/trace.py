@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import caches as sim
 from ..operators.references import Kernel, Threads
-from ..session import materialize
 from ..sources.config import TraceConfig
 
 
-def _groups(config: TraceConfig, names: list[str] | None = None) -> tuple[list, list]:
+def groups(config: TraceConfig, names: list[str] | None = None) -> tuple[list, list]:
     """Caches of the same threads and line size share a stream: (group, thread, line_size) and (cache, group, lines)."""
     active, caches = {}, []
     for c in config.caches.values():
@@ -28,7 +27,7 @@ def stream(config: TraceConfig, kernel: Kernel, warmup: bool = False, initial: D
     """The references by group of caches, and (cache, group, lines). The references are made once for all caches."""
     refs = kernel.references(Threads(config.domains))
     spark = refs.sparkSession
-    active, caches = _groups(config)
+    active, caches = groups(config)
     refs = sim.interleave(refs.select("thread", "t", "addr", "domain"), spark.createDataFrame(active, "group string, thread int, line_size long"))
     return sim.replayed(refs, warmup, initial), spark.createDataFrame(caches, "cache string, group string, lines long")
 
@@ -55,7 +54,3 @@ def timed(spark: SparkSession, kernel: Kernel, runs: int, flush: bool = False) -
         if n >= 0:
             out.append((n, time.perf_counter_ns() - began))
     return spark.createDataFrame(out, "run int, ns long")
-
-
-def kept(df: DataFrame) -> DataFrame:
-    return materialize(df)

@@ -39,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that is this application's."""
     return f"{shared_dir(spark)}/memlattice/{spark.sparkContext.applicationId}"
 
 
@@ -56,13 +57,13 @@ def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has written in the shared folder, once no frame over them is read any more."""
     for r in spark.sql(f"SHOW TABLES LIKE '{_table_name(spark)}_*'").collect():
         spark.sql(f"DROP TABLE IF EXISTS {r['tableName']}")
-    _delete(spark, _own_dir(spark))
+    _delete(spark, own_dir(spark))
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, whichever executor is lost."""
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -74,10 +75,11 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
 
 def materialize_sorted(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     """Write df as a table dealt into buckets by a hash of the keys, each sorted by them, and read it back. Joins and sums by
-    these keys of tables with as many buckets need no exchange, and in_order() spares the joins' sorts."""
+    these keys of tables with as many buckets need no exchange, and in_order() spares the joins' sorts where df was dealt out
+    by the keys already, as after a groupBy: each bucket is then one file."""
     spark = df.sparkSession
     name = f"{_table_name(spark)}_{uuid.uuid4().hex}"
-    path = f"{_own_dir(spark)}/{name}"
+    path = f"{own_dir(spark)}/{name}"
     df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     out = spark.table(name)
     out._memlattice_path, out._memlattice_table = path, name

@@ -53,7 +53,7 @@ class MatrixMarket:
         if self.header.format != "coordinate":
             raise MatrixError("Expected matrix in coordinate format")
         a = F.lit(1.0) if self.header.field == "pattern" else F.col("a").cast("double")
-        return SparseMatrix(self.entries.select("k", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), a.alias("a")), self.header.rows, self.header.columns)
+        return SparseMatrix(self.entries.select("k", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), a.alias("a")), self.header.rows, self.header.columns, self.header.field, self.header.symmetry)
 
 
 def parse_header(line: str) -> Header:
@@ -156,14 +156,15 @@ def _entries(body: DataFrame, header: Header, path: str) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, order: str | None = None, parts: DataFrame | None = None) -> SparseMatrix:
-    """A matrix by path; __RCM and __GP suffixes, or order="rcm", "gp", ask for a reordering (rcm first)."""
-    path, asked, _ = reorder_suffix(path)
+    """A matrix by path; __RCM and __GP<n> suffixes, or order="rcm", "gp", ask for a reordering (rcm first). parts: a partition of
+    the rows for gp; without one, and without n, gp leaves the order as it is."""
+    path, asked, n = reorder_suffix(path)
     m = read(spark, path).matrix()
     wanted = {*(asked or "").split("+"), *(order or "").split("+")}
     if "rcm" in wanted:
         m = m.permuted(reorder.reverse_cuthill_mckee(m))
     if "gp" in wanted:
-        m = m.permuted(reorder.graph_partition(m, parts))
+        m = m.permuted(reorder.graph_partition(m, parts, n))
     return m
 
 
@@ -198,6 +199,6 @@ def write(mm: MatrixMarket, path: str, write_entries: bool = True) -> None:
 
 
 def of(m: SparseMatrix, comments: tuple[str, ...] = ()) -> MatrixMarket:
-    """A matrix as a general real file."""
+    """A matrix as a file of real values, of the symmetry it has."""
     entries = m.entries.select("k", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "a")
-    return MatrixMarket(Header(rows=m.rows, columns=m.columns, num_entries=m.num_entries(), comments=comments), entries)
+    return MatrixMarket(Header(symmetry=m.symmetry, rows=m.rows, columns=m.columns, num_entries=m.num_entries(), comments=comments), entries)

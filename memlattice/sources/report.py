@@ -42,9 +42,13 @@ def sample(row, unit: str) -> dict:
 
 
 def profile(config: TraceConfig, kernel: dict, times: DataFrame, events: DataFrame | None = None) -> dict:
-    """times: (run, ns). events: (run, thread, event, count)."""
+    """times: (run, ns). events: counters (run, thread, event, count[, time_enabled, time_running]); those that the configuration's
+    event groups list are reported, for each thread, group and event."""
     t = stats.summary(times, [], "ns").first()
-    found = [] if events is None else stats.summary(events, ["thread", "event"], "count").orderBy("thread", "event").collect()
+    found = []
+    if events is not None:
+        grouped = stats.grouped_events(config.threads_frame(events.sparkSession), events)
+        found = stats.summary(grouped, ["thread", "event_group", "event"], "count").orderBy("thread", "event_group", "event").collect()
     return {"trace_config": config.as_json(), "kernel": kernel, "execution_time": sample(t, "ns"), "profiling_events": [{"name": r["event"], "thread": r["thread"], "counts": sample(r, r["event"])} for r in found]}
 
 

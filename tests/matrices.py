@@ -4,7 +4,7 @@ import random
 
 from memlattice.operators.matrix import SparseMatrix
 
-#: (rows, columns, entries, x, y)
+#: (rows, columns, entries, x, y): fixed values, whose layouts and products are known.
 X = [5, 2, 3, 3, 1]
 M6 = (4, 5, [(0, 0, 1), (0, 1, 2), (1, 1, 1), (2, 2, 3), (3, 3, 2), (3, 4, 1)], X, [9, 2, 9, 7])
 M7 = (4, 5, [(0, 0, 1), (0, 1, 2), (1, 1, 1), (2, 2, 3), (3, 0, -1), (3, 3, 2), (3, 4, 1)], X, [9, 2, 9, 2])

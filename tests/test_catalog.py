@@ -1,6 +1,6 @@
 import pytest
 
-from memlattice.plans import catalog
+from memlattice.plans import queries
 
 from .oracle import connect, same
 
@@ -10,13 +10,13 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf, con, name):
-    same(catalog.QUERIES[name](spark, sf), con, catalog.ORACLES[name])
+    same(queries.QUERIES[name](spark, sf), con, queries.ORACLES[name])
 
 
 def test_entry(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert e.entry(spark).count() == 20
+    assert e.entry(spark).count() == 56

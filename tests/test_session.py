@@ -1,9 +1,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from memlattice.operators.position import positioned
-from memlattice.session import clear, discard, materialize, shared_dir
+from memlattice.session import clear, discard, in_order, materialize, materialize_sorted, shared_dir
 
 
 def test_tables_in_the_shared_folder(spark):
@@ -29,9 +30,21 @@ def test_positions(spark, n):
 
 
 def test_a_hot_key_is_spread(spark):
-    from pyspark.sql import functions as F
-
     df = spark.range(20000).selectExpr("case when id % 3 > 0 then 1 else id end as a", "id as b")
     x = df.repartitionByRange(4, "a", "b").groupBy(F.spark_partition_id()).count()
     assert max(r["count"] for r in x.collect()) < 9000
     assert positioned(df, ["a", "b"], "k").agg(F.sum("k")).first()[0] == 20000 * 19999 // 2
+
+
+def test_sorted_tables_join_as_they_lie(spark):
+    x = materialize_sorted(spark.range(100).selectExpr("id % 50 as a", "id as n").groupBy("a").count(), 4, "a")
+    y = materialize_sorted(spark.range(30).selectExpr("id as a", "id as m").repartition(4, "a"), 4, "a")
+    with in_order(spark):
+        j = x.join(y.hint("merge"), "a")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan and sorted(r["a"] for r in j.collect()) == list(range(30))
+    path = x._memlattice_path.removeprefix("file:")
+    discard(x)
+    assert not os.path.exists(path) and not spark.catalog.tableExists(x._memlattice_table) and spark.catalog.tableExists(y._memlattice_table)
+    clear(spark)
+    assert not spark.catalog.tableExists(y._memlattice_table)

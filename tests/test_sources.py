@@ -7,7 +7,7 @@ import pytest
 
 from memlattice.errors import MatrixError, TraceConfigError
 from memlattice.functions.scalars import member_name, reorder_suffix, tar_number, wrap_text
-from memlattice.operators import references
+from memlattice.operators import references, reorder
 from memlattice.plans import tables, trace
 from memlattice.sources import config, mtx, report
 
@@ -76,7 +76,10 @@ def test_reordering_on_load(spark, tmp_path):
     path = put(tmp_path / "p.mtx", text)
     m = mtx.load(spark, path + "__RCM")
     assert m.bandwidth().first()[0] == 1 and mtx.load(spark, path).bandwidth().first()[0] == 3
-    assert mtx.load(spark, path + "__GP4").same_as(mtx.load(spark, path))
+    assert mtx.load(spark, path + "__GP").same_as(mtx.load(spark, path))
+    parted = mtx.load(spark, path + "__GP4")
+    plain = mtx.load(spark, path)
+    assert parted.same_as(plain.permuted(reorder.graph_partition(plain, n=4))) and not parted.same_as(plain)
 
 
 def test_names():
@@ -88,7 +91,7 @@ def test_names():
 
 
 def broken(**change):
-    c = json.loads(tables.CONFIG)
+    c = json.loads(tables.config_text())
     for k, v in change.items():
         at = c
         *way, last = k.split("__")
@@ -101,18 +104,18 @@ def broken(**change):
     return json.dumps(c)
 
 
-@pytest.mark.parametrize("text", ["[", "[]", "{}", broken(caches__L3__size=100), broken(caches__L3__parent="none"), broken(caches__L3__parent="L1-0"), broken(thread_affinities__0__cache="L9"), broken(thread_affinities__0__numa_domain=2), broken(thread_affinities__0__numa_domain=-1), broken(caches__L3__size=None), broken(thread_affinities__0__cpu="x")])
+@pytest.mark.parametrize("text", ["[", "[]", "{}", broken(caches__all__size=100), broken(caches__all__parent="none"), broken(caches__all__parent="a0"), broken(thread_affinities__0__cache="L9"), broken(thread_affinities__0__numa_domain=2), broken(thread_affinities__0__numa_domain=-1), broken(caches__all__size=None), broken(thread_affinities__0__cpu="x")])
 def test_bad_configurations(text):
     with pytest.raises(TraceConfigError):
         config.parse(text)
 
 
 def test_configuration(spark, tmp_path):
-    c = config.read(spark, put(tmp_path / "c.json", tables.CONFIG + " trailing"))
+    c = config.read(spark, put(tmp_path / "c.json", tables.config_text() + " trailing"))
     assert config.parse(json.dumps(c.as_json())) == c
-    assert c.active_threads("L3") == [0, 1] and c.active_threads("L2-1") == [1] and c.max_cache_size() == 20971520
-    assert c.ancestors("L1-0") == ["L1-0", "L2-0", "L3"]
-    assert c.caches_frame(spark).count() == 5 and c.threads_frame(spark).count() == 2
+    assert c.active_threads("all") == [0, 1, 2, 3] and c.active_threads("right") == [2, 3] and c.active_threads("spare") == [] and c.max_cache_size() == 1048576
+    assert c.ancestors("a0") == ["a0", "left", "all"]
+    assert c.caches_frame(spark).count() == 8 and c.threads_frame(spark).count() == 4
     plain = config.parse(broken(thread_affinities__0__event_groups=[["cycles", "misses"], {"pid": 1, "cpu": 2, "events": ["x"]}]))
     assert plain.threads[0].event_groups[0].events == ("cycles", "misses")
 
@@ -121,11 +124,13 @@ def test_reports(spark):
     c, k = tables.config(), references.Csr(make(spark, M7), "m7.mtx")
     r = json.loads(report.pretty(report.trace(c, k.info(), True, trace.cache_misses(c, k, warmup=True))))
     assert r["warmup"] is True and r["kernel"]["matrix_size"] == 7 * 12 + 5 * 4 and list(r["cache_misses"]) == sorted(c.caches)
-    assert r["cache_misses"]["L1-0"] == [[0, 0], [0, 0]]
+    assert r["cache_misses"]["a0"] == [[0, 0]] * 4 and r["cache_misses"]["spare"] == []
     cold = report.miss_matrices(trace.cache_misses(c, k), c)
-    assert cold["L3"][0][0] > 0 and cold["L1-1"][1][1] > 0
+    assert cold["all"][0][0] > 0 and cold["b2"][2][1] > 0
     times = trace.timed(spark, k, 3)
-    p = report.profile(c, k.info(), times, spark.createDataFrame([(0, 0, "e", 1), (1, 0, "e", 3)], "run int, thread int, event string, count long"))
-    assert p["execution_time"]["samples"] == 3 and p["profiling_events"][0]["counts"]["median"] == 3
+    rows = [(0, 0, "view", 1), (1, 0, "view", 3), (0, 0, "unlisted", 9), (0, 1, "click", 5)]
+    p = report.profile(c, k.info(), times, spark.createDataFrame(rows, "run int, thread int, event string, count long"))
+    found = [(e["thread"], e["name"], e["counts"]["samples"], e["counts"]["median"]) for e in p["profiling_events"]]
+    assert p["execution_time"]["samples"] == 3 and found == [(0, "view", 2, 3), (0, "view", 2, 3), (1, "click", 1, 5)]  # two groups of thread 0 list it
     assert '"nan"' in report.pretty({"a": [float("nan")]})
     assert references.Hybrid(make(spark, M8)).info()["ell_row_length"] == 2 and references.Triad(spark, 4).info() == {"name": "triad", "num_entries": "4"}

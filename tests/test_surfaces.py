@@ -7,6 +7,7 @@ from memlattice.__main__ import main
 from memlattice.functions import json_tree as J
 from memlattice.operators.caches import Lru
 from memlattice.plans import tables
+from memlattice.sources import events
 
 
 def test_json_kinds(spark):
@@ -23,7 +24,7 @@ def test_json_kinds(spark):
 
 @pytest.fixture
 def files(tmp_path):
-    (tmp_path / "c.json").write_text(tables.CONFIG)
+    (tmp_path / "c.json").write_text(tables.config_text())
     (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n3 3 4\n1 1 1\n2 3 2\n3 1 1\n3 3 1\n")
     return str(tmp_path / "c.json"), str(tmp_path / "m.mtx")
 
@@ -33,19 +34,51 @@ def test_command_line_traces(spark, files, capsys, kind):
     config, matrix = files
     assert main(["-c", config, "-m", matrix, "--spmv-format", kind]) == 0
     out = json.loads(capsys.readouterr().out)
-    assert out["kernel"]["matrix_format"] == kind and out["kernel"]["nonzeros"] == 4 and out["cache_misses"]["L3"][0][0] > 0
+    assert out["kernel"]["matrix_format"] == kind and out["kernel"]["nonzeros"] == 4 and out["cache_misses"]["all"][0][0] > 0
 
 
 def test_command_line_triad_and_errors(spark, files, capsys):
     config, matrix = files
     assert main(["-c", config, "--triad", "100"]) == 0
     misses = json.loads(capsys.readouterr().out)["cache_misses"]
-    assert sum(map(sum, misses["L1-0"])) == 3 * 7  # three arrays of 50 elements, 400 bytes, on 64-byte lines
+    assert sum(map(sum, misses["a0"])) == 3 * 4  # three arrays of 25 elements, 200 bytes, on 64-byte lines
     assert main(["-c", matrix]) == 1 and "memlattice:" in capsys.readouterr().err
     assert main(["-c", config, "-m", config, "--spmv-format", "csr"]) == 1
     assert main(["-c", config, "-m", matrix, "--spmv-format", "mkl-csr"]) == 1
 
 
+def test_command_line_errors_of_files_and_arguments(spark, files, capsys):
+    config, matrix = files
+    assert main(["-c", config + ".none"]) == 1 and main(["-c", config, "-m", matrix + ".none", "--spmv-format", "csr"]) == 1
+    assert capsys.readouterr().err.count("memlattice:") == 2
+    with pytest.raises(SystemExit):
+        main(["--triad", "4"])
+
+
+def test_command_line_lists_events_and_profiles(spark, files, tmp_path, capsys):
+    rows = [("cpu", "cycles", "Counts cycles. " * 9, None, None), ("cpu", "loads", "Loads", "hit", "those that hit"), ("cpu", "loads", "Loads", "all", None), ("mem", "reads", None, "a-very-long-attribute-name", "words " * 20)]
+    spark.createDataFrame(rows, events.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events")
+    assert main(["--list-perf-events", f"{tmp_path}/events"]) == 0
+    out = capsys.readouterr().out.split("\n")
+    assert out[0] == "cpu::cycles" and out[1].startswith("    Counts") and out[2].startswith("    ") and max(map(len, out)) <= 84
+    assert [x for x in out if "::" in x] == ["cpu::cycles", "cpu::loads", "mem::reads"]
+    assert out[out.index("cpu::loads") + 2] == " " * 21 + "all" + " " * 8 and "hit" + " " * 8 + "those that hit" in out[out.index("cpu::loads") + 3]
+    spark.createDataFrame([(0, 0, "view", 10, 4, 2), (1, 0, "view", 10, 4, 4)], "run int, thread int, event string, count long, time_enabled long, time_running long").write.parquet(f"{tmp_path}/counters")
+    config, matrix = files
+    assert main(["-c", config, "-m", matrix, "--spmv-format", "coo", "-p", "2", "--events", f"{tmp_path}/counters"]) == 0
+    p = json.loads(capsys.readouterr().out)
+    assert p["execution_time"]["samples"] == 2 and [e["counts"]["max"] for e in p["profiling_events"]] == [20, 20]
+
+
+def test_json_constructors_and_problems(spark):
+    made = J.object_(a=J.array(J.null(), J.boolean(F.lit(False)), J.from_number(F.lit(1.5))), b=J.from_string(F.lit('q"\n')), c=J.object_())
+    x = spark.range(1).select(F.to_json(made).alias("j"), J.keys(made).alias("k"), J.array_size(J.member(made, "a")).alias("n")).first()
+    assert json.loads(x["j"]) == {"a": [None, False, 1.5], "b": 'q"\n', "c": {}} and x["k"] == ["a", "b", "c"] and x["n"] == 3
+    docs = ['{"a":1} tail', None, "", "[1,\n2\n,]", "nul"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(docs)), "n long, t string").orderBy("n").select(J.problem(F.col("t"))).collect()]
+    assert got[:2] == [None, None] and got[2].startswith("1:1:") and got[3].startswith("3:") and got[4].startswith("1:1:")
+
+
 def test_live_caches(spark, tmp_path):
     from memlattice.streaming.live_caches import live_misses
 
