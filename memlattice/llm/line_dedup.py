@@ -126,10 +126,11 @@ class LineRuns:
 def dropped_places(df: DataFrame, id_col: str, text: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
     """(id, t, gone): the places of the lines that go, in order, for each text that loses any."""
     spark = df.sparkSession
-    batch = sum(((F.col("id") <= F.lit(b)).cast("int") for b in id_bounds(df, id_col, batches)), F.lit(0))
+    bounds = id_bounds(df, id_col, batches)
+    batch = sum(((F.col("id") <= F.lit(b)).cast("int") for b in bounds), F.lit(0))
     lined = materialize(keyed_lines(df, id_col, text, min_chars).withColumn("batch", batch), "batch")
     runs = LineRuns(int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-    for k in range(batches):
+    for k in range(len(bounds) + 1):
         runs.add(lined.where(F.col("batch") == k).select("id", "a", "b").distinct())
     common = runs.common(min_docs)
     runs.clear()
@@ -144,7 +145,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_c
     """df with three columns more: kept (the text without the lines that go), n_lines and n_dropped."""
     kept, n_lines, n_dropped, gone, key, mark, lines = free(df, kept, "n_lines", "n_dropped", "l_gone", "l_id", "l_text", "l_lines")
     drops = dropped_places(df, id_col, text, min_chars, min_docs, batches, fanout).toDF(key, mark, gone)
-    x = df.join(drops, (df[id_col] == F.col(key)) & (F.xxhash64(df[text]) == F.col(mark)), "left").drop(key, mark)
+    # joined alike at every size: by sorting, however few lines go
+    x = df.join(drops.hint("merge"), (df[id_col] == F.col(key)) & (F.xxhash64(df[text]) == F.col(mark)), "left").drop(key, mark)
     x = x.withColumn(lines, lines_of(F.col(text)))
     # what lies between one line that goes and the next: each line is copied once
     between = F.transform(
