@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +57,39 @@ def _table_name(spark: SparkSession) -> str:
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this application has written in the shared folder, once no frame over them is read any more."""
-    for r in spark.sql(f"SHOW TABLES LIKE '{_table_name(spark)}_*'").collect():
-        spark.sql(f"DROP TABLE IF EXISTS {r['tableName']}")
+    written = _written(spark)
+    for path, name in list(written.items()):
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        written.pop(path)
     _delete(spark, own_dir(spark))
 
 
+def _written(spark: SparkSession) -> dict[str, str | None]:
+    """Path -> name in the catalogue, if it has one, of this application's tables. When Python ends they go."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_memlattice_written"):
+        sc._memlattice_written = {}
+
+        def end() -> None:
+            with suppress(Exception):  # the session may have gone before
+                if sc._jsc is not None:
+                    clear(spark)
+
+        atexit.register(end)
+    return sc._memlattice_written
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables that are written in here are deleted at its end, but for those of the frames put into the list."""
+    before, kept = set(_written(spark)), []
+    yield kept
+    stay = before | {getattr(df, "_memlattice_path", None) for df in kept}
+    for path in [x for x in _written(spark) if x not in stay]:
+        _discard(spark, path)
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, whichever executor is lost."""
     spark = df.sparkSession
@@ -67,6 +97,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written(spark)[path] = None
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._memlattice_path = path
@@ -80,9 +111,10 @@ def materialize_sorted(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
     spark = df.sparkSession
     name = f"{_table_name(spark)}_{uuid.uuid4().hex}"
     path = f"{own_dir(spark)}/{name}"
+    _written(spark)[path] = name
     df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     out = spark.table(name)
-    out._memlattice_path, out._memlattice_table = path, name
+    out._memlattice_path = path
     return out
 
 
@@ -103,12 +135,16 @@ def in_order(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def _discard(spark: SparkSession, path: str) -> None:
+    if name := _written(spark).pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    _delete(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that materialize() or materialize_sorted() returned, once nothing reads it any more."""
-    if name := getattr(df, "_memlattice_table", None):
-        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path := getattr(df, "_memlattice_path", None):
-        _delete(df.sparkSession, path)
+        _discard(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
@@ -117,7 +153,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_memlattice_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="memlattice-"), "memlattice.zip")
+    folder = tempfile.mkdtemp(prefix="memlattice-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "memlattice.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for top, _, names in os.walk(here):
             for name in sorted(names):

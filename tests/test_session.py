@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlattice.operators.position import positioned
-from memlattice.session import clear, discard, in_order, materialize, materialize_sorted, shared_dir
+from memlattice.session import clear, discard, in_order, materialize, materialize_sorted, passing, shared_dir
 
 
 def test_tables_in_the_shared_folder(spark):
@@ -43,8 +43,17 @@ def test_sorted_tables_join_as_they_lie(spark):
         j = x.join(y.hint("merge"), "a")
         plan = j._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Sort [" not in plan and sorted(r["a"] for r in j.collect()) == list(range(30))
-    path = x._memlattice_path.removeprefix("file:")
+    path, name = (df._memlattice_path.removeprefix("file:") for df in (x, y))
     discard(x)
-    assert not os.path.exists(path) and not spark.catalog.tableExists(x._memlattice_table) and spark.catalog.tableExists(y._memlattice_table)
+    tables = lambda: {t.name for t in spark.catalog.listTables()}
+    assert not os.path.exists(path) and os.path.basename(path) not in tables() and os.path.basename(name) in tables()
     clear(spark)
-    assert not spark.catalog.tableExists(y._memlattice_table)
+    assert not os.path.exists(name) and os.path.basename(name) not in tables()
+
+
+def test_passing_tables(spark):
+    before = materialize(spark.range(2))
+    with passing(spark) as kept:
+        gone = materialize(spark.range(3))
+        kept.append(materialize(gone))
+    assert kept[0].count() == 3 and before.count() == 2 and not os.path.exists(gone._memlattice_path.removeprefix("file:"))
