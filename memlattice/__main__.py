@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="memlattice", description="Cache misses and timings of sparse matrix-vector products.")
     p.add_argument("-m", "--matrix", help="a Matrix Market file: plain, .gz, .tar.gz or .tgz; suffixes __RCM and __GP<n> reorder it")
     p.add_argument("-c", "--trace-config", help="a JSON description of caches and threads")
+    p.add_argument("--strict", action="store_true", help="refuse caches that leave out a nullable key")
     p.add_argument("--list-perf-events", metavar="TABLE", help="list the events of a catalogue (CSV, JSON lines or Parquet) and end")
     p.add_argument("--events", metavar="TABLE", help="counters of a profile, as Parquet: run, thread, event, count, time_enabled, time_running")
     p.add_argument("--spmv-format", choices=sorted(KERNELS))
@@ -39,7 +40,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         if not a.trace_config:
             p.error("--trace-config is needed")
-        cfg = config.read(spark, a.trace_config)
+        cfg = config.read(spark, a.trace_config, a.strict)
         if a.spmv_format:
             if not a.matrix:
                 p.error("--spmv-format needs --matrix")

@@ -29,6 +29,14 @@ class CompressedRows:
     row_alignment: int = 1
 
 
+def same_layout(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two frames of a layout (row pointers, entries, slots) hold the same."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    b = b.select(*a.columns)
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def csr(matrix: SparseMatrix, row_alignment: int = 1) -> CompressedRows:
     """Rows are padded to a multiple of the alignment with column 0 and value 0."""
     e = matrix.entries.select("i", "j", F.col("k").alias("o"), "a", F.lit(1).alias("kind"))

@@ -65,6 +65,15 @@ def _checked(spark, d):
     return spark.createDataFrame(rows, "x string, refused boolean")
 
 
+@query("layout_equality", "select true as ptr, true as entries, false as aligned, true as slots")
+def _layout_equality(spark, d):
+    """Layouts made twice, and one of aligned rows."""
+    m = tables.lineitem_matrix(spark, d)
+    a, b, c = formats.csr(m), formats.csr(m), formats.csr(m, _ALIGN)
+    same = formats.same_layout
+    return spark.createDataFrame([(same(a.ptr, b.ptr), same(a.entries, b.entries), same(a.entries, c.entries), same(formats.ell(m)[0], formats.ell(m)[0]))], "ptr boolean, entries boolean, aligned boolean, slots boolean")
+
+
 @query("matrix_equality", "select true as same, false as changed, false as reordered")
 def _equality(spark, d):
     m = tables.square_matrix(spark, d)

@@ -117,8 +117,13 @@ def _may(where: str, obj: dict, key: str, kind):
     return None if obj.get(key) is None else _need(where, obj, key, kind)
 
 
-def parse(text: str) -> TraceConfig:
-    """Nullable keys may be left out; event groups may be objects or plain lists of events."""
+#: Keys that may be null; fixed values of the format.
+NULLABLE = ("bandwidth", "bandwidth_per_numa_domain", "cache_miss_event", "parent")
+
+
+def parse(text: str, strict: bool = False) -> TraceConfig:
+    """Nullable keys of a cache may be left out, unless strict: then each has to be there. Event groups may be objects or plain
+    lists of events."""
     try:
         top, _ = json.JSONDecoder().raw_decode(text.lstrip())  # what follows the first element is ignored
     except json.JSONDecodeError as e:
@@ -131,6 +136,8 @@ def parse(text: str) -> TraceConfig:
         at = f"cache {name}"
         if not isinstance(c, dict):
             raise TraceConfigError(f"{at} is not an object")
+        if strict and (missing := [k for k in NULLABLE if k not in c]):
+            raise TraceConfigError(f"{at}: {missing[0]} is missing")
         per = _may(at, c, "bandwidth_per_numa_domain", list) or []
         caches[name] = Cache(name, int(_need(at, c, "size", number)), int(_need(at, c, "line_size", number)), _may(at, c, "bandwidth", number), tuple(map(float, per)), _may(at, c, "cache_miss_event", str), _may(at, c, "parent", str))
     threads = []
@@ -147,12 +154,12 @@ def parse(text: str) -> TraceConfig:
     return TraceConfig(*named, int(_may("configuration", top, "num_numa_domains", number) or 0), tuple(map(float, per)), caches, tuple(threads))
 
 
-def read(spark: SparkSession, path: str) -> TraceConfig:
+def read(spark: SparkSession, path: str, strict: bool = False) -> TraceConfig:
     """From any path that Spark reads."""
     rows = spark.read.text(path, wholetext=True).collect()
     if len(rows) != 1:
         raise TraceConfigError(f"{path}: expected one file")
     try:
-        return parse(rows[0][0])
+        return parse(rows[0][0], strict)
     except TraceConfigError as e:
         raise TraceConfigError(f"{path}: {e}") from e

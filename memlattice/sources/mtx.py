@@ -55,6 +55,14 @@ class MatrixMarket:
         a = F.lit(1.0) if self.header.field == "pattern" else F.col("a").cast("double")
         return SparseMatrix(self.entries.select("k", (F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), a.alias("a")), self.header.rows, self.header.columns, self.header.field, self.header.symmetry)
 
+    def same_as(self, other: MatrixMarket) -> bool:
+        """Equal headers, comments too, and equal entries, place by place."""
+        columns = self.entries.columns
+        if self.header != other.header or sorted(columns) != sorted(other.entries.columns):
+            return False
+        theirs = other.entries.select(*columns)
+        return self.entries.exceptAll(theirs).isEmpty() and theirs.exceptAll(self.entries).isEmpty()
+
 
 def parse_header(line: str) -> Header:
     tokens = line.split()

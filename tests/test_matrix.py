@@ -166,6 +166,12 @@ def test_symmetry_is_kept(spark):
     assert not m.same_as(replace(m, symmetry="symmetric"))
 
 
+def test_layouts_are_equal(spark):
+    a, b, c = (formats.csr(make(spark, m), n) for m, n in ((M8, 1), (M8, 1), (M8, 2)))
+    assert formats.same_layout(a.ptr, b.ptr) and formats.same_layout(a.entries, b.entries) and not formats.same_layout(a.entries, c.entries)
+    assert formats.same_layout(formats.ell(make(spark, M8))[0], formats.ell(make(spark, M8))[0]) and not formats.same_layout(formats.ell(make(spark, M8))[0], formats.ell(make(spark, M9))[0])
+
+
 def test_aligned_sizes(spark):
     m = make(spark, M8)  # rows of 3, 2, 1 and 2
     row = formats.storage(m, 4).where("format = 'csr'").first()

@@ -120,6 +120,19 @@ def test_configuration(spark, tmp_path):
     assert plain.threads[0].event_groups[0].events == ("cycles", "misses")
 
 
+def test_nullable_keys_have_to_be_there_if_asked():
+    whole, cut = tables.config_text(), broken(caches__all__cache_miss_event=None)
+    assert "cache_miss_event" not in json.loads(cut)["caches"]["all"]
+    assert config.parse(whole, strict=True) == config.parse(whole) and config.parse(cut).caches["all"].cache_miss_event is None
+    with pytest.raises(TraceConfigError, match="cache_miss_event"):
+        config.parse(cut, strict=True)
+
+
+def test_files_are_equal_with_their_headers(spark):
+    a = mtx.of(make(spark, M8), ("% one",))
+    assert a.same_as(mtx.of(make(spark, M8), ("% one",))) and not a.same_as(mtx.of(make(spark, M8))) and not a.same_as(mtx.of(make(spark, M7), ("% one",)))
+
+
 def test_reports(spark):
     c, k = tables.config(), references.Csr(make(spark, M7), "m7.mtx")
     r = json.loads(report.pretty(report.trace(c, k.info(), True, trace.cache_misses(c, k, warmup=True))))
