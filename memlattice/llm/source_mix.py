@@ -5,8 +5,10 @@ Words are counted per source with map-side partial sums. Targets share the whole
 target / size, and each document is emitted floor(rate) times, plus once more with probability equal to the fraction,
 decided by a hash of the seed and the document's id: reruns agree and no random state is kept.
 
-A null source is a source of its own, last in order. Null or empty texts have size 0. Rows with the same id share their
-draw. A source of size 0 has rate 0. Of an empty table the result is empty.
+A null source is a source of its own, last in order. Null or empty texts have size 0; a text of any length is counted whole.
+Rows with the same id, or with none, share their draw. A source of size 0 has rate 0. Of sources that are capped at the same
+level (ties), the first by name counts first; the targets are the same either way. Columns with clashing names keep them, the
+added ones take free names. Of an empty table the result is empty.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACE, free, words
+from .common import free, words
 
 #: Up to so many sources their rates are sent to every executor; beyond, they are joined.
 BROADCAST_SOURCES = 10_000
@@ -57,8 +59,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source: str = "source", text: str
     """df with size, source_size, target, rate and copies (how often the mix takes the row). payload: keep df's columns."""
     size, source_size, target, rate, copies, key = free(df, "size", "source_size", "target", "rate", "copies", "m_source")
     sized = df.withColumn(size, size_of(F.col(text)))
-    if not payload:
-        sized = sized.select(id_col, source, size)
+    if not payload:  # the words of each text are counted once
+        sized = materialize(sized.select(id_col, source, size))
     per_source = targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size")), weights, most)
     rates = materialize(per_source.select(F.col("source").alias(key), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("rate").alias(rate)).coalesce(1))
     n = rates.count()
