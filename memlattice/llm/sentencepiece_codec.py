@@ -10,7 +10,7 @@ remembered in a bounded two-generation cache run through the trie and the Viterb
 A unigram vocabulary brings its log scores. Those of any other kind, such as byte-pair merges, have ranks in that place:
 `fitted` then takes each piece's share in the vocabulary's own encoding of all texts, none left out, as its likelihood.
 
-A null text gives null ids, an empty one none. Decoding turns the marker back into spaces, so encode-decode returns every
+A null text gives null ids, an empty one none; of an empty table the result is empty. Decoding turns the marker back into spaces, so encode-decode returns every
 text that doesn't hold the marker itself (U+2581). The vocabulary is read on the driver from a path that is a parameter,
 and broadcast: its size is the vocabulary's, whatever the input. Repeated rows are encoded alike; clashing column names
 don't matter, the output columns take free names.
@@ -27,7 +27,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
