@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import json
+import tarfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from ..functions import json_tree, render, scalars, stats
-from ..operators import formats, matrix, reorder
+from ..operators import formats, matrix, references, reorder
 from ..operators.layout import align_down, align_up
 from ..session import own_dir
-from ..sources import events, mtx
+from ..sources import config, events, mtx, report
 from . import tables
 from .catalog import _LONGEST, _MOMENTS, _WIDTH, BASE, SQUARE
 from .registry import query
@@ -160,9 +163,10 @@ def _text(spark, d):
 
 _GRAPH = """
 with recursive n as (select (max(c_custkey) + 1)::bigint as n from customer),
-adj as (select c_custkey::bigint as src, ((7 * c_custkey + c_nationkey) % n)::bigint as dst, row_number() over (order by c_custkey) - 1 as k from customer, n),
+far as (select c_custkey::bigint as src, ((7 * c_custkey + c_nationkey + 400 * m * m) % n)::bigint as dst from customer, n, range(0, 4) r(m)),
+adj as (select src, dst, row_number() over (order by src, dst) - 1 as k from far),
 deg as (select v, count(src) as degree from (select unnest(range(0, n)) as v from n) left join adj on src = v and src <> dst group by v),
-nb as (select src, list(dst order by degree, k) as ds from adj join deg on v = dst where src <> dst group by src),
+nb as (select src, list(dst order by degree, k) as ds from (select src, dst, min(k) as k from adj where src <> dst group by all) join deg on v = dst group by src),
 vs as (select list(v order by degree, v) as vs from deg),
 w as (
   select []::bigint[] as walked, 0::bigint as q
@@ -279,3 +283,97 @@ def _suffixes(spark, d):
 def _aligned_addresses(spark, d):
     at = F.col("p_partkey").cast("long") * 8
     return tables.table(spark, d, "part").select("p_partkey", align_up(at, 4096).alias("up"), align_down(at, 4096).alias("down"))
+
+
+@query("mtx_tar", "select row_number() over (order by n_regionkey, n_nationkey) - 1 as k, (n_regionkey + 1)::integer as i, (n_nationkey + 1)::integer as j, 1.0::double as a from nation")
+def _tar(spark, d):
+    """A gzipped tar whose member stands where its name says."""
+    name = f"nations-{uuid.uuid4().hex}"
+    text = "\n".join(r["value"] for r in mtx.lines_of(mtx.of(tables.nation_matrix(spark, d))).orderBy("k").collect()).encode()  # one line for each nation
+    made = io.BytesIO()
+    with tarfile.open(fileobj=made, mode="w:gz") as tar:
+        for member, content in ((f"{name}/readme.txt", b"not the matrix"), (scalars.member_name(f"{name}.tar.gz"), text)):
+            info = tarfile.TarInfo(member)
+            info.size = len(content)
+            tar.addfile(info, io.BytesIO(content))
+    path = f"{own_dir(spark)}/{name}.tar.gz"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(made.getvalue()))
+    out.close()
+    return mtx.read(spark, path).entries
+
+
+@query("mtx_header", SQUARE + "select 'matrix' as object, 'coordinate' as format, 'integer' as field, 'general' as symmetry, n::integer as \"rows\", n::integer as columns, (select count(*) from e)::integer as num_entries, ['% made of orders', '%'] as comments from n")
+def _header(spark, d):
+    h = _round_trip(spark, d, ".mtx", "integer").header
+    return spark.createDataFrame([(h.object, h.format, h.field, h.symmetry, h.rows, h.columns, h.num_entries, list(h.comments))], "object string, format string, field string, symmetry string, rows int, columns int, num_entries int, comments array<string>")
+
+
+def _refused(spark, cases):
+    """(what, refused) of some (what, function)."""
+    rows = []
+    for what, f in cases:
+        try:
+            f()
+            rows.append((what, False))
+        except ValueError:
+            rows.append((what, True))
+    return spark.createDataFrame(rows, "what string, refused boolean")
+
+
+def _constants(rows: list[tuple]) -> str:
+    return "select * from (values " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in rows) + ") as c(what, refused)"
+
+
+@query("config_checks", _constants([("whole", False), ("size", True), ("parent", True), ("circle", True), ("cache", True), ("domain", True), ("no caches", True)]))
+def _config_checks(spark, d):
+    def broken(*way, value):
+        c = at = json.loads(tables.config_text())
+        for step in way[:-1]:
+            at = at[step]
+        at[way[-1]] = value
+        return lambda: config.parse(json.dumps(c), strict=True)
+
+    return _refused(spark, [
+        ("whole", broken("name", value="x")), ("size", broken("caches", "all", "size", value=100)), ("parent", broken("caches", "all", "parent", value="none")), ("circle", broken("caches", "all", "parent", value="a0")),
+        ("cache", broken("thread_affinities", 0, "cache", value="none")), ("domain", broken("thread_affinities", 0, "numa_domain", value=2)), ("no caches", broken("caches", value=None)),
+    ])
+
+
+@query("kernel_refusals", _constants([("references of the vendor kernel", True), ("vendor product of a matrix that is not square", True), ("reordering of a matrix that is not square", True), ("reordering of whole numbers", True), ("reordering of real values", False)]))
+def _refusals(spark, d):
+    wide, square = tables.nation_matrix(spark, d), tables.square_matrix(spark, d)
+    whole = matrix.SparseMatrix(square.entries, square.rows, square.columns, "integer")
+    return _refused(spark, [
+        ("references of the vendor kernel", lambda: references.VendorCsr(square).references(references.Threads((0, 1)))), ("vendor product of a matrix that is not square", lambda: references.VendorCsr(wide).run()),
+        ("reordering of a matrix that is not square", lambda: reorder.reverse_cuthill_mckee(wide)), ("reordering of whole numbers", lambda: reorder.adjacency(whole)), ("reordering of real values", lambda: reorder.adjacency(square)),
+    ])
+
+
+@query("path_names", """
+select n_nationkey, '/data/' || n_name || '.mtx' as path, case n_nationkey % 3 when 0 then 'rcm' when 1 then 'gp' end as asked, case when n_nationkey % 3 = 1 then n_nationkey else 0 end::integer as parts,
+       n_name || '/' || n_name || '.mtx' as member from nation""")
+def _names(spark, d):
+    rows = []
+    for r in tables.table(spark, d, "nation").select("n_nationkey", "n_name").collect():  # as many as there are nations
+        key, name = r["n_nationkey"], r["n_name"]
+        path, asked, parts = scalars.reorder_suffix(f"/data/{name}.mtx" + ["__RCM", f"__GP{key}", ""][key % 3])
+        rows.append((key, path, asked, parts, scalars.member_name(f"/data/{name}.tar.gz")))
+    kind = tables.table(spark, d, "nation").schema["n_nationkey"].dataType.simpleString()
+    return spark.createDataFrame(rows, f"n_nationkey {kind}, path string, asked string, parts int, member string")
+
+
+@query("profile_events", f"""
+with x as (
+  select thread, event_group, event, case when event_id % 7 = 0 then 0 else floor(event_id * (100.0::double / (event_id % 7)))::bigint end as n
+  from events join (values {_groups()}) as g(thread, event_group, event) on event = event_type and thread = user_id % 4
+)
+select thread::integer as thread, event as name, count(*)::bigint as samples, min(n) as "min", max(n) as "max", list_sort(list(n))[count(*) // 2 + 1] as median from x group by thread, event_group, event""")
+def _profile_events(spark, d):
+    """What a profile reports of counters."""
+    counters = tables.table(spark, d, "events").select(F.col("event_id").alias("run"), (F.col("user_id") % 4).cast("int").alias("thread"), F.col("event_type").alias("event"), F.col("event_id").alias("count"), F.lit(100.0).alias("time_enabled"), (F.col("event_id") % 7).alias("time_running"))
+    times = spark.createDataFrame([(0, 5), (1, 7)], "run int, ns long")
+    found = report.profile(tables.config(), {}, times, counters)["profiling_events"]
+    rows = [(e["thread"], e["name"], *(e["counts"][k] for k in ("samples", "min", "max", "median"))) for e in found]
+    return spark.createDataFrame(rows, "thread int, name string, samples long, min long, max long, median long")

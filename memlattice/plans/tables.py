@@ -79,8 +79,10 @@ def nation_matrix(spark: SparkSession, sf_dir: str) -> SparseMatrix:
 
 
 def customer_graph(spark: SparkSession, sf_dir: str) -> SparseMatrix:
-    """Customers, each of whom leads to one other."""
+    """Customers, each of whom leads to four others, or some of them more than once."""
     c = table(spark, sf_dir, "customer")
     n = c.agg(F.max("c_custkey")).first()[0] + 1
-    x = c.select(F.col("c_custkey").cast("long").alias("i"), ((7 * F.col("c_custkey") + F.col("c_nationkey")) % n).cast("long").alias("j"), F.lit(1.0).alias("a"))
+    far = F.explode(F.array(*(F.lit(400 * m * m) for m in range(4))))
+    x = c.select("c_custkey", "c_nationkey", far.alias("far"))
+    x = x.select(F.col("c_custkey").cast("long").alias("i"), ((7 * F.col("c_custkey") + F.col("c_nationkey") + F.col("far")) % n).cast("long").alias("j"), F.lit(1.0).alias("a"))
     return SparseMatrix(positioned(x, ["i", "j"], "k").select("k", "i", "j", "a"), n, n)

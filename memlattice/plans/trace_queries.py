@@ -228,13 +228,17 @@ rws as (select unnest(range(0, (select nr from dims))) as i)
 """
 
 
-def _replay_sql(hit: str, warmup: bool) -> str:
+#: Lines that caches hold from the start, the oldest first.
+INITIAL = (64, 0, 1)
+
+
+def _replay_sql(hit: str, warmup: bool, initial: tuple[int, ...] = ()) -> str:
     """A cache's lines in the order in which they go, reference by reference. hit: what a hit makes of them."""
     found = "select cache, thread, domain, sum(miss) as misses from run where counted group by all"
     sql = _stream_sql(_csr_refs(len(SMALL.threads), _NATIONS), SMALL, warmup).replace("with refs as", "with recursive refs as", 1)
     return sql + f""",
 run as (
-  select cache, grp, lines, -1::bigint as pos, []::bigint[] as held, 0 as miss, 0 as thread, 0 as domain, false as counted from caches
+  select cache, grp, lines, -1::bigint as pos, list_slice({list(initial)}::bigint[], -lines, -1) as held, 0 as miss, 0 as thread, 0 as domain, false as counted from caches
   union all
   select run.cache, run.grp, run.lines, rp.pos,
          case when list_contains(held, rp.line) then {hit} when len(held) < run.lines then list_append(held, rp.line) else list_append(held[2:], rp.line) end,
@@ -272,6 +276,21 @@ def _lru_replayed(spark, d):
     return caches.full_grid(caches.simulate(refs, kept, "lru"), kept, len(SMALL.threads), SMALL.num_numa_domains)
 
 
+def _initial(spark):
+    rows = [(g, age, line) for g in sorted({g for _, g, _ in trace.groups(SMALL)[1]}) for age, line in enumerate(INITIAL)]
+    return spark.createDataFrame(rows, "group string, age long, line long")
+
+
+@query("lru_misses_initial", _replay_sql(_TO_END, False, INITIAL))
+def _lru_initial(spark, d):
+    return trace.cache_misses(SMALL, _nation_kernel(spark, d), initial=_initial(spark))
+
+
+@query("fifo_misses_initial", _replay_sql("held", False, INITIAL))
+def _fifo_initial(spark, d):
+    return trace.cache_misses(SMALL, _nation_kernel(spark, d), policy="fifo", initial=_initial(spark))
+
+
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
 
