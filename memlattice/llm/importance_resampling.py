@@ -1,7 +1,9 @@
 """Quality by importance resampling.
 
-Two generative models of hashed word n-grams (one and two words, B buckets) are counted: one over target texts, one over
-all raw texts. A document's weight is the log of the ratio of its likelihoods; adding Gumbel noise, drawn by a hash of
+Two generative models of hashed word n-grams (one and two words) are counted: one over target texts, one over all raw texts.
+Their table of buckets grows with the corpus as its vocabulary does, with the root of the texts' bytes, and not below a least
+size; it is broadcast as one float a bucket, so its size is known beforehand: 3 MB at 30 GB, 160 MB at 100 TB. A
+document's weight is the log of the ratio of its likelihoods; adding Gumbel noise, drawn by a hash of
 seed and id, and taking the k largest is sampling k documents without replacement in proportion to the weights.
 
 The k-th largest key is found without sorting: histograms of ever narrower ranges, of a bounded number of bins each, lead
@@ -18,6 +20,7 @@ called like an output column makes that one take a free name. Of an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import free, small_batches
 
+#: The least number of buckets, and how many there are for each unit of the root of the texts' bytes.
 BUCKETS = 1 << 16
+BUCKETS_BY_ROOT = 4
+#: n-grams that a worker holds before it counts them.
+HELD = 1 << 21
 #: Words whose hash codes a worker remembers.
 REMEMBERED = 200_000
 _codes: dict[bytes, int] = {}
@@ -53,21 +60,38 @@ def buckets(text: str | None, n_buckets: int = BUCKETS) -> np.ndarray:
         known.clear()
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (one[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
     mix = np.concatenate((one * np.uint64(0xD6E8FEB86659FD93), two * np.uint64(0xA0761D6478BD642F)))
-    return (mix >> np.uint64(40)).astype(np.int64) % n_buckets
+    return (mix >> np.uint64(32)).astype(np.int64) % n_buckets
 
 
-def _counts(n_buckets: int):
+def table_size(df: DataFrame, text: str) -> int:
+    """How many buckets the n-grams of these texts are hashed into."""
+    n_bytes = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(BUCKETS, BUCKETS_BY_ROOT * isqrt(n_bytes))
+
+
+def _counts(n_buckets: int, most: int = HELD):
+    def summed(raw: list[np.ndarray], aim: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(raw), return_counts=True)
+        hit, m = np.unique(np.concatenate(aim), return_counts=True) if aim else (at[:0], n[:0])
+        aims = np.zeros(len(at), np.int64)
+        aims[np.searchsorted(at, hit)] = m
+        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64)), pa.array(aims)], ["bucket", "raw", "aim"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(target, text) -> (bucket, raw, target) summed over the partition: at most n_buckets rows."""
-        raw, aim = np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)
+        """(target, text) -> (bucket, raw, aim), counted whenever so many n-grams are held: memory doesn't grow with the table."""
+        raw, aim, held = [], [], 0
         for batch in batches:
             for target, text in zip(batch.column(0), batch.column(1)):
-                c = np.bincount(buckets(text.as_py(), n_buckets), minlength=0)
-                raw[: len(c)] += c
+                found = buckets(text.as_py(), n_buckets)
+                raw.append(found)
+                held += len(found)
                 if target.as_py():
-                    aim[: len(c)] += c
-        at = np.nonzero(raw)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(aim[at])], ["bucket", "raw", "aim"])
+                    aim.append(found)
+                if held >= most:
+                    yield summed(raw, aim)
+                    raw, aim, held = [], [], 0
+        if held:
+            yield summed(raw, aim)
 
     return counted
 
@@ -76,17 +100,18 @@ def fit(df: DataFrame, text: str, target: str, n_buckets: int = BUCKETS) -> np.n
     """log(target share / raw share) of each bucket; target: a boolean column."""
     small_batches(df.sparkSession)
     x = df.select(F.coalesce(F.col(target), F.lit(False)).alias("t"), F.col(text).alias("x"))
-    rows = x.mapInArrow(_counts(n_buckets), "bucket long, raw long, aim long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aim").alias("aim")).toPandas()
-    raw, aim = np.zeros(n_buckets), np.zeros(n_buckets)
-    raw[rows["bucket"].to_numpy(dtype=np.int64)] = rows["raw"]
-    aim[rows["bucket"].to_numpy(dtype=np.int64)] = rows["aim"]
-    if not aim.sum():
-        return np.zeros(n_buckets)
-    # smoothed by the raw shares: a bucket the target sample never shows is rare there, not impossible
-    p = raw / raw.sum()
-    weight = 0.002 * aim.sum()
-    ratio = (aim + weight * p) / (aim.sum() + weight) / np.where(p > 0, p, 1)
-    return np.where(p > 0, np.log(np.where(p > 0, ratio, 1)), 0.0)
+    counts = materialize(x.mapInArrow(_counts(n_buckets), "bucket long, raw long, aim long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("aim").alias("aim")))
+    raw, aim = counts.agg(F.sum("raw"), F.sum("aim")).first()
+    out = np.zeros(n_buckets, np.float32)
+    if aim:
+        # smoothed by the raw shares: a bucket the target sample never shows is rare there, not impossible
+        weight = 0.002 * aim
+        share = F.col("raw") / F.lit(float(raw))
+        ratio = (F.col("aim") + F.lit(weight) * share) / F.lit(aim + weight) / share
+        rows = counts.select(F.col("bucket").cast("int").alias("bucket"), F.log(ratio).cast("float").alias("ratio")).toArrow()
+        out[rows["bucket"].to_numpy()] = rows["ratio"].to_numpy()
+    discard(counts)
+    return out
 
 
 def weigher(df: DataFrame, log_ratio: np.ndarray):
@@ -97,7 +122,7 @@ def weigher(df: DataFrame, log_ratio: np.ndarray):
     @F.arrow_udf(T.DoubleType())
     def weigh(texts: pa.Array) -> pa.Array:
         table = shared.value
-        return pa.array([float(table[buckets(x.as_py(), len(table))].sum()) for x in texts], pa.float64())
+        return pa.array([float(table[buckets(x.as_py(), len(table))].sum(dtype=np.float64)) for x in texts], pa.float64())
 
     return weigh
 
@@ -138,9 +163,9 @@ def chosen(keyed: DataFrame, k: int, bins: int = 1024) -> Column:
     return out | equal
 
 
-def resample(df: DataFrame, target: str, k: int | None = None, share: float | None = None, id_col: str = "doc_id", text: str = "text", seed: int = 29, n_buckets: int = BUCKETS) -> DataFrame:
+def resample(df: DataFrame, target: str, k: int | None = None, share: float | None = None, id_col: str = "doc_id", text: str = "text", seed: int = 29, n_buckets: int | None = None) -> DataFrame:
     """(id, log_weight, key, selected) for each row; k documents, or that share of all, are selected."""
-    log_ratio = fit(df, text, target, n_buckets)
+    log_ratio = fit(df, text, target, n_buckets or table_size(df, text))
     x = df.select(F.col(id_col).alias("id"), weigher(df, log_ratio)(F.col(text)).alias("log_weight"))
     noise = lambda what: F.pmod(F.xxhash64(F.lit(what), "id"), F.lit(1 << 52)).cast("double")
     gumbel = -F.log(-F.log((noise(seed) + 0.5) / float(1 << 52)))

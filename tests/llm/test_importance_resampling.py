@@ -34,6 +34,30 @@ def test_weights_by_hand(spark):
     assert got == {d: pytest.approx(ratio[I.buckets(t)].sum()) for d, t, *_ in docs}
 
 
+def test_the_table_grows_with_the_texts(spark):
+    size = lambda n: I.table_size(spark.range(64).select(F.expr(f"repeat('x', {n})").alias("text")), "text")
+    assert size(0) == size(10) == I.BUCKETS
+    assert size(1 << 24) == I.BUCKETS_BY_ROOT << 15 > I.BUCKETS
+    assert I.table_size(frame(spark, []), "text") == I.BUCKETS
+
+
+@pytest.mark.parametrize("most", [1, 40, 10**6])
+def test_counts_in_portions(most):
+    """However few n-grams are held at once, the sums are those of all texts, in tables beyond the least size too."""
+    docs, labels = corpus(40)
+    texts, targets = [t for _, t, *_ in docs] + [None, ""], [d % 3 == 0 for d, *_ in docs] + [True, False]
+    n = 1_000_003
+    batch = I.pa.RecordBatch.from_arrays([I.pa.array(targets), I.pa.array(texts)], ["t", "x"])
+    raw, aim = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for out in I._counts(n, most)([batch.slice(0, 9), batch.slice(9)]):
+        np.add.at(raw, out["bucket"].to_numpy(), out["raw"].to_numpy())
+        np.add.at(aim, out["bucket"].to_numpy(), out["aim"].to_numpy())
+    every = [I.buckets(t, n) for t in texts]
+    assert (raw == np.bincount(np.concatenate(every), minlength=n)).all()
+    assert (aim == np.bincount(np.concatenate([x for x, t in zip(every, targets) if t]), minlength=n)).all()
+    assert raw.nonzero()[0].max() > I.BUCKETS
+
+
 def test_ngrams():
     assert len(I.buckets("a b c")) == 5 and len(I.buckets("a")) == 1 and len(I.buckets(None)) == 0
     assert (I.buckets("A  b") == I.buckets("a b")).all()
