@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio_features, filter_audit, importance_resampling, jaccard_join, language_id, line_dedup, quality_rules, sentencepiece_codec, simhash, source_mix, toxicity, url_filter
+from . import audio_features, filter_audit, importance_resampling, jaccard_join, language_id, line_dedup, periodic_runs, quality_rules, sentencepiece_codec, simhash, source_mix, toxicity, url_filter
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_line_dedup": lambda spark, d: line_dedup.op8(table(spark, d, "documents")),
     "op9_audio_features": lambda spark, d: audio_features.op9(table(spark, d, "documents")),
     "op10_url_filter": lambda spark, d: url_filter.op10(table(spark, d, "pages")),
+    "op11_periodic_runs": lambda spark, d: periodic_runs.op11(table(spark, d, "documents")),
     "op12_filter_audit": lambda spark, d: filter_audit.op12(table(spark, d, "documents"), table(spark, d, "labels")),
     "op13_ngram_jaccard": lambda spark, d: jaccard_join.op13(table(spark, d, "documents")),
     "quality_ablation": lambda spark, d: quality_rules.ablation(table(spark, d, "documents")),

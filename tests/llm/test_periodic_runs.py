@@ -1,0 +1,140 @@
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from memlattice.llm import periodic_runs as P
+from memlattice.llm.word_arrays import words
+
+from .docs import awkward, clashing, frame
+
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def by_hand(w, least=6, exponent=4):
+    """All stretches for each period, and of those the ones without a smaller period."""
+    out = []
+    for q in range(1, len(w) // exponent + 1):
+        start = 0
+        while start + q < len(w):
+            stop = start + q
+            while stop < len(w) and w[stop] == w[stop - q]:
+                stop += 1
+            n = stop - start
+            if n >= max(least, exponent * q) and not any(all(w[i] == w[i + r] for i in range(start, stop - r)) for r in range(1, q)):
+                out.append((start, n, q))
+            start = stop - q + 1
+    return sorted(out)
+
+
+def some_words(r):
+    """Words over a small alphabet with periods planted, powers of powers among them."""
+    w = [r.choice("abc") for _ in range(r.randrange(40))]
+    for _ in range(r.randrange(4)):
+        unit = [r.choice("abcdef") for _ in range(r.randint(1, 9))]
+        if r.random() < 0.4:
+            unit = unit * r.randint(1, 3) + [r.choice("abcdef")]
+        at = r.randrange(len(w) + 1)
+        w[at:at] = (unit * r.randint(2, 9))[: r.randint(1, 60)]
+    return w
+
+
+@pytest.mark.parametrize("least,exponent", [(6, 4), (2, 2), (3, 2), (6, 3), (12, 4), (5, 5)])
+def test_runs(least, exponent):
+    r = random.Random(least * 10 + exponent)
+    texts = [some_words(r) for _ in range(400)]
+    hashes, ends = words(pa.array([" ".join(w) for w in texts]))
+    where = [[] for _ in texts]
+    for row, lo, hi in P.stretches(hashes, ends, least, exponent):
+        where[row].append((lo, hi))
+    for w, some in zip(texts, where):
+        want = by_hand(w, least, exponent)
+        assert P.runs_of(w, [(0, len(w))], least, exponent) == want
+        assert P.runs_of(w, some, least, exponent) == want
+
+
+def test_squares_are_squares():
+    r = random.Random(3)
+    for _ in range(300):
+        w = some_words(r)
+        for d, ends in P.squares(w).items():
+            for e in ends:
+                assert w[e - d + 1 : e + 1] == w[e + 1 : e + d + 1] and e >= d - 1
+
+
+def test_time_grows_with_the_words():
+    """Of a text that is all one run, and of one with a run of many periods of many words."""
+    for unit in (["a"], [f"w{k}" for k in range(500)]):
+        calls = []
+        for n in (4000, 16000):
+            text = (unit * n)[:n]
+            assert P.runs_of(text, [(0, n)]) == [(0, n, len(unit))]
+            calls.append(sum(map(len, P.squares(text).values())))
+        assert calls[1] < 6 * calls[0] + 100
+
+
+def digest(rows):
+    out = set()
+    for d, text, *_ in rows:
+        w = split(text)
+        h, n = (zlib.crc32(str(d).encode()), len(w)) if d is not None else (1, 0)
+        if h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+        runs = by_hand(w)
+        best = min(runs, key=lambda x: (-Fraction(x[1], x[2]), x[0], x[2])) if runs else (None,) * 3
+        gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+        left = " ".join(x for i, x in enumerate(w) if i not in gone)
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{s},{n},{q}\n" for s, n, q in runs), left)]
+        out.add((d, len(runs), *best, 1000 * best[1] // best[2] if runs else None, *sha))
+    return out
+
+
+COLUMNS = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+
+
+def rows_of(df):
+    assert df.columns == COLUMNS
+    return set(map(tuple, df.collect()))
+
+
+def test_awkward_documents(spark):
+    r = random.Random(8)
+    rows = [*awkward(), *((100 + k, " ".join(some_words(r)), "en", "a", 1) for k in range(200)), (None, "a b " * 9, "en", "a", 1), (None, None, "en", "a", 1), (60, "a\x1cb\tc\x0bd " * 4 + "É é É é É é É é", "en", "a", 1)]
+    want = digest(rows)
+    assert sum(x[1] > 0 for x in want) > 50 and sum(x[1] > 1 for x in want) > 10
+    assert rows_of(P.op11(frame(spark, rows))) == want
+    assert P.op11(frame(spark, rows)).count() == len(rows)
+    assert rows_of(P.op11(clashing(frame(spark, rows)))) == want
+    assert P.op11(frame(spark, [])).collect() == []
+    assert dict(P.op11(frame(spark, [])).dtypes) == dict.fromkeys(COLUMNS[:6], "bigint") | {"runs_sha256": "string", "collapsed_sha256": "string"}
+
+
+def test_whole_table_by_brute_force(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    assert rows_of(P.op11(df)) == digest([(r["doc_id"], r["text"]) for r in df.collect()])
+
+
+def test_the_operator(spark):
+    df = frame(spark, [(1, "x y x y x y\n x y tail", "en", "a", 1), (2, None, "en", "a", 0)])
+    got = P.periodic_runs(df.withColumnRenamed("doc_id", "runs"), "runs").orderBy("runs").collect()
+    assert [tuple(map(str, x)) for x in got] == [("1", "9", "[Row(start=0, length=8, period=2)]", "x y tail"), ("2", "0", "[]", "")]
+    assert P.periodic_runs(df.withColumnRenamed("doc_id", "runs"), "runs").columns == ["runs", "n_words", "_runs", "collapsed"]
+    assert P.periodic_runs(df, least=9).where("size(runs) > 0").count() == 0
+    with pytest.raises(ValueError, match="two periods"):
+        P.periodic_runs(df, exponent=1)
+
+
+def test_texts_cut_into_batches(monkeypatch):
+    texts = pa.array(["a b c " * 5, None, "a " * 3, "a " * 3, "b " * 7])
+    hashes, ends = words(texts)
+    assert P.stretches(hashes, ends) == [(0, 0, 15), (4, 0, 7)] and np.diff(ends).tolist() == [15, 0, 3, 3, 7]
