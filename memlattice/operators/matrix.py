@@ -110,11 +110,40 @@ class SparseMatrix:
         return self.entries.join(o, "k", "full").where(F.coalesce(differs, F.lit(True))).isEmpty()
 
 
-def check_vector(matrix: SparseMatrix, x: DataFrame) -> None:
-    """A product needs one value for each column."""
-    n, lo, hi = x.agg(F.count("*"), F.min("idx"), F.max("idx")).first()
-    if n != matrix.columns or n and (lo, hi) != (0, n - 1):
-        raise MatrixError(f"the matrix has {matrix.columns} columns, the vector {n} values from {lo} to {hi}")
+def vector_faults(matrix: SparseMatrix, x: DataFrame) -> DataFrame:
+    """(idx, values): where x is no vector for the matrix: columns without a value or with several, and places that are no column."""
+    n = x.groupBy("idx").agg(F.count("*").alias("values"))
+    places = matrix.spark.range(matrix.columns).select(F.col("id").alias("idx"))
+    there = F.col("idx").between(0, matrix.columns - 1)
+    lacking = places.join(n, "idx", "left_anti").select("idx", F.lit(0).cast("long").alias("values"))
+    return n.where((F.col("values") > 1) | ~F.coalesce(there, F.lit(False))).select(F.col("idx").cast("long").alias("idx"), "values").unionByName(lacking)
+
+
+def _refuse(*message: Column) -> Column:
+    return F.raise_error(F.concat(*message)).cast("double")
+
+
+class Gathered:
+    """x as a product reads it: checked where it is read, in the product's own plan. Only what reads a wrong vector fails, when it runs."""
+
+    def __init__(self, matrix: SparseMatrix, x: DataFrame):
+        self.columns = matrix.columns
+        self.x = x.groupBy(F.col("idx").alias("j")).agg(F.first("v").alias("v"), F.count("*").alias("n_values"))
+
+    def join(self, entries: DataFrame) -> DataFrame:
+        """entries (j, ...) with v. A column without a value, or with several, stops the product."""
+        found = entries.join(self.x, "j", "left")
+        n = F.coalesce("n_values", F.lit(0))
+        v = F.when(n == 1, F.col("v")).otherwise(_refuse(F.lit("the vector has "), n.cast("string"), F.lit(" values for column "), F.col("j").cast("string")))
+        return found.select(*entries.columns, v.alias("v"))
+
+    def whole(self, y: DataFrame) -> DataFrame:
+        """y (i, y), if x has one value for each column, those that no entry reads too, and no others."""
+        inside = F.when(F.col("j").between(0, self.columns - 1), 1)
+        one = self.x.agg(F.count(inside).alias("n_inside"), F.count("*").alias("n_places"), F.coalesce(F.sum("n_values"), F.lit(0)).alias("n_all"))
+        fits = (F.col("n_inside") == self.columns) & (F.col("n_places") == self.columns) & (F.col("n_all") == self.columns)
+        message = _refuse(F.lit(f"the matrix has {self.columns} columns, the vector "), F.col("n_all").cast("string"), F.lit(" values for "), F.col("n_inside").cast("string"), F.lit(" of them"))
+        return y.crossJoin(F.broadcast(one)).select("i", F.when(fits, F.col("y")).otherwise(message).alias("y"))  # one row
 
 
 def ones(spark: SparkSession, n: int, value: float = 1.0) -> DataFrame:
@@ -133,11 +162,10 @@ def _accumulated(matrix: SparseMatrix, terms: DataFrame, term: Column, y0: DataF
 
 def spmv(matrix: SparseMatrix, x: DataFrame, y0: DataFrame | None = None, entries: DataFrame | None = None) -> DataFrame:
     """(i, y) with y = y0 + A x. entries: another layout of A's entries, its padding included if it should count. x has a value for
-    each column, or the product fails."""
-    check_vector(matrix, x)
+    each column, or the product fails when it runs."""
     e = (matrix.entries if entries is None else entries).select("i", "j", "a")
-    terms = e.join(x.select(F.col("idx").alias("j"), "v"), "j")
-    return _accumulated(matrix, terms, F.col("a") * F.col("v"), y0)
+    read = Gathered(matrix, x)
+    return read.whole(_accumulated(matrix, read.join(e), F.col("a") * F.col("v"), y0))
 
 
 def spmv_regular_traffic(matrix: SparseMatrix, y0: DataFrame | None = None) -> DataFrame:
@@ -147,9 +175,8 @@ def spmv_regular_traffic(matrix: SparseMatrix, y0: DataFrame | None = None) -> D
 
 def spmv_irregular_traffic(matrix: SparseMatrix, x: DataFrame, y0: DataFrame | None = None) -> DataFrame:
     """y = y0 + the sum of x at each row's columns: the gathers alone."""
-    check_vector(matrix, x)
-    terms = matrix.entries.select("i", "j").join(x.select(F.col("idx").alias("j"), "v"), "j")
-    return _accumulated(matrix, terms, F.col("v"), y0)
+    read = Gathered(matrix, x)
+    return read.whole(_accumulated(matrix, read.join(matrix.entries.select("i", "j")), F.col("v"), y0))
 
 
 def triad(spark: SparkSession, n: int, b: float = 0.0, c: float = 0.0, scale: float = 3.1) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import KernelError
-from . import formats, matrix
+from . import formats, matrix, segments
 from .layout import INDEX_SIZE, VALUE_SIZE, Addresses, block, div, owner
 from .matrix import SparseMatrix
 
@@ -181,9 +181,9 @@ class Csr(SpmvKernel):
             self._layout = formats.csr(self.m)
         return self._layout
 
-    def entries(self) -> DataFrame:
-        """The layout's, if there is one already: a product needs the rows' entries, not their positions."""
-        return self.m.entries if self._layout is None else self._layout.entries
+    def run(self, x=None, y0=None) -> DataFrame:
+        """By segmented reduction over the layout."""
+        return segments.spmv_compressed(self.layout, x if x is not None else matrix.ones(self.m.spark, self.m.columns), y0)
 
     def references(self, threads: Threads) -> DataFrame:
         c, rows = self.layout, self.m.rows

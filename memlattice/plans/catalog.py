@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import json_tree, stats
-from ..operators import formats, matrix, references, reorder
-from ..session import shared_dir
+from ..operators import formats, matrix, references, reorder, tiles
+from ..session import own_dir
 from ..sources import mtx
 from . import tables
 from .registry import query
@@ -45,7 +45,7 @@ def _coo(spark, d):
 @query("spmv_csr", _PRODUCT)
 @query("spmv_csr_unrolled", _PRODUCT)
 def _csr(spark, d):
-    return references.Csr(tables.lineitem_matrix(spark, d, False)).run(tables.part_sizes(spark, d))
+    return references.Csr(tables.lineitem_matrix(spark, d)).run(tables.part_sizes(spark, d))
 
 
 @query("spmv_csr_row_aligned", _PRODUCT)
@@ -69,6 +69,17 @@ def _hybrid(spark, d):
     return references.Hybrid(tables.lineitem_matrix(spark, d)).run(tables.part_sizes(spark, d))
 
 
+@query("spmv_twice", SQUARE + """, x as (select p_partkey::bigint as j, p_size::double as v from part),
+y as (select e.i, sum(e.a * v) as y from e join x on x.j = e.j group by e.i)
+select r.i, coalesce(z, 0.0)::double as y from (select unnest(range(0, (select n from n))) as i) r left join (select e.i, sum(e.a * y) as z from e join y on y.i = e.j group by e.i) z on z.i = r.i""")
+def _twice(spark, d):
+    """A (A x) over tiles that are dealt out once."""
+    t = tiles.Tiles(tables.square_matrix(spark, d))
+    y = t.power(tables.part_sizes(spark, d), 2)
+    t.discard()
+    return y
+
+
 @query("spmv_accumulate", BASE + "select rws.i, (1.0 + coalesce(y, 0.0))::double as y from rws left join (select e.i, sum(e.a * p_size)::double as y from e join part on p_partkey = e.j group by e.i) z on z.i = rws.i")
 def _accumulate(spark, d):
     m = tables.lineitem_matrix(spark, d, False)
@@ -314,7 +325,7 @@ def _profiling(spark, d):
 
 @query("mtx_round_trip", SQUARE + "select row_number() over (order by i, j) - 1 as k, i, j, a from e")
 def _mtx(spark, d):
-    path = f"{shared_dir(spark)}/mtx-{uuid.uuid4().hex}.mtx"
+    path = f"{own_dir(spark)}/mtx-{uuid.uuid4().hex}.mtx"
     mtx.write(mtx.of(tables.square_matrix(spark, d)), path)
     m = mtx.read(spark, path).matrix()
     return m.entries.select("k", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a")

@@ -6,14 +6,15 @@ import io
 import json
 import tarfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ..functions import json_tree, render, scalars, stats
-from ..operators import formats, matrix, references, reorder
+from ..operators import formats, matrix, partition, references, reorder
 from ..operators.layout import align_down, align_up
 from ..session import own_dir
-from ..sources import config, events, mtx, report
+from ..sources import config, events, mtx, mtx_source, report
 from . import tables
 from .catalog import _LONGEST, _MOMENTS, _WIDTH, BASE, SQUARE
 from .registry import query
@@ -53,19 +54,23 @@ def _prices(spark, d):
     return tables.table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("idx"), F.col("p_retailprice").cast("double").alias("v"))
 
 
-@query("vector_checked", "select 'too short' as x, true as refused union all select 'too long', true union all select 'fits', false")
+@query("vector_checked", """
+with n as (select (max(p_partkey) + 1)::bigint as n from part), p as (select p_partkey::bigint as idx from part),
+v as (
+  select 'fits' as x, idx from p union all select 'too short', idx from p where idx % 7 <> 3 union all select 'twice', idx from p union all select 'twice', idx from p where idx % 11 = 4
+  union all select 'too long', idx from p union all select 'too long', idx + n from p, n where idx % 13 = 5 union all select 'shifted', idx + 1 from p
+), c as (select x, idx, count(*)::bigint as "values" from v group by x, idx)
+select x, idx, "values" from c, n where "values" > 1 or idx not between 0 and n - 1
+union all select k.x, r.idx, 0 from (select distinct x from v) k, (select unnest(range(0, n)) as idx from n) r where not exists (select 1 from c where c.x = k.x and c.idx = r.idx)""")
 def _checked(spark, d):
-    """Products of vectors that fit and that don't."""
+    """Where vectors don't fit: gaps, repeated places, places beyond the columns. The one that fits has no row; a product refuses the others."""
     m, x = tables.lineitem_matrix(spark, d, False), tables.part_sizes(spark, d)
-    last = x.agg(F.max("idx")).first()[0]
-    rows = []
-    for name, v in (("too short", x.where(F.col("idx") < last)), ("too long", x.unionByName(x.where(F.col("idx") == last).withColumn("idx", F.col("idx") + 1))), ("fits", x)):
-        try:
-            matrix.spmv(m, v)
-            rows.append((name, False))
-        except ValueError:
-            rows.append((name, True))
-    return spark.createDataFrame(rows, "x string, refused boolean")
+    i = F.col("idx")
+    cases = {
+        "fits": x, "too short": x.where(i % 7 != 3), "twice": x.unionByName(x.where(i % 11 == 4)), "too long": x.unionByName(x.where(i % 13 == 5).withColumn("idx", i + m.columns)), "shifted": x.withColumn("idx", i + 1),
+    }
+    found = [matrix.vector_faults(m, v).select(F.lit(name).alias("x"), "idx", "values") for name, v in cases.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query("layout_equality", "select true as ptr, true as entries, false as aligned, true as slots")
@@ -194,6 +199,32 @@ def _balanced(spark, d):
     return reorder.balanced_parts(tables.square_matrix(spark, d), 7).groupBy("part").agg(F.count("*").alias("rows"))
 
 
+@query("multilevel_parts", """
+with n as (select (max(p_partkey) + 1)::bigint as n from part), l as (select l_orderkey as o, l_partkey::bigint as v from lineitem),
+e as (select distinct a.v as i, b.v as j from l a join l b on a.o = b.o and a.v < b.v where a.v % 8 = b.v % 8 or a.o % 50 = 0),
+c as (select v, count(*) as cut from (select i as v, j as w from e union all select j, i from e) where v % 8 <> w % 8 group by v)
+select r.v, r.v % 8 as label, coalesce(cut, 0)::bigint as cut, (select count(*) from (select unnest(range(0, (select n from n))) as u) where u % 8 = r.v % 8)::bigint as "rows"
+from (select unnest(range(0, n)) as v from n) r left join c on c.v = r.v""")
+def _multilevel(spark, d):
+    """Eight parts of the graph of parts bought together: each row's part by its least row, its edges that are cut, and the part's size."""
+    m = tables.bought_together(spark, d)
+    parts = partition.multilevel_parts(m, 8, coarsest=256)
+    named = parts.join(parts.groupBy("part").agg(F.min("i").alias("label"), F.count("*").alias("rows")), "part")
+    e = m.entries.select(F.col("i").alias("v"), F.col("j").alias("w")).unionByName(m.entries.select(F.col("j").alias("v"), F.col("i").alias("w")))
+    ends = e.join(parts.select(F.col("i").alias("v"), F.col("part").alias("p")), "v").join(parts.select(F.col("i").alias("w"), F.col("part").alias("q")), "w")
+    cut = ends.where("p <> q").groupBy(F.col("v").alias("i")).agg(F.count("*").alias("cut"))
+    return named.join(cut, "i", "left").select(F.col("i").alias("v"), "label", F.coalesce("cut", F.lit(0)).cast("long").alias("cut"), "rows")
+
+
+@query("mtx_source", SQUARE + "select row_number() over (order by i, j) - 1 as k, i, j, a from e")
+def _mtx_source(spark, d):
+    """Through spark.write.format("mtx") and spark.read.format("mtx"), in ranges of a few KB."""
+    path = f"{own_dir(spark)}/source-{uuid.uuid4().hex}.mtx"
+    mtx_source.save(tables.square_matrix(spark, d), path)
+    back = mtx_source.numbered(spark.read.format("mtx").option("split_bytes", 64 << 10).load(path), mtx_source.header_of(path)[0])
+    return back.entries.select("k", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "a")
+
+
 @query("json_built", """
 select event_id, '{"event":' || to_json(event_type) || ',"flags":[true,null,' || (event_id % 2 = 0)::varchar || '],"id":' || event_id || ',"nested":{"empty":[]}}' as json from events""")
 def _built(spark, d):

@@ -86,3 +86,12 @@ def customer_graph(spark: SparkSession, sf_dir: str) -> SparseMatrix:
     x = c.select("c_custkey", "c_nationkey", far.alias("far"))
     x = x.select(F.col("c_custkey").cast("long").alias("i"), ((7 * F.col("c_custkey") + F.col("c_nationkey") + F.col("far")) % n).cast("long").alias("j"), F.lit(1.0).alias("a"))
     return SparseMatrix(positioned(x, ["i", "j"], "k").select("k", "i", "j", "a"), n, n)
+
+
+def bought_together(spark: SparkSession, sf_dir: str, classes: int = 8) -> SparseMatrix:
+    """Parts of one order, those of the same class by number, and of every 50th order all: a graph with planted communities."""
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("long").alias("i"))
+    n = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0] + 1
+    pairs = x.join(x.withColumnRenamed("i", "j"), "l_orderkey").where(F.col("i") < F.col("j"))
+    pairs = pairs.where((F.col("i") % classes == F.col("j") % classes) | (F.col("l_orderkey") % 50 == 0)).select("i", "j").distinct()
+    return SparseMatrix(pairs.select(F.lit(0).cast("long").alias("k"), "i", "j", F.lit(1.0).alias("a")), n, n)

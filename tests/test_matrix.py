@@ -1,10 +1,14 @@
+import random
 from dataclasses import replace
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from memlattice import session
 from memlattice.errors import KernelError, MatrixError
-from memlattice.operators import formats, matrix, references
+from memlattice.operators import formats, matrix, references, segments, tiles
 from memlattice.operators.matrix import INT_MAX, SparseMatrix
 
 from .matrices import M6, M7, M8, M9, make, some, vector
@@ -40,14 +44,70 @@ def test_vendor_kernel_needs_a_square_matrix_and_has_no_references(spark):
         k.references(references.Threads((0,)))
 
 
-def test_vector_of_the_wrong_length(spark):
-    """A value too few would be a wrong product, not an error, were it not refused."""
+def test_vectors_that_do_not_fit(spark):
+    """A gap or a place named twice would be a wrong product, not an error, were it not refused when the product runs."""
     m = make(spark, (1, 3, [(0, 0, 1), (0, 2, 1)]))
     shifted = vector(spark, [1, 2, 3]).withColumn("idx", F.col("idx") + 1)
-    for x in (vector(spark, [1, 2]), vector(spark, [1, 2, 3, 4]), shifted):
-        for product in (lambda: matrix.spmv(m, x), lambda: matrix.spmv_irregular_traffic(m, x), lambda: references.Csr(m).run(x), lambda: references.Ell(m).run(x), lambda: references.Hybrid(m).run(x), lambda: references.Coo(m).run(x)):
-            with pytest.raises(MatrixError):
-                product()
+    twice = spark.createDataFrame([(0, 1.0), (0, 1.0), (2, 1.0)], "idx long, v double")
+    unread = spark.createDataFrame([(0, 1.0), (2, 1.0)], "idx long, v double")
+    for x, faults in ((vector(spark, [1, 2]), [(2, 0)]), (vector(spark, [1, 2, 3, 4]), [(3, 1)]), (shifted, [(0, 0), (3, 1)]), (twice, [(0, 2), (1, 0)]), (unread, [(1, 0)])):
+        assert sorted(tuple(r) for r in matrix.vector_faults(m, x).collect()) == faults
+        products = [matrix.spmv(m, x), matrix.spmv_irregular_traffic(m, x), references.Ell(m).run(x), references.Hybrid(m).run(x), references.Coo(m).run(x)]
+        for product in (*products, references.Csr(m).run(x), tiles.Tiles(m, 2).spmv(x)):
+            with pytest.raises((PySparkException, Py4JJavaError), match="the (vector|matrix) has"):
+                product.collect()
+    assert matrix.vector_faults(m, vector(spark, [1, 2, 3])).count() == 0
+
+
+def test_compressed_rows_by_segments(spark):
+    """Blocks of any size, rows longer than many blocks, empty rows, padding, and nothing dealt by its row but carries."""
+    r = random.Random(2)
+    for rows, long in ((5, 3), (40, 0), (1, 0)):
+        entries = [(long if r.random() < 0.8 else r.randrange(rows), r.randrange(7), r.randint(-3, 3)) for _ in range(200)]
+        m, x = make(spark, (rows, 7, entries)), [1, 2, 3, 4, 5, 6, 7]
+        want = [sum(a * x[j] for i, j, a in entries if i == row) for row in range(rows)]
+        for block in (1, 3, 64, 1 << 18):
+            for align in (1, 4):
+                assert values(segments.spmv_compressed(formats.csr(m, align), vector(spark, x), block=block)) == want
+    assert values(segments.spmv_compressed(formats.csr(m), vector(spark, x), vector(spark, [10]))) == [10 + want[0]]
+
+
+def test_one_row_of_a_million_entries(spark):
+    n = 1_000_000
+    entries = spark.range(n).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("i"), (F.col("id") % 100).alias("j"), F.lit(1.0).alias("a"))
+    c = formats.csr(SparseMatrix(entries, 3, 100))
+    y = segments.spmv_compressed(c, matrix.ones(spark, 100), block=1 << 16)
+    assert values(y) == [0, n, 0]
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i" in plan and plan.count("hashpartitioning(i") == 1  # the carries alone
+    assert c.entries.select(F.floor((F.col("k") + 2) / (1 << 16)).alias("b")).distinct().count() >= 15
+
+
+@pytest.mark.parametrize("m", [M6, M7, M8, M9])
+def test_tiled_products(spark, m):
+    for blocks in (1, 3):
+        t = tiles.Tiles(make(spark, m), 3, blocks)
+        assert values(t.spmv(vector(spark, m[3]))) == m[4]
+        assert values(t.spmv(vector(spark, m[3]), vector(spark, [1, 1, 1, 1]))) == [1 + v for v in m[4]]
+        t.discard()
+    with pytest.raises(MatrixError):
+        t.power(vector(spark, m[3]), 2)
+
+
+def test_powers_read_tiles_where_they_lie(spark):
+    r = random.Random(4)
+    entries = [(r.choice([0, r.randrange(9)]), r.choice([5, r.randrange(9)]), r.randint(-2, 2)) for _ in range(120)]
+    m, x = make(spark, (9, 9, entries)), list(range(9))
+    t = tiles.Tiles(m, 4)
+    want = x
+    for k in range(1, 4):
+        want = [sum(a * want[j] for i, j, a in entries if i == row) for row in range(9)]
+        assert values(t.power(vector(spark, x), k)) == want
+    with session.in_order(spark):
+        plan = t.spmv(vector(spark, x))._jdf.queryExecution().executedPlan().toString()
+    side = plan.split("SortMergeJoin [ib")[1].split("FileScan")[0]
+    assert "Exchange" not in side and "Sort" not in side
+    t.discard()
 
 
 def test_csr_layout(spark):

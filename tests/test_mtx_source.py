@@ -1,0 +1,102 @@
+import gzip
+import random
+
+import numpy as np
+import pytest
+
+from memlattice.errors import MatrixError
+from memlattice.sources import mtx, mtx_source
+
+from .matrices import make
+
+
+@pytest.fixture(scope="module")
+def known(spark):
+    mtx_source.register(spark)
+    return spark
+
+
+def file(tmp_path, text, name="a.mtx"):
+    path = str(tmp_path / name)
+    with (gzip.open if name.endswith(".gz") else open)(path, "wb") as f:
+        f.write(text.encode())
+    return path
+
+
+HEAD = "%%MatrixMarket matrix coordinate {} general\n% made here\n\n%\n{} {} {}\n"
+
+
+@pytest.mark.parametrize("split", [1, 7, 64, 1 << 20])
+def test_every_split_reads_each_line_once(split, tmp_path):
+    r = random.Random(split)
+    rows = [(r.randint(1, 99), r.randint(1, 9999), r.choice([1.5, -2e-7, 3.0, 12345.678])) for _ in range(120)]
+    text = HEAD.format("real", 99, 9999, 120) + "".join(f"{' ' * r.randrange(2)}{i}  {j}\t{a!r}{r.choice(['', ' ', chr(13)])}\n" + r.choice(["", "", "\n", "  \n"]) for i, j, a in rows)
+    for body in (text, text.rstrip("\n")):
+        for name in ("a.mtx", "a.mtx.gz"):
+            reader = mtx_source.MtxReader(file(tmp_path, body, name), split, ["at", "i", "j", "a"])
+            got = [x for p in reader.partitions() for b in reader.read(p) for x in zip(*(c.to_pylist() for c in b.columns))]
+            assert [x[1:] for x in got] == rows and [x[0] for x in got] == sorted({x[0] for x in got})
+            assert [body.encode()[x[0] :].split()[0] for x in got] == [str(i).encode() for i, _, _ in rows]
+
+
+@pytest.mark.parametrize("line", ["1 2", "1 2 3 4", "1 x 3", "1 2 y"])
+def test_wrong_lines(line, tmp_path):
+    reader = mtx_source.MtxReader(file(tmp_path, HEAD.format("real", 3, 3, 3) + f"1 1 1\n{line}\n2 2 2\n"), 1 << 20, ["at", "i", "j", "a"])
+    with pytest.raises(MatrixError):
+        [list(reader.read(p)) for p in reader.partitions()]
+
+
+def test_headers(tmp_path):
+    header, begin = mtx_source.header_of(file(tmp_path, HEAD.format("pattern", 3, 4, 1) + "1 1\n"))
+    assert (header.field, header.rows, header.columns, header.num_entries, header.comments) == ("pattern", 3, 4, 1, ("% made here", "%"))
+    assert begin == len(HEAD.format("pattern", 3, 4, 1))
+    for text in ("", "%%MatrixMarket matrix\n1 1 1\n", "%%MatrixMarket matrix coordinate real general\n% only\n", HEAD.format("real", 3, "x", 1)):
+        with pytest.raises(MatrixError):
+            mtx_source.header_of(file(tmp_path, text))
+
+
+@pytest.mark.parametrize("name", ["a.mtx", "a.mtx.gz"])
+def test_round_trip(known, tmp_path, name):
+    spark, path = known, str(tmp_path / name)
+    r = np.random.default_rng(3)
+    rows = [(k, int(i), int(j), float(a)) for k, (i, j, a) in enumerate(zip(r.integers(1, 50, 500), r.integers(1, 60, 500), r.normal(size=500)))]
+    df = spark.createDataFrame(rows, "k long, i int, j int, a double").repartition(6)
+    writer = df.repartitionByRange(5, "k").sortWithinPartitions("k").write.format("mtx").option("rows", 50).option("columns", 60).option("comment", "of a test")
+    writer.mode("overwrite").save(path)
+    assert [p.name for p in tmp_path.iterdir()] == [name]  # no part is left
+    back = spark.read.format("mtx").option("split_bytes", 1000).load(path)
+    assert back.columns == ["at", "i", "j", "a"] and [tuple(x)[1:] for x in back.orderBy("at").collect()] == [x[1:] for x in rows]
+    assert name.endswith(".gz") or back.rdd.getNumPartitions() > 5
+    assert back.select("j").agg({"j": "sum"}).first()[0] == sum(x[2] for x in rows)
+    header = mtx_source.header_of(path)[0]
+    assert (header.rows, header.columns, header.num_entries, header.comments) == (50, 60, 500, ("% of a test",))
+    m = mtx_source.numbered(back, header)
+    assert m.same_as(mtx.read(spark, path).matrix())
+    with pytest.raises(Exception, match="exists"):
+        writer.mode("append").save(path)
+
+
+@pytest.mark.parametrize("field,row,kind", [("integer", (1, 2, 7), "i int, j int, a int"), ("complex", (1, 2, 0.5, -0.5), "i int, j int, a double, im double"), ("pattern", (1, 2), "i int, j int")])
+def test_fields(known, tmp_path, field, row, kind):
+    path = str(tmp_path / "f.mtx")
+    known.createDataFrame([row], kind).write.format("mtx").option("rows", 3).option("columns", 3).option("field", field).mode("overwrite").save(path)
+    back = known.read.format("mtx").load(path)
+    assert [tuple(x)[1:] for x in back.collect()] == [row] and dict(back.drop("at").dtypes) == dict(x.split() for x in kind.split(", "))
+    assert mtx.read(known, path).header == mtx_source.header_of(path)[0]
+
+
+def test_nothing_and_failures(known, tmp_path):
+    path = str(tmp_path / "n.mtx")
+    known.createDataFrame([], "i int, j int, a double").write.format("mtx").option("rows", 0).option("columns", 0).mode("overwrite").save(path)
+    assert known.read.format("mtx").load(path).count() == 0
+    broken = known.createDataFrame([(1, 1, 1.0), (1, 1, None)], "i int, j int, a double").repartition(2)
+    with pytest.raises(Exception, match="no value"):
+        broken.write.format("mtx").option("rows", 1).option("columns", 1).mode("overwrite").save(str(tmp_path / "b.mtx"))
+    assert [p.name for p in tmp_path.iterdir()] == ["n.mtx"]
+
+
+def test_a_matrix_of_the_package(known, tmp_path):
+    path = str(tmp_path / "m.mtx")
+    m = make(known, (4, 5, [(0, 0, 1), (0, 1, 2), (3, 4, 1)]))
+    mtx_source.save(m, path)
+    assert mtx_source.load(known, path).same_as(m)
