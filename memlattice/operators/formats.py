@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import MatrixError
 from ..session import materialize
+from .equality import same_rows
 from .matrix import INT_MAX, SparseMatrix
 from .position import positioned
 
@@ -31,10 +32,7 @@ class CompressedRows:
 
 def same_layout(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames of a layout (row pointers, entries, slots) hold the same."""
-    if sorted(a.columns) != sorted(b.columns):
-        return False
-    b = b.select(*a.columns)
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return same_rows(a, b)
 
 
 def csr(matrix: SparseMatrix, row_alignment: int = 1) -> CompressedRows:

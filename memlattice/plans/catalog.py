@@ -163,10 +163,13 @@ def _aligned_ptr(spark, d):
     return formats.csr(tables.lineitem_matrix(spark, d), 4).ptr
 
 
-@query("csr_row_aligned_entries", _ALIGNED + """
+_ALIGNED_ENTRIES = """
 select (ae.stop - w + ae.l)::bigint as k, ae.i, coalesce(x.j, 0)::bigint as j, coalesce(x.a, 0.0) as a, x.j is null as is_pad
 from (select *, unnest(range(0, w)) as l from ae) ae left join (select *, row_number() over (partition by i order by k) - 1 as l from s) x on x.i = ae.i and x.l = ae.l
-""")
+"""
+
+
+@query("csr_row_aligned_entries", _ALIGNED + _ALIGNED_ENTRIES)
 def _aligned_entries(spark, d):
     return formats.csr(tables.lineitem_matrix(spark, d), 4).entries
 

@@ -10,13 +10,13 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..functions import json_tree, render, scalars, stats
+from ..functions import json_tree, moments, render, scalars, stats
 from ..operators import formats, matrix, partition, references, reorder
 from ..operators.layout import align_down, align_up
-from ..session import own_dir
+from ..session import materialize, own_dir
 from ..sources import config, events, mtx, mtx_source, report
 from . import tables
-from .catalog import _LONGEST, _MOMENTS, _WIDTH, BASE, SQUARE
+from .catalog import _ALIGNED, _ALIGNED_ENTRIES, _LONGEST, _MOMENTS, _WIDTH, BASE, SQUARE
 from .registry import query
 
 
@@ -73,7 +73,10 @@ def _checked(spark, d):
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
-@query("layout_equality", "select true as ptr, true as entries, false as aligned, true as slots")
+@query("layout_equality", _ALIGNED + f""", p as (select 0::bigint as r, 0::bigint as ptr union all select i + 1, stop from ends),
+ce as (select k, i, j, a, false as is_pad from s), al4 as ({_ALIGNED_ENTRIES}), sl as (select i, unnest(range(0, {_LONGEST})) as l from ends)
+select not exists(select * from p except select * from p) as ptr, not exists(select * from ce except select * from ce) as entries,
+       not exists((select * from ce except select * from al4) union all (select * from al4 except select * from ce)) as aligned, not exists(select * from sl except select * from sl) as slots""")
 def _layout_equality(spark, d):
     """Layouts made twice, and one of aligned rows."""
     m = tables.lineitem_matrix(spark, d)
@@ -82,7 +85,9 @@ def _layout_equality(spark, d):
     return spark.createDataFrame([(same(a.ptr, b.ptr), same(a.entries, b.entries), same(a.entries, c.entries), same(formats.ell(m)[0], formats.ell(m)[0]))], "ptr boolean, entries boolean, aligned boolean, slots boolean")
 
 
-@query("matrix_equality", "select true as same, false as changed, false as reordered")
+@query("matrix_equality", SQUARE + """, f as (select row_number() over (order by i, j) - 1 as k, i, j, a from e)
+select not exists(select * from f except select * from f) as same, not exists(select * from f except select k, i, j, a + (k = 0)::integer from f) as changed,
+       not exists(select * from f except select k, j, i, a from f) as reordered""")
 def _equality(spark, d):
     m = tables.square_matrix(spark, d)
     changed = matrix.SparseMatrix(m.entries.withColumn("a", F.col("a") + (F.col("k") == 0).cast("double")), m.rows, m.columns)
@@ -199,6 +204,17 @@ def _balanced(spark, d):
     return reorder.balanced_parts(tables.square_matrix(spark, d), 7).groupBy("part").agg(F.count("*").alias("rows"))
 
 
+@query("stats_from_states", _MOMENTS.replace("med as median, ", ""))
+def _from_states(spark, d):
+    """The states of seven parts of each sample, stored, merged, and read by the SQL functions."""
+    x = tables.table(spark, d, "events").groupBy("event_type", (F.col("event_id") % 7).alias("part")).agg(moments.state(F.col("value")).alias("state"))
+    moments.register(spark)
+    moments.merged(materialize(x), ["event_type"]).createOrReplaceTempView("memlattice_states")
+    return spark.sql("""select event_type, sample_count(state) as samples, sample_min(state) as `min`, sample_max(state) as `max`, round(sample_mean(state), 6) as mean,
+        round(sample_variance(state), 4) as variance, round(sample_deviation(state), 6) as standard_deviation, round(sample_skewness(state), 6) as skewness, round(sample_kurtosis(state), 6) as kurtosis
+        from memlattice_states""")
+
+
 @query("multilevel_parts", """
 with n as (select (max(p_partkey) + 1)::bigint as n from part), l as (select l_orderkey as o, l_partkey::bigint as v from lineitem),
 e as (select distinct a.v as i, b.v as j from l a join l b on a.o = b.o and a.v < b.v where a.v % 8 = b.v % 8 or a.o % 50 = 0),
