@@ -10,9 +10,9 @@ A null text, or one without a letter, is `und` with score 0. With nothing to lea
 `und`; of an empty table the result is empty. A text none of whose n-grams is known gets the most frequent language with
 score 0; of languages with equal counts (ties) the first by name wins. Repeated rows are judged alike. Long texts are worked
 through in pieces, and no n-gram is lost or made up where one ends. Columns with clashing names keep them, the added ones
-take free names. The filter is fitted on a sample: about `fit_docs` documents of each language, and of those at most
-`fit_grams` n-grams a language, the ones in the largest share of its texts, so that no language crowds out another; what is
-broadcast grows with the languages, not with the input.
+take free names. The filter is fitted on a sample: about `fit_docs` documents of each language. It holds every n-gram that is in `share` of a language's
+sampled texts or more, so no language crowds out another. The shares of a language's n-grams add up to the distinct n-grams of its mean text:
+with one in 500 texts, at most 500 times as many are read by the driver and broadcast, whatever the input's size or the script's.
 """
 
 from __future__ import annotations
@@ -142,10 +142,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code)), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_docs: int = 5_000, fit_grams: int = 100_000, least: int = 3, ratio: float = 0.2) -> SlicedFilter:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", fit_docs: int = 5_000, share: float = 0.002, least: int = 3, ratio: float = 0.2) -> SlicedFilter:
     """Learn from rows with a language; about fit_docs of each, those with the least hashes of their ids.
 
-    An n-gram belongs to a language if it is in `least` texts or more, and its share of that language's texts is at least
+    An n-gram belongs to a language if it is in `least` of its texts and in `share` of them or more, and its share of that language's texts is at least
     `ratio` of its largest share in any language: passages of another language leave no trace.
     """
     small_batches(labelled.sparkSession)
@@ -156,12 +156,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
     sample = materialize(known.join(sizes, "lang").where(order < F.lit(fit_docs) / F.col("rows") * (1 << 30)).select("lang", "text"))
     per = sample.groupBy("lang").agg(F.count("*").alias("docs"))
     counts = materialize(sample.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-    shares = counts.join(per, "lang").select("lang", "gram", (F.col("n") / F.col("docs")).alias("share"))
-    rows = shares.join(shares.groupBy("gram").agg(F.max("share").alias("most")), "gram").where(F.col("share") >= ratio * F.col("most")).select("lang", "gram", "share").toPandas()
+    shares = counts.join(per, "lang").where(F.col("n") >= share * F.col("docs")).select("lang", "gram", (F.col("n") / F.col("docs")).alias("share"))
+    rows = shares.join(shares.groupBy("gram").agg(F.max("share").alias("most")), "gram").where(F.col("share") >= ratio * F.col("most")).select("lang", "gram").toPandas()
     docs = {r["lang"]: r["rows"] for r in sizes.collect()}
     for x in (sizes, sample, counts):
         discard(x)
-    held = {name: part.sort_values(["share", "gram"], ascending=[False, True])["gram"].to_numpy()[:fit_grams].view(np.uint64) for name, part in rows.groupby("lang")}
+    held = {name: np.sort(part["gram"].to_numpy()).view(np.uint64) for name, part in rows.groupby("lang")}
     return SlicedFilter.of(held, max(sorted(docs), key=docs.get) if docs else "und")
 
 

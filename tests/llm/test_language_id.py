@@ -48,7 +48,7 @@ def test_held_out_languages_change_nothing(spark, sf):
 
 def test_sample_is_bounded(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
-    m = L.fit(df, fit_docs=50, fit_grams=500, least=1)
+    m = L.fit(df, fit_docs=50, share=0.05, least=1)
     assert m.languages and m.predict(df.where("lang = 'en'").first()["text"])[0] == "en"
 
 
@@ -82,7 +82,7 @@ def test_a_rare_language_keeps_its_ngrams(spark):
     rows = [(k, " ".join(word(k * 50 + i, 3) for i in range(30)), "many") for k in range(600)] * 2
     rows += [(9000 + k, "wenige worte stehen hier im text", "few") for k in range(5)]
     rows += [(10_000 + 4 * k + i, chr(0x10A0 + k % 60) * (2 + k // 60) + "abc", f"l{k:04d}") for k in range(1100) for i in range(4)]
-    m = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_docs=300, fit_grams=400)
+    m = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_docs=300)
     assert len(m.languages) > 1100 and m.predict("worte im text")[0] == "few"
 
 
