@@ -7,12 +7,10 @@ import textwrap
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.render import indented
-from ..functions.scalars import wrap_text
-
 #: Columns of a catalogue; a row without an attribute describes the event itself.
 SCHEMA = "pmu string, event string, description string, attribute string, attribute_description string"
-FIRST, WIDTH, TAB = 24, 80, 4
+#: Characters of a line of a listing.
+WIDTH = 100
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -29,18 +27,18 @@ def catalogue(df: DataFrame) -> DataFrame:
     return out.select("pmu", "event", F.concat("pmu", F.lit("::"), "event").alias("name"), F.coalesce("description", F.lit("")).alias("description"), "attributes")
 
 
-def listing(df: DataFrame) -> str:
-    """The catalogue as text: each event's name, its description indented, its attributes in a column of their own."""
-    out, unit = [], None
+def listing(df: DataFrame, width: int = WIDTH) -> str:
+    """The catalogue as a Markdown list: a heading for each unit, an item for each event, and below it one for each attribute. Long
+    lines are wrapped and hang under their item. Rows come to the driver one by one, in order."""
+
+    def item(depth: int, name: str, text: str) -> str:
+        lead = "  " * depth
+        return textwrap.fill(f"`{name}`" + (f": {text}" if text else ""), width, initial_indent=f"{lead}- ", subsequent_indent=f"{lead}  ", break_long_words=False)
+
+    parts, unit = [], object()
     for r in catalogue(df).orderBy("pmu", "event").toLocalIterator():
-        if unit not in (None, r["pmu"]):
-            out.append("")
-        unit = r["pmu"]
-        out += [r["name"], indented(wrap_text(r["description"], WIDTH), 1, TAB)]
-        for a in r["attributes"]:
-            wide = max(FIRST, len(a["attribute"]))
-            at = wide + 2 * TAB - wide % TAB
-            lines = textwrap.wrap(a["description"], max(1, WIDTH - at), break_long_words=False) or [""]
-            out.append(a["attribute"].rjust(FIRST) + " " * (at - wide) + ("\n" + " " * at).join(lines))
-        out.append("")
-    return "\n".join(out)
+        if r["pmu"] != unit:
+            unit = r["pmu"]
+            parts.append(f"## {unit}")
+        parts.append("\n".join([item(0, r["event"], r["description"]), *(item(1, a["attribute"], a["description"]) for a in r["attributes"])]))
+    return "\n\n".join(parts) + "\n" * bool(parts)

@@ -60,9 +60,10 @@ def test_command_line_lists_events_and_profiles(spark, files, tmp_path, capsys):
     spark.createDataFrame(rows, events.SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/events")
     assert main(["--list-perf-events", f"{tmp_path}/events"]) == 0
     out = capsys.readouterr().out.split("\n")
-    assert out[0] == "cpu::cycles" and out[1].startswith("    Counts") and out[2].startswith("    ") and max(map(len, out)) <= 84
-    assert [x for x in out if "::" in x] == ["cpu::cycles", "cpu::loads", "mem::reads"]
-    assert out[out.index("cpu::loads") + 2] == " " * 21 + "all" + " " * 8 and "hit" + " " * 8 + "those that hit" in out[out.index("cpu::loads") + 3]
+    assert [x for x in out if x.startswith("#")] == ["## cpu", "## mem"] and max(map(len, out)) <= events.WIDTH
+    assert out[2].startswith("- `cycles`: Counts cycles.") and out[3].startswith("  cycles. Counts")
+    at = out.index("- `loads`: Loads")
+    assert out[at : at + 3] == ["- `loads`: Loads", "  - `all`", "  - `hit`: those that hit"] and "- `reads`" in out
     spark.createDataFrame([(0, 0, "view", 10, 4, 2), (1, 0, "view", 10, 4, 4)], "run int, thread int, event string, count long, time_enabled long, time_running long").write.parquet(f"{tmp_path}/counters")
     config, matrix = files
     assert main(["-c", config, "-m", matrix, "--spmv-format", "coo", "-p", "2", "--events", f"{tmp_path}/counters"]) == 0
