@@ -1,9 +1,10 @@
 """Products over compressed rows by segmented reduction.
 
-The layout's positions are cut into blocks, and each block is summed by itself, in order of position, whichever rows lie in it. A row
-inside one block is done with; of a row that crosses into the next, each block hands on one sum, its carry, and only those are
-added up by row. So no exchange deals entries by their rows, and a row of any length is spread over the blocks it covers. The marker in
-front of each row, where its pointer points, is a term of zero: empty rows need no case of their own.
+The layout's positions are cut into blocks, and each block is summed by itself, in order of position, whichever rows lie in it. Each
+block hands on one sum for each row in it, and these are added up by row: a row inside one block has one, a row that crosses into others
+(or into another batch of its block) several. So no exchange deals entries by their rows, and a row of any length is spread over the
+blocks it covers. The marker in front of each row, where its pointer points, is a term of zero: empty rows need no case of their own.
+The sums are read once: where batches end may differ between two readings of the same blocks, so nothing may depend on it.
 """
 
 from __future__ import annotations
@@ -23,12 +24,11 @@ from .matrix import Gathered
 #: Positions of a block, rows' markers among them.
 BLOCK = 1 << 18
 
-SUMS = "i long, s double, carry boolean"
+SUMS = "i long, s double"
 
 
 def _segments(block: int) -> Callable:
-    """(i, s, carry): the sums of each block's rows, from terms (p, i, s) in order of position. The first and the last row of what a
-    batch has of a block may go on elsewhere, and are carries; those between can't."""
+    """(i, s): the sums of each block's rows, from terms (p, i, s) in order of position, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,9 +37,7 @@ def _segments(block: int) -> Callable:
             p, i, s = (batch.column(c).to_numpy() for c in ("p", "i", "s"))
             begins = np.concatenate(([True], p[1:] // block != p[:-1] // block))
             starts = np.flatnonzero(begins | np.concatenate(([True], i[1:] != i[:-1])))
-            first = begins[starts]
-            carry = first | np.concatenate((first[1:], [True]))
-            yield pa.RecordBatch.from_arrays([pa.array(i[starts]), pa.array(np.add.reduceat(s, starts)), pa.array(carry)], ["i", "s", "carry"])
+            yield pa.RecordBatch.from_arrays([pa.array(i[starts]), pa.array(np.add.reduceat(s, starts))], ["i", "s"])
 
     return run
 
@@ -52,9 +50,7 @@ def spmv_compressed(c: CompressedRows, x: DataFrame, y0: DataFrame | None = None
     terms = read.join(c.entries.select("k", "i", "j", "a")).select((F.col("k") + F.col("i") + 1).alias("p"), F.col("i").cast("long").alias("i"), (F.col("a") * F.col("v")).alias("s"))
     marks = c.ptr.where(F.col("r") < m.rows).select((F.col("ptr") + F.col("r")).alias("p"), F.col("r").cast("long").alias("i"), F.lit(0.0).alias("s"))
     dealt = terms.unionByName(marks).withColumn("block", div(F.col("p"), block)).repartition("block").sortWithinPartitions("p").drop("block")
-    sums = dealt.mapInArrow(_segments(block), SUMS)
-    carried = sums.where("carry").groupBy("i").agg(F.sum("s").alias("s"))
-    y = sums.where("not carry").select("i", F.col("s").alias("y")).unionByName(carried.select("i", F.col("s").alias("y")))
+    y = dealt.mapInArrow(_segments(block), SUMS).groupBy("i").agg(F.sum("s").alias("y"))
     if y0 is not None:
         y = y.join(y0.select(F.col("idx").alias("i"), F.col("v").alias("y0")), "i", "left").select("i", (F.coalesce("y0", F.lit(0.0)) + F.col("y")).alias("y"))
     return read.whole(y)

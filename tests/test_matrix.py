@@ -72,6 +72,27 @@ def test_compressed_rows_by_segments(spark):
     assert values(segments.spmv_compressed(formats.csr(m), vector(spark, x), vector(spark, [10]))) == [10 + want[0]]
 
 
+def test_sums_do_not_depend_on_where_batches_end(spark):
+    """Blocks put together into tasks of any size, in batches of a few rows: each row comes out once, with all its entries."""
+    r = random.Random(3)
+    entries = [(i, r.randrange(50), 1.0) for i in range(3000) for _ in range(r.randrange(8))]
+    m = make(spark, (3000, 50, entries))
+    want = [0.0] * 3000
+    for i, _, a in entries:
+        want[i] += a
+    c = formats.csr(m)
+    y = segments.spmv_compressed(c, matrix.ones(spark, 50), block=256)
+    plan = y._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # read once
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert values(segments.spmv_compressed(c, matrix.ones(spark, 50), block=256)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_one_row_of_a_million_entries(spark):
     n = 1_000_000
     entries = spark.range(n).select(F.col("id").alias("k"), F.lit(1).cast("long").alias("i"), (F.col("id") % 100).alias("j"), F.lit(1.0).alias("a"))
