@@ -26,6 +26,8 @@ from ..session import materialize, ship
 IDENTIFIER = "%%MatrixMarket"
 OBJECTS, FORMATS = ("matrix", "vector"), ("coordinate", "array")
 FIELDS = {"real": 3, "double": 3, "complex": 4, "integer": 3, "pattern": 2}
+#: Bytes of a part that are copied at once.
+COPIED = 4 << 20
 SYMMETRIES = ("general", "symmetric", "skew-symmetric", "hermitian")
 
 
@@ -190,19 +192,32 @@ def lines_of(mm: MatrixMarket, write_entries: bool = True) -> DataFrame:
 
 
 def write(mm: MatrixMarket, path: str, write_entries: bool = True) -> None:
-    """One file, gzipped if its name ends in .gz. Lines are sorted in parallel and passed through one writer."""
+    """One file, gzipped if its name ends in .gz. Lines are sorted and written in parts side by side, as many as the sort has; the parts are
+    then put behind one another, some MB at a time (members of gzip files may follow one another)."""
     spark = mm.entries.sparkSession
     folder = f"{path}.{uuid.uuid4().hex}"
-    out = lines_of(mm, write_entries).orderBy("k").select("value").coalesce(1)
+    out = lines_of(mm, write_entries).orderBy("k").select("value")
     out.write.option("compression", "gzip" if path.endswith(".gz") else "none").text(folder)
-    jvm = spark.sparkContext._jvm
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = next(f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    fs = at.getFileSystem(conf)
+    # parts are named by their number, which is their order
+    parts = sorted((f.getPath() for f in fs.listStatus(at) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
     target = jvm.org.apache.hadoop.fs.Path(path)
+    joined = parts[0]
+    if len(parts) > 1:
+        joined = jvm.org.apache.hadoop.fs.Path(at, "joined")
+        to = fs.create(joined)
+        try:
+            for part in parts:
+                source = fs.open(part)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, to, COPIED, False)
+                source.close()
+        finally:
+            to.close()
     if fs.exists(target):
         fs.delete(target, False)
-    fs.rename(part, target)
+    fs.rename(joined, target)
     fs.delete(at, True)
 
 

@@ -10,7 +10,8 @@ it by partition, and moves the file into place. Sorted rows (orderBy) are writte
 commit doesn't name, and an aborted job nothing.
 
 Paths are those of pyarrow's file systems: local and shared folders, hdfs, s3, gs. What only Spark's readers can open goes through
-sources.mtx. Options: field, symmetry, rows, columns (writing), comment, split_bytes (reading).
+sources.mtx. Options: field, symmetry, rows, columns (writing), comment, split_bytes (reading; the
+least bytes of a range: a file that would fall into more than RANGES of them is cut into larger ones, of up to SPLIT_BYTES).
 """
 
 from __future__ import annotations
@@ -34,8 +35,12 @@ from ..session import ship
 from .mtx import FIELDS, IDENTIFIER, Header, parse_header, parse_size
 
 SPLIT_BYTES = 32 << 20
+#: Ranges smaller than SPLIT_BYTES are at most so many: a task takes longer to begin than to read some KB.
+RANGES = 1024
 #: Bytes that are parsed or copied at once.
 CHUNK = 4 << 20
+#: Bytes that are read at once to find the line break at a range's border.
+BEYOND = 1 << 10
 
 COLUMNS = {"real": "at long, i int, j int, a double", "integer": "at long, i int, j int, a int", "complex": "at long, i int, j int, a double, im double", "pattern": "at long, i int, j int"}
 _SPACE = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
@@ -112,7 +117,8 @@ class MtxReader(DataSourceReader):
             return [Bytes(self.begin, -1)]
         where, at = located(self.path)
         size = where.get_file_info(at).size
-        return [Bytes(k, min(k + self.split_bytes, size)) for k in range(self.begin, size, self.split_bytes)] or [Bytes(size, size)]
+        step = max(self.split_bytes, min(SPLIT_BYTES, -(-(size - self.begin) // RANGES)))
+        return [Bytes(k, min(k + step, size)) for k in range(self.begin, size, step)] or [Bytes(size, size)]
 
     def read(self, partition: Bytes) -> Iterator[pa.RecordBatch]:
         for text, at in self._lines(partition):
@@ -135,7 +141,7 @@ class MtxReader(DataSourceReader):
                 f.seek(start - 1)
                 at, skipped = start - 1, b""
                 while b"\n" not in skipped:
-                    more = f.read(1 << 16)
+                    more = f.read(BEYOND)
                     if not more:
                         return
                     skipped = more
@@ -145,7 +151,8 @@ class MtxReader(DataSourceReader):
         with f:
             rest = b""
             while stop is None or at < stop:
-                more = f.read(CHUNK)
+                # of a short range no more than what it lacks, and a little for the line that it ends in
+                more = f.read(CHUNK if stop is None else min(CHUNK, max(stop - at - len(rest), 0) + BEYOND))
                 text = rest + more
                 if not text:
                     return

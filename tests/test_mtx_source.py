@@ -39,6 +39,42 @@ def test_every_split_reads_each_line_once(split, tmp_path):
             assert [body.encode()[x[0] :].split()[0] for x in got] == [str(i).encode() for i, _, _ in rows]
 
 
+def test_a_short_range_reads_little_more_than_itself(tmp_path, monkeypatch):
+    text = HEAD.format("real", 99, 9999, 20000) + "".join(f"{n % 99 + 1} {n % 9999 + 1} {n}.5\n" for n in range(20000))
+    path, read = file(tmp_path, text), []
+
+    class Counting:
+        def __init__(self, where):
+            self.where = where
+
+        def __getattr__(self, name):
+            return getattr(self.where, name)
+
+        def open_input_file(self, at):
+            f = self.where.open_input_file(at)
+
+            class File:
+                def read(self, n):
+                    read.append(len(got := f.read(n)))
+                    return got
+
+                seek = staticmethod(f.seek)
+
+                def __enter__(self):
+                    return self
+
+                def __exit__(self, *_):
+                    f.close()
+
+            return File()
+
+    reader = mtx_source.MtxReader(path, 8 << 10, ["at", "i", "j", "a"])
+    located = mtx_source.located
+    monkeypatch.setattr(mtx_source, "located", lambda p: (Counting(located(p)[0]), located(p)[1]))
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 20000
+    assert sum(read) < 1.5 * len(text)
+
+
 @pytest.mark.parametrize("line", ["1 2", "1 2 3 4", "1 x 3", "1 2 y"])
 def test_wrong_lines(line, tmp_path):
     reader = mtx_source.MtxReader(file(tmp_path, HEAD.format("real", 3, 3, 3) + f"1 1 1\n{line}\n2 2 2\n"), 1 << 20, ["at", "i", "j", "a"])
@@ -46,6 +82,13 @@ def test_wrong_lines(line, tmp_path):
         [list(reader.read(p)) for p in reader.partitions()]
 
 
+def test_ranges_are_no_more_than_tasks_are_worth(tmp_path):
+    reader = mtx_source.MtxReader(file(tmp_path, HEAD.format("real", 9, 9, 900) + "1 2 3\n" * 900), 1, ["at"])
+    ranges = reader.partitions()
+    assert len(ranges) <= mtx_source.RANGES and ranges[0].start == reader.begin
+    assert all(a.stop == b.start for a, b in zip(ranges, ranges[1:]))
+
+
 def test_headers(tmp_path):
     header, begin = mtx_source.header_of(file(tmp_path, HEAD.format("pattern", 3, 4, 1) + "1 1\n"))
     assert (header.field, header.rows, header.columns, header.num_entries, header.comments) == ("pattern", 3, 4, 1, ("% made here", "%"))

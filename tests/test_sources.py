@@ -147,3 +147,23 @@ def test_reports(spark):
     assert p["execution_time"]["samples"] == 3 and found == [(0, "view", 2, 3), (0, "view", 2, 3), (1, "click", 1, 5)]  # two groups of thread 0 list it
     assert '"nan"' in report.pretty({"a": [float("nan")]})
     assert references.Hybrid(make(spark, M8)).info()["ell_row_length"] == 2 and references.Triad(spark, 4).info() == {"name": "triad", "num_entries": "4"}
+
+
+@pytest.mark.parametrize("name", ["many.mtx", "many.mtx.gz"])
+def test_lines_are_written_side_by_side(spark, tmp_path, monkeypatch, name):
+    """No task gets all lines, and the parts stand behind one another in their order."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    def refused(*_):
+        raise AssertionError("one task writes all lines")
+
+    monkeypatch.setattr(Frame, "coalesce", refused)
+    m = make(spark, (50, 40, [(n % 50, n * 7 % 40, n) for n in range(2000)]))
+    path = tmp_path / name
+    mtx.write(mtx.of(m), str(path))
+    mtx.write(mtx.of(m), str(path))  # in place of the file that is there
+    lines = (gzip.open if name.endswith(".gz") else open)(path, "rt").read().splitlines()
+    assert lines[:2] == ["%%MatrixMarket matrix coordinate real general", "50 40 2000"]
+    assert lines[2:] == [f"{n % 50 + 1} {n * 7 % 40 + 1} {float(n)}" for n in range(2000)]
+    assert mtx.read(spark, str(path)).matrix().same_as(m)
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == [name]
