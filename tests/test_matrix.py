@@ -72,6 +72,13 @@ def test_compressed_rows_by_segments(spark):
     assert values(segments.spmv_compressed(formats.csr(m), vector(spark, x), vector(spark, [10]))) == [10 + want[0]]
 
 
+def test_row_ends_are_found_from_one_entry_a_row(spark):
+    m = make(spark, (6, 9, [(1, j, 1) for j in (3, 1, 1)] + [(2, 5, 2), (4, 0, 3), (4, 8, 4)]))
+    ends = formats._ends(formats.csr(m))
+    assert sorted(tuple(x) for x in ends.collect()) == [(0, 0, 0, 0), (1, 0, 3, 3), (2, 3, 1, 5), (3, 4, 0, 5), (4, 4, 2, 8), (5, 6, 0, 8)]
+    assert "max_by" in ends._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sums_do_not_depend_on_where_batches_end(spark):
     """Blocks put together into tasks of any size, in batches of a few rows: each row comes out once, with all its entries."""
     r = random.Random(3)
