@@ -34,14 +34,13 @@ def stream(config: TraceConfig, kernel: Kernel, warmup: bool = False, initial: D
 
 def cache_misses(config: TraceConfig, kernel: Kernel, warmup: bool = False, policy: str = "lru", initial: DataFrame | None = None) -> DataFrame:
     """(cache, thread, numa_domain, misses) for every cache that a thread reaches, every thread and every domain."""
+    active, kept = groups(config)
+    refs = kernel.references(Threads(config.domains)).select("thread", "t", "addr", "domain")
+    caches = refs.sparkSession.createDataFrame(kept, "cache string, group string, lines long")
     if policy == "lru":
-        active, kept = groups(config)
-        refs = kernel.references(Threads(config.domains)).select("thread", "t", "addr", "domain")
-        caches = refs.sparkSession.createDataFrame(kept, "cache string, group string, lines long")
         found = sim.lru_misses_by_windows(refs, active, kept, warmup, initial)
     else:
-        refs, caches = stream(config, kernel, warmup, initial)
-        found = sim.simulate(refs, caches, policy)
+        found = sim.simulate_by_windows(refs, active, kept, policy, warmup, initial)
     return sim.full_grid(found, caches, len(config.threads), config.num_numa_domains)
 
 
